@@ -139,12 +139,13 @@ def parse_datetime(c: Column, tz_hours: int = 8) -> Column:
 
 def identifiers(text: Column, enabled: tuple[str, ...] = tuple(IDENTIFIERS)) -> Column:
     """array<struct<type, pos, value, key>> of all hits, in the order of types and then of places; repeats are still in it."""
-    parts = []
-    for kind in (k for k in IDENTIFIERS if k in enabled):
-        hits = F.regexp_extract_all(text, F.lit(IDENTIFIERS[kind]), F.lit(1))
+    def hits(kind: str) -> Column:
         value = {"DOI": lambda x: F.regexp_replace(x, r"[.,;)>\]]+$", ""), "PMCID": F.upper, "NCT": F.upper}.get(kind, lambda x: x)
         key = {"DOI": F.lower, "ChiCTR": F.upper}.get(kind, lambda x: x)
-        parts.append(F.transform(hits, lambda x, i, kind=kind, value=value, key=key: F.struct(F.lit(kind).alias("type"), i.alias("pos"), value(x).alias("value"), key(value(x)).alias("key"))))
+        found = F.regexp_extract_all(text, F.lit(IDENTIFIERS[kind]), F.lit(1))
+        return F.transform(found, lambda x, i: F.struct(F.lit(kind).alias("type"), i.alias("pos"), value(x).alias("value"), key(value(x)).alias("key")))
+
+    parts = [hits(kind) for kind in IDENTIFIERS if kind in enabled]
     return F.concat(*parts)
 
 

@@ -1 +1,243 @@
-"""Pending."""
+"""Queries of the HTML, gate and metadata operators, each with its SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from evidencelake.functions import identity as I
+from evidencelake.operators import convert as C
+from evidencelake.operators import gates as G
+from evidencelake.operators import html as H
+from evidencelake.operators import metadata as M
+from evidencelake.plans.registry import Tables, query
+from evidencelake.plans.scalar import _CLASS, _NORMAL, TYPED
+
+_VIS = "regexp_replace(html, '(?is)^.*?<body[^>]*>', '')"
+for _t in H.NOISE_TAGS:
+    _VIS = f"regexp_replace({_VIS}, '(?is)<{_t}\\b[^>]*>.*?</{_t}\\s*>', ' ', 'g')"
+_VIS = f"trim(regexp_replace(regexp_replace(regexp_replace({_VIS}, '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+_SHELL = "'<html><body><div>'"
+GATES = f"""SELECT page_id, url, CASE page_id % 14 WHEN 0 THEN concat(html, 'DOI Not Found') WHEN 1 THEN concat(html, 'Documents Download Module being prepared for download') WHEN 2 THEN concat(html, '<!-- cf-browser-verification -->') WHEN 3 THEN concat(html, 'NaN-NaN-NaN') WHEN 4 THEN concat(html, '{{{{{{{{title}}}}}}}}')
+ WHEN 5 THEN concat({_SHELL}, '</div></body></html>') WHEN 6 THEN concat({_SHELL}, 'Loading...</div></body></html>') WHEN 7 THEN concat({_SHELL}, 'Please enable JavaScript</div></body></html>') WHEN 8 THEN concat({_SHELL}, '404 Not Found</div></body></html>') WHEN 9 THEN concat({_SHELL}, 'Copyright x</div></body></html>')
+ WHEN 10 THEN concat({_SHELL}, 'a few words only</div></body></html>') WHEN 11 THEN replace(html, 'article', 'aside') ELSE html END AS html FROM {{pages}}"""
+_GATES_SQL = GATES.replace("{{{{title}}}}", "{{title}}").replace("{{title}}", "\x00").replace("\x00", "{{title}}")
+
+
+def _gates(t: Tables) -> DataFrame:
+    h, p = F.col("html"), F.col("page_id") % 14
+    shell = lambda s: F.lit(f"<html><body><div>{s}</div></body></html>")
+    cases = {0: F.concat(h, F.lit("DOI Not Found")), 1: F.concat(h, F.lit("Documents Download Module being prepared for download")), 2: F.concat(h, F.lit("<!-- cf-browser-verification -->")), 3: F.concat(h, F.lit("NaN-NaN-NaN")), 4: F.concat(h, F.lit("{{title}}")), 5: shell(""), 6: shell("Loading..."), 7: shell("Please enable JavaScript"), 8: shell("404 Not Found"), 9: shell("Copyright x"), 10: shell("a few words only"), 11: F.replace(h, F.lit("article"), F.lit("aside"))}
+    out = h
+    for k, v in cases.items():
+        out = F.when(p == k, v).otherwise(out)
+    return t.pages.select("page_id", "url", out.alias("html"))
+
+
+_TAG = f"""CASE WHEN contains(html, 'DOI Not Found') THEN 'DOI_NOT_FOUND' WHEN contains(html, 'Documents Download Module') AND contains(html, 'being prepared for download') THEN 'DOWNLOAD_INTERMEDIATE_PAGE'
+ WHEN contains(html, 'cf-browser-verification') THEN 'CLOUDFLARE_BLOCKED' WHEN contains(html, 'NaN-NaN-NaN') THEN 'SPA_UNRENDERED_SKELETON' WHEN contains(html, '{{{{title}}}}') THEN 'SPA_TEMPLATE_UNRENDERED' WHEN length(v) = 0 THEN 'CONTENT_EMPTY' WHEN length(v) >= 300 THEN NULL
+ WHEN contains(html, 'Loading...') THEN 'SPA_SKELETON_NOT_RENDERED' WHEN contains(html, 'Please enable JavaScript') THEN 'JAVASCRIPT_DISABLED_OR_BLOCKED' WHEN contains(html, '404 Not Found') THEN 'PAGE_NOT_FOUND' WHEN contains(v, 'Copyright') AND length(regexp_replace(replace(v, 'Copyright', ''), '\\s', '', 'g')) < 30 THEN 'NO_MEANINGFUL_CONTENT' ELSE 'CONTENT_TOO_SHORT' END"""
+_GATED = f"SELECT page_id, url, v, {_TAG} AS tag FROM (SELECT page_id, url, html, {_VIS} AS v FROM ({_GATES_SQL}))"
+
+
+@query("SELECT page_id, tag, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<(article|h1|nav|footer|p|li|a|div)[ >]', 1)) AS tag FROM pages) GROUP BY ALL")
+def h1_html_nodes(t: Tables) -> DataFrame:
+    """Elements per tag, counted on the node table."""
+    n = H.html_nodes(t.pages)
+    return n.where(F.col("tag").isin("article", "h1", "nav", "footer", "p", "li", "a", "div")).groupBy("page_id", "tag").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT page_id, {_VIS} AS text FROM pages")
+def h2_visible_text(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", H.visible_text(F.col("html")).alias("text"))
+
+
+@query(f"SELECT page_id, tag IS NULL AS is_valid, tag, length(v)::BIGINT AS visible_chars FROM ({_GATED})")
+def h3_quality_gate(t: Tables) -> DataFrame:
+    return G.quality_gate(_gates(t)).select("page_id", "is_valid", "tag", "visible_chars")
+
+
+WECHAT = """SELECT page_id, concat(CASE WHEN page_id % 3 = 0 THEN html ELSE replace(replace(html, '<article>', '<div id="js_article"><div id="js_content">'), '</article>', '</div></div>') END, CASE page_id % 4 WHEN 0 THEN '该内容已被发布者删除' WHEN 1 THEN '环境异常' ELSE '' END) AS html, url FROM {pages}"""
+
+
+@query(f"SELECT page_id, CASE WHEN contains(html, '内容已被发布者删除') THEN 'DELETED' WHEN contains(html, '环境异常') THEN 'BLOCKED' WHEN contains(html, 'id=\"js_article\"') AND contains(html, 'id=\"js_content\"') THEN 'VALID' ELSE 'INVALID' END AS status FROM ({WECHAT})")
+def h4_wechat_gate(t: Tables) -> DataFrame:
+    return t.sql(WECHAT).select("page_id", G.wechat_gate(F.col("html")).alias("status"))
+
+
+CUT = "SELECT page_id, url, concat(html, CASE page_id % 3 WHEN 0 THEN '<p>登录后可见</p>' WHEN 1 THEN '<p>sign in to read on</p>' ELSE '' END) AS html FROM {pages}"
+
+
+@query(f"""SELECT page_id, CASE WHEN d THEN 'sign in to read on' ELSE '登录后可见' END AS marker, CASE WHEN d THEN 'domain' ELSE 'generic' END AS scope, CASE WHEN d THEN 'example.net' ELSE host END AS domain
+ FROM (SELECT page_id, html, lower(regexp_extract(url, '://([^/?#:]*)', 1)) AS host, contains(html, 'sign in to read on') AND lower(regexp_extract(url, '://([^/?#:]*)', 1)) LIKE '%.example.net' AS d FROM ({CUT})) WHERE d OR contains(html, '登录后可见')""")
+def h5_detect_truncation(t: Tables) -> DataFrame:
+    markers = t.spark.createDataFrame([("example.net", 0, "never there"), ("example.net", 1, "sign in to read on")], "domain string, rank int, marker string")
+    return G.detect_truncation(t.sql(CUT), markers)
+
+
+IMAGES = """SELECT page_id, url, replace(replace(html, '<article>', concat('<div id="js_article"><img data-src="https://i.example.com/', CAST(page_id % 9 AS STRING), '.png" src="x"><img src="/rel.png"><img src="https://i.example.com/1.png"><img src="https://i.example.com/', CAST(page_id % 3 AS STRING), '.png">')), '</article>', '</div><img src="https://i.example.com/out.png">') AS html FROM {pages}"""
+
+
+@query(f"""WITH i AS (SELECT page_id, unnest(l) AS url, generate_subscripts(l, 1) AS n FROM (SELECT page_id, ['https://i.example.com/' || page_id % 9 || '.png', 'https://i.example.com/1.png', 'https://i.example.com/' || page_id % 3 || '.png'] AS l FROM pages))
+ SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY min(n)))::INTEGER AS position, url FROM i GROUP BY page_id, url""")
+def h6_image_urls(t: Tables) -> DataFrame:
+    return H.image_urls(H.html_nodes(t.sql(IMAGES)))
+
+
+_PIECES = "list_transform(regexp_split_to_array({x}, '(?s)<[^>]*>'), lambda s: length(trim(regexp_replace(s, '&[a-z]+;', '_', 'g'))))"
+
+
+@query(f"""SELECT page_id, list_sum({_PIECES.format(x='ul')})::BIGINT AS total, list_sum({_PIECES.format(x='ul')})::BIGINT AS link FROM (SELECT page_id, regexp_extract(html, '(?s)<ul>(.*?)</ul>', 1) AS ul FROM pages)""")
+def h8_link_density(t: Tables) -> DataFrame:
+    """Text and link text of each page's list."""
+    return H.link_density(H.html_nodes(t.pages)).where("tag = 'ul'").select("page_id", "total", "link")
+
+
+@query("SELECT page_id, 0 AS nav_runs FROM pages")
+def h7_drop_noise(t: Tables) -> DataFrame:
+    """Text runs left inside menus after dropping noise: none."""
+    n = H.drop_noise(H.html_nodes(t.pages))
+    return n.groupBy("page_id").agg(F.count_if((F.col("tag") == "#text") & F.exists("path", lambda p: p["tag"].isin("nav", "footer"))).cast("int").alias("nav_runs"))
+
+
+_ARTICLE = "regexp_extract(html, '(?s)<article>(.*)</article>', 1)"
+_CHARS = f"list_sum({_PIECES.format(x=_ARTICLE)})"
+
+
+@query(f"SELECT page_id, CASE WHEN {_CHARS} >= 60 THEN 'article' ELSE 'body' END AS tag FROM pages")
+def h10_content_root(t: Tables) -> DataFrame:
+    nodes = H.html_nodes(t.pages).select("page_id", "node_id", "end_id", "tag", "dom_id", "classes", "role", "text", "path")
+    return H.content_root(nodes).join(nodes.select("page_id", "node_id", "tag"), ["page_id", "node_id"]).select("page_id", "tag")
+
+
+_BLOCKS = f"list_filter(list_transform(regexp_split_to_array({_ARTICLE}, '</?(?:p|h1)>'), lambda b: trim(regexp_replace(replace(replace(regexp_replace(b, '<[^>]*>', '', 'g'), '&quot;', '\"'), '&amp;', '&'), '\\s+', ' ', 'g'))), lambda b: b <> '')"
+
+
+@query(f"SELECT page_id, '# ' || array_to_string({_BLOCKS}, chr(10) || chr(10)) AS markdown FROM pages")
+def h11_to_markdown(t: Tables) -> DataFrame:
+    nodes = H.html_nodes(t.pages)
+    roots = nodes.where("tag = 'article'").select("page_id", "node_id", "end_id")
+    return H.to_markdown(nodes, roots)
+
+
+@query(f"SELECT converter, error_code, count(*) AS n FROM (SELECT CASE WHEN c = 'web_page' THEN 'web_page_local' ELSE 'none' END AS converter, CASE WHEN c = 'web_page' THEN tag ELSE 'UNSUPPORTED_TYPE' END AS error_code FROM (SELECT page_id, {_CLASS} AS c FROM ({TYPED})) JOIN ({_GATED}) USING (page_id)) GROUP BY ALL")
+def h13_convert(t: Tables) -> DataFrame:
+    from evidencelake.functions.urls import classify_url
+
+    kinds = t.sql(TYPED).select("page_id", classify_url(F.col("u")).alias("resource_type"))
+    return C.convert(_gates(t).join(kinds, "page_id")).groupBy("converter", "error_code").agg(F.count("*").alias("n"))
+
+
+PICTURES = "SELECT conv_id AS asset_id, turn AS position, length(text) * 40 AS size_bytes, text FROM {conversations}"
+
+
+@query(f"SELECT asset_id, position, number::INTEGER AS number FROM (SELECT asset_id, position, row_number() OVER (PARTITION BY asset_id ORDER BY position) AS number FROM ({PICTURES}) WHERE size_bytes >= 5120) WHERE number <= 6")
+def h14_ocr_candidates(t: Tables) -> DataFrame:
+    return C.ocr_candidates(t.sql(PICTURES)).select("asset_id", "position", "number")
+
+
+@query(f"""WITH o AS (SELECT asset_id, position, row_number() OVER (PARTITION BY asset_id ORDER BY position) AS n, text FROM ({PICTURES}) WHERE size_bytes >= 5120), p AS (SELECT asset_id, string_agg('### 📷 [附图/海报文字识别: assets/img-' || lpad(n::VARCHAR, 3, '0') || ']' || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY n) AS parts FROM o WHERE n <= 6 GROUP BY asset_id)
+ SELECT doc_id AS id, text || coalesce(chr(10) || chr(10) || '---' || chr(10) || '## 📋 附图与海报文字提取' || chr(10) || chr(10) || parts, '') AS markdown FROM documents LEFT JOIN p ON asset_id = doc_id""")
+def h15_append_ocr(t: Tables) -> DataFrame:
+    ocr = C.ocr_candidates(t.sql(PICTURES)).select(F.col("asset_id").alias("id"), "number", "text")
+    return C.append_ocr(t.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("markdown")), ocr)
+
+
+OUTPUTS = "SELECT conv_id AS id, text AS output, conv_id % 7 = 0 AS failed FROM {conversations} WHERE turn = 0"
+
+
+@query(f"""SELECT d.doc_id AS id, CASE WHEN w AND a AND NOT coalesce(failed, false) AND length(c) >= 50 THEN c || chr(10) ELSE d.text END AS markdown,
+ CASE WHEN NOT w THEN 'not_requested' WHEN NOT a THEN 'policy_denied' WHEN coalesce(failed, false) THEN 'llm_error' WHEN length(c) >= 50 THEN 'not_needed' ELSE 'llm_failed' END AS fallback_status
+ FROM (SELECT doc_id, text, doc_id % 5 <> 0 AS w, doc_id % 3 <> 0 AS a FROM documents) d LEFT JOIN (SELECT id, failed, regexp_replace(output, '^\\s+|\\s+$', '', 'g') AS c FROM ({OUTPUTS})) o ON o.id = d.doc_id""")
+def h16_attach_precomputed(t: Tables) -> DataFrame:
+    docs = t.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("markdown"))
+    return C.attach_precomputed(docs, t.sql(OUTPUTS), F.col("id") % 5 != 0, F.col("id") % 3 != 0)
+
+
+IDS = """SELECT doc_id, concat('See DOI: 10.1016/j.cell.', CAST(doc_id % 50 AS STRING), '. And 10.1016/J.CELL.', CAST(doc_id % 50 AS STRING), ', PMID: ', CAST(38000000 + doc_id % 40 AS STRING), ' pmc', CAST(1234567 + doc_id % 5 AS STRING), ' PMC', CAST(1234567 + doc_id % 5 AS STRING), ' NCT0123', CAST(1000 + doc_id % 9 AS STRING), ' ChiCTR-TRC-1234567 ORCID 0000-0002-1825-009X ', substring(text, 1, 50)) AS t FROM {documents}"""
+_RE = {"DOI": "(?i)\\b(10\\.\\d{4,9}/[-._;()/:A-Za-z0-9]+)\\b", "PMID": "(?i)\\b(?:PMID|PubMed(?:\\s*ID)?)[ \\t:]*(\\d{6,9})\\b", "PMCID": "(?i)\\b(PMC\\d{6,8})\\b", "NCT": "(?i)\\b(NCT\\d{8})\\b", "ChiCTR": "(?i)\\b(ChiCTR(?:-[A-Za-z0-9]+)?\\d{6,10})\\b", "ORCID": "(?i)\\b(\\d{4}-\\d{4}-\\d{4}-\\d{3}[\\dX])\\b"}
+_VALUE = {"DOI": "regexp_replace(x, '[.,;)>\\]]+$', '')", "PMCID": "upper(x)", "NCT": "upper(x)"}
+_FOUND = " UNION ALL ".join(f"SELECT doc_id, {i} AS rank, '{k}' AS type, unnest(l) AS x, generate_subscripts(l, 1) AS n FROM (SELECT doc_id, regexp_extract_all(t, '{p}', 1) AS l FROM ({IDS}))" for i, (k, p) in enumerate(_RE.items()))
+
+
+@query(f"""WITH v AS (SELECT doc_id, rank, type, n, CASE type WHEN 'DOI' THEN {_VALUE['DOI']} WHEN 'PMCID' THEN upper(x) WHEN 'NCT' THEN upper(x) ELSE x END AS value FROM ({_FOUND})), k AS (SELECT *, CASE type WHEN 'DOI' THEN lower(value) WHEN 'ChiCTR' THEN upper(value) ELSE value END AS key FROM v),
+ f AS (SELECT doc_id, rank, type, key, min(n) AS n, arg_min(value, n) AS value FROM k GROUP BY ALL) SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY rank, n))::INTEGER AS position, type, value FROM f""")
+def m1_extract_identifiers(t: Tables) -> DataFrame:
+    return M.extract_identifiers(t.sql(IDS), "doc_id", "t")
+
+
+@query(f"""WITH l AS (SELECT doc_id, unnest(regexp_extract_all(t, '{_RE["PMID"]}', 1)) AS value FROM ({IDS})) SELECT doc_id, 1 AS position, 'PMID' AS type, value FROM l GROUP BY ALL""")
+def m2_identifier_flags(t: Tables) -> DataFrame:
+    flags = t.spark.createDataFrame([("PMID", True), ("DOI", False)], "type string, enabled boolean")
+    return M.extract_identifiers(t.sql(IDS), "doc_id", "t", flags)
+
+
+HEADS = """SELECT page_id, concat(url, CASE WHEN page_id % 5 = 4 THEN '/2024-03-12/' ELSE '' END) AS url, replace(html, '</head>', concat(CASE page_id % 4 WHEN 0 THEN '<meta property="og:title" content=" Og &amp; title "><meta name="author" content="Ann B">' WHEN 1 THEN '<meta content="2024-05-06T07:08:09" property="article:published_time"><meta property="og:site_name" content="Site">' WHEN 2 THEN '<meta name="twitter:title" content="">' ELSE '' END, '</head>')) AS html FROM {pages}"""
+_H1 = "trim(regexp_replace(replace(replace(regexp_replace(regexp_extract(html, '(?is)<h1\\b[^>]*>(.*?)</h1\\s*>', 1), '(?s)<[^>]*>', '', 'g'), '&quot;', '\"'), '&amp;', '&'), '\\s+', ' ', 'g'))"
+
+
+@query(f"SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'Og & title' WHEN 2 THEN NULL ELSE CASE WHEN length({_H1}) <= 150 THEN nullif({_H1}, '') END END AS title FROM ({HEADS})")
+def m3_title(t: Tables) -> DataFrame:
+    return t.sql(HEADS).select("page_id", M.title(F.col("html")).alias("title"))
+
+
+@query(f"SELECT page_id, CASE WHEN page_id % 4 = 1 THEN '2024-05-06 07:08:09' WHEN page_id % 5 = 4 THEN '2024-03-01 00:00:00' END AS published_at FROM ({HEADS})")
+def m4_published_at(t: Tables) -> DataFrame:
+    # The day's pattern stops at its first digit where that alone is a day: /2024-03-12/ reads as the 1st, as the reference does.
+    return t.sql(HEADS).select("page_id", M.published_at(F.col("html"), F.col("url")).alias("published_at"))
+
+
+_TITLE = _H1.replace("<h1", "<title").replace("</h1", "</title")
+_LAST = "CASE " + " ".join(f"WHEN contains({_TITLE}, '{x}') THEN trim(string_split({_TITLE}, '{x}')[-1])" for x in M.PLATFORM_SEPARATORS) + " END"
+_HOSTS = "split_part(split_part(url, '://', 2), '/', 1)"
+
+
+@query(f"SELECT page_id, CASE WHEN {_HOSTS} = 'm.theron.example.net' THEN 'The Ron' WHEN page_id % 4 = 1 THEN 'Site' ELSE coalesce(nullif({_LAST}, ''), {_HOSTS}) END AS platform FROM ({HEADS})")
+def m5_platform(t: Tables) -> DataFrame:
+    names = t.spark.createDataFrame([("m.theron.example.net", "The Ron")], "domain string, platform string")
+    return M.article_metadata(t.sql(HEADS), names).select("page_id", "platform")
+
+
+@query(f"SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'Ann B' END AS author FROM ({HEADS})")
+def m6_author(t: Tables) -> DataFrame:
+    return t.sql(HEADS).select("page_id", M.author(F.col("html"), F.col("url")).alias("author"))
+
+
+@query(f"SELECT page_id, 'ev-' || page_id AS evidence_id, {_NORMAL.replace('u,', 'url,').replace('(u', '(url')} AS source_key, sha256(html) AS raw_sha256, length(html)::INTEGER AS chars, 2 AS schema_version FROM (SELECT page_id, url, url AS u, html FROM pages)")
+def m8_build_evidence_meta(t: Tables) -> DataFrame:
+    from evidencelake.sources.readers import captures
+
+    c = M.article_metadata(captures(t.pages))
+    rows = c.withColumns({
+        "evidence_id": F.concat(F.lit("ev-"), F.col("page_id").cast("string")), "fetched_at": F.col("page_id"), "markdown": F.col("html"), "raw_sha256": F.sha2("html", 256), "version_no": F.lit(1),
+        "provider": F.lit("local"), "converter": F.lit("web_page_local"), "pipeline_fingerprint": I.pipeline_fingerprint([F.lit("x").alias("x")]),
+    })
+    m = M.build_evidence_meta(rows)
+    return m.select(F.substring("evidence_id", 4, 20).cast("long").alias("page_id"), "evidence_id", "meta.source.source_key", "meta.raw.raw_sha256", "meta.document.chars", "meta.schema_version")
+
+
+_DOMAIN = "array_to_string(string_split(lower(regexp_extract(url, '://([^/?#:]*)', 1)), '.')[-2:], '.')"
+
+
+@query(f"SELECT domain, tag, count(*) AS n FROM (SELECT {_DOMAIN} AS domain, coalesce(tag, 'OK') AS tag FROM ({_GATED})) GROUP BY ROLLUP (domain, tag)")
+def gate_report(t: Tables) -> DataFrame:
+    """Pages per domain and gate tag, with subtotals: capture -> identity -> gate -> report in one shuffle, without Python."""
+    from evidencelake.functions.urls import hostname
+
+    g = G.quality_gate(_gates(t)).select(F.concat_ws(".", F.slice(F.split(hostname(F.col("url")), r"\."), -2, 2)).alias("domain"), F.coalesce("tag", F.lit("OK")).alias("tag"))
+    return g.rollup("domain", "tag").agg(F.count("*").alias("n"))
+
+
+LINKS = "SELECT page_id % 20 AS doc, page_id * 3 AS line_no, concat('### Section ', CAST(page_id % 7 AS STRING), '（x）') AS line FROM {pages} WHERE page_id % 6 = 0 UNION ALL SELECT page_id % 20, page_id * 3 + 1, concat('| ', CAST(page_id AS STRING), ' | ', url, ' | high | a note on it |') FROM {pages} UNION ALL SELECT page_id % 20, page_id * 3 + 2, concat('  see ', url, '. and ', url, '!') FROM {pages} WHERE page_id % 2 = 0 UNION ALL SELECT page_id % 20, page_id * 3 + 2, concat('also https://other.example.org/', CAST(page_id % 30 AS STRING), ', yes') FROM {pages} WHERE page_id % 2 = 1"
+
+
+@query(f"""WITH l AS (SELECT doc, line_no, trim(line) AS line, CASE WHEN line LIKE '### %' THEN trim(split_part(regexp_replace(line, '^[# ]+', ''), '（', 1)) END AS h FROM ({LINKS})), s AS (SELECT *, coalesce(last_value(h IGNORE NULLS) OVER (PARTITION BY doc ORDER BY line_no), '未分类') AS section, regexp_extract_all(line, 'https?://[^\\s|)]+') AS us FROM l),
+ u AS (SELECT doc, line_no, section, line, unnest(us) AS url, generate_subscripts(us, 1) AS pos FROM s), v AS (SELECT doc, line_no, section, line, regexp_replace(url, '[.,;!>]+$', '') AS url, pos FROM u), f AS (SELECT *, list_filter(list_transform(string_split(line, '|'), lambda x: trim(x)), lambda x: x <> '') AS p FROM v QUALIFY row_number() OVER (PARTITION BY doc, url ORDER BY line_no, pos) = 1)
+ SELECT doc, line_no, section, url, '【' || section || '】' || CASE WHEN len(p) >= 4 AND (p[2] LIKE 'http%' OR regexp_full_match(p[1], '\\d+')) THEN p[3] || ': ' || substring(p[4], 1, 35) ELSE substring(line, 1, 45) END AS display_name FROM f""")
+def s5_harvest_links(t: Tables) -> DataFrame:
+    from evidencelake.sources.readers import harvest_links
+
+    return harvest_links(t.sql(LINKS))
+
+
