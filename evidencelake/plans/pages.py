@@ -204,7 +204,7 @@ def m6_author(t: Tables) -> DataFrame:
     return t.sql(HEADS).select("page_id", M.author(F.col("html"), F.col("url")).alias("author"))
 
 
-@query(f"SELECT page_id, 'ev-' || page_id AS evidence_id, {_NORMAL.replace('u,', 'url,').replace('(u', '(url')} AS source_key, sha256(html) AS raw_sha256, length(html)::INTEGER AS chars, 2 AS schema_version FROM (SELECT page_id, url, url AS u, html FROM pages)")
+@query(f"SELECT page_id, 'ev-' || page_id AS evidence_id, {_NORMAL} AS source_key, sha256(html) AS raw_sha256, length(html)::INTEGER AS chars, 2 AS schema_version FROM (SELECT page_id, url, url AS u, html FROM pages)")
 def m8_build_evidence_meta(t: Tables) -> DataFrame:
     from evidencelake.sources.readers import captures
 

@@ -1 +1,90 @@
-"""Pending."""
+"""Stream queries: replayed to their end with availableNow, each with the SQL of the batch result."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from evidencelake.functions import text as X
+from evidencelake.plans.ledger import LOG, VERSIONS
+from evidencelake.plans.registry import Tables, query
+from evidencelake.plans.reports import TASKS
+from evidencelake.streaming import jobs as J
+
+
+def _work(t: Tables, name: str) -> str:
+    """A folder that all executors share."""
+    base = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.sparkContext.getConf().get("spark.checkpoint.dir") or t.spark.conf.get("spark.sql.warehouse.dir") + "/_streams"
+    return f"{base.rstrip('/')}/evidencelake/{name}-{uuid.uuid4().hex}"
+
+
+def _stream(t: Tables, name: str) -> DataFrame:
+    """A table as a file stream; times without zone become instants in UTC."""
+    batch = getattr(t, name)
+    s = t.spark.readStream.schema(batch.schema).option("pathGlobFilter", f"{name}*.parquet").option("recursiveFileLookup", "true").parquet(t.sf_dir)
+    return s.withColumns({f.name: F.col(f.name).cast("timestamp") for f in batch.schema if f.dataType.typeName() == "timestamp_ntz"})
+
+
+def _rocksdb(t: Tables) -> None:
+    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", J.ROCKSDB)
+
+
+@query("SELECT doc_id AS asset_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS markdown, NULL::VARCHAR AS error_code, 'fp1' AS pipeline_fingerprint FROM documents")
+def r1_ingest_stream(t: Tables) -> DataFrame:
+    """Run twice: the second run finds nothing new."""
+    work = _work(t, "ingest")
+    outbox = _stream(t, "documents").select(F.sha2(F.col("doc_id").cast("string"), 256).alias("event_id"), F.lit("raw_asset.created").alias("event_type"), F.col("doc_id").alias("aggregate_id"))
+    assets = t.documents.select(F.col("doc_id").alias("asset_id"), "text")
+    convert = lambda a: a.select("asset_id", X.normalize_newlines(F.col("text")).alias("markdown"), F.lit(None).cast("string").alias("error_code"))
+    for i in (1, 2):
+        J.ingest_stream(outbox, assets, convert, "fp1", f"{work}/evidence", f"{work}/checkpoint{i}").awaitTermination()
+    return t.spark.read.parquet(f"{work}/evidence")
+
+
+@query(VERSIONS)
+def r2_version_stream(t: Tables) -> DataFrame:
+    _rocksdb(t)
+    captures = _stream(t, "documents").select(F.col("source").alias("resource_key"), F.col("doc_id").cast("string").alias("asset_id"), F.sha2("text", 256).alias("sha256"), (F.col("doc_id") * 60).alias("fetched_at"))
+    work = _work(t, "versions")
+    return J.run_once(J.version_stream(captures), f"{work}/out", f"{work}/checkpoint")
+
+
+@query("SELECT DISTINCT user_id || ':' || event_type AS event_id FROM events")
+def r3_dedupe_stream(t: Tables) -> DataFrame:
+    _rocksdb(t)
+    e = _stream(t, "events").select(F.concat_ws(":", "user_id", "event_type").alias("event_id"), "ts")
+    work = _work(t, "dedupe")
+    return J.run_once(J.dedupe_stream(e, "event_id", "ts", "3650 days"), f"{work}/out", f"{work}/checkpoint").select("event_id")
+
+
+@query("SELECT o_orderkey AS run_id, CASE WHEN o_orderstatus = 'P' AND o_orderdate <= TIMESTAMP '1998-01-01' - INTERVAL 30 DAY THEN 'pending' WHEN o_orderstatus = 'P' THEN 'running' WHEN o_orderstatus = 'F' THEN 'success' ELSE 'pending' END AS status FROM orders")
+def r4_stale_runs(t: Tables) -> DataFrame:
+    import datetime
+
+    status = F.when(F.col("o_orderstatus") == "P", "running").when(F.col("o_orderstatus") == "F", "success").otherwise("pending")
+    runs = t.orders.select(F.col("o_orderkey").alias("run_id"), status.alias("status"), F.col("o_orderdate").alias("updated_at"))
+    now = datetime.datetime(1998, 1, 1)  # noqa: DTZ001
+    return J.stale_runs(runs.withColumn("updated_at", F.col("updated_at").cast("timestamp_ntz")), now, 30 * 86400).select("run_id", "status")
+
+
+@query("SELECT event_id AS task_id, (event_id % 4 + 2)::BIGINT AS attempt_no, ts + to_seconds(least(pow(2, event_id % 4), 4)::INTEGER) AS due_at FROM events WHERE event_type IN ('click','purchase','error') AND event_id % 4 + 1 < 3")
+def r5_retries(t: Tables) -> DataFrame:
+    a = t.events.select(F.col("event_id").alias("task_id"), (F.col("event_id") % 4 + 1).alias("attempt_no"), F.col("ts").alias("attempt_at"), F.col("event_type").isin("click", "purchase", "error").alias("retryable"))
+    return J.retries(a)
+
+
+@query(f"SELECT run_id, arg_max(state, seq) AS state, max(poll_count) AS poll_count FROM ({LOG}) GROUP BY run_id")
+def r6_job_state_stream(t: Tables) -> DataFrame:
+    e = _stream(t, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("state"), (F.col("event_id") % 17).alias("poll_count"))
+    work = _work(t, "states")
+    return J.run_updates(J.job_states(e), "run_id", f"{work}/out", f"{work}/checkpoint")
+
+
+@query(f"SELECT status, count(*) AS n FROM ({TASKS}) GROUP BY status")
+def r7_status_counts_stream(t: Tables) -> DataFrame:
+    kind = F.col("event_type")
+    e = _stream(t, "events").select(F.when(kind == "view", "success").when(kind == "click", "failed").when(kind == "signup", "blocked").when(kind == "purchase", "partial").otherwise("pending").alias("status"))
+    work = _work(t, "counts")
+    return J.run_updates(J.status_counts(e), "status", f"{work}/out", f"{work}/checkpoint")
