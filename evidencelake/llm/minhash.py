@@ -9,7 +9,8 @@ Plan, for the whole table:
 2. Documents of one digest have one set: they become one class, represented by its smallest doc_id.
 3. Classes that share a band bucket with another class are candidates; only their sets are built again from the texts and
    kept as a table. For each, the shingles that no other candidate has are counted; they bound every similarity exactly:
-   at most min(|x| - own(x), |y| - own(y)) shingles are common.
+   at most min(|x| - own(x), |y| - own(y)) shingles are common, and at most the sum of such minima over 16 classes of
+   shingles, whose counts travel with the candidate in two longs.
 4. Each bucket compares its members with one pivot (that with the smallest share of own shingles: of a group of edited
    copies, the original), where the bound allows a link. Links are confirmed on the full sets and joined to components.
 5. What is not in its pivot's component by then is compared with the bucket's other components, again under the bound.
@@ -91,13 +92,27 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 200):
             part = batch.slice(at, 200)
             found = [s.view(np.int64) for s in shingle_sets(part.column("text"), powers)]
-            yield pa.record_batch([part.column("doc_id"), pa.array(found, pa.list_(pa.int64()))], ["id", "shingles"])
+            packed = [_packed(s) for s in found]
+            yield pa.record_batch([part.column("doc_id"), pa.array(found, pa.list_(pa.int64())), *(pa.array([p[i] for p in packed], pa.int64()) for i in (0, 1))], ["id", "shingles", "low", "high"])
 
 
-def _can_link(na: Column, ua: Column, nb: Column, ub: Column, percent: int) -> Column:
-    """Whether the sizes and the shingles that nobody else has leave room for a link; never false for linked sets."""
-    common = F.least(na - ua, nb - ub)
-    return 100 * common >= percent * (na + nb - common)
+def _packed(shingles: np.ndarray) -> tuple[int | None, int | None]:
+    """Counts of the 16 classes of a set, a byte each, in two longs; none for a set with more than 127 in a class."""
+    counts = np.bincount(shingles & 15, minlength=16)
+    if counts.max(initial=0) > 127:
+        return None, None
+    return tuple(counts.astype(np.uint8).view(np.int64).tolist())
+
+
+def _can_link(a: dict[str, Column], b: dict[str, Column], percent: int) -> Column:
+    """Whether sizes, shingles that nobody else has, and the classes' counts leave room for a link; never false for linked sets."""
+    common = F.least(a["n"] - a["own"], b["n"] - b["own"])
+    room = 100 * common >= percent * (a["n"] + b["n"] - common)
+    shared = F.lit(0)
+    for half in ("low", "high"):
+        for shift in range(0, 64, 8):
+            shared = shared + F.least(*(F.shiftright(x[half], shift).bitwiseAND(F.lit(255)) for x in (a, b)))
+    return room & F.coalesce(100 * shared >= percent * (a["n"] + b["n"] - shared), F.lit(True))
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -147,31 +162,32 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     members = materialize(exploded.join(shared, ["band", "bucket"]), "members")
 
     candidates = members.select("id").distinct()
-    sets = materialize(source.join(candidates, source.doc_id == candidates.id, "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets, "id long, shingles array<long>"), "sets")
-    lone = sets.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("_n"), F.min("id").alias("id")).where("_n = 1").groupBy("id").agg(F.count("*").alias("own"))
-    own = materialize(candidates.join(lone, "id", "left").select("id", F.coalesce("own", F.lit(0)).alias("own")), "own")
+    sets = materialize(source.join(candidates, source.doc_id == candidates.id, "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets, "id long, shingles array<long>, low long, high long"), "sets")
+    lone = sets.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("_n"), F.min("id").alias("id")).where("_n = 1")
+    kind = F.col("s").bitwiseAND(F.lit(15))
+    byte = F.expr("shiftleft(1L, cast(8 * (s & 7) as int))")
+    # Sums overflow only for sets whose own counts are not packed; they become null, which filters nothing.
+    lone = lone.groupBy("id").agg(F.count("*").alias("own"), F.try_sum(F.when(kind < 8, byte)).alias("own_low"), F.try_sum(F.when(kind >= 8, byte)).alias("own_high"))
+    own = sets.select("id", "low", "high").join(lone, "id", "left")
+    own = materialize(own.select("id", F.coalesce("own", F.lit(0)).alias("own"), *(F.try_subtract(F.col(k), F.coalesce(f"own_{k}", F.lit(0))).alias(k) for k in ("low", "high"))), "own")
     members2 = members.join(own, "id")
-    pivots = members2.groupBy("band", "bucket").agg(
-        F.min(F.struct((F.col("own") / F.col("n")).alias("share"), F.col("id").alias("id"), F.col("n").alias("n"), F.col("own").alias("own"))).alias("p"), F.min("n").alias("least_n")
-    )
+    pivots = members2.groupBy("band", "bucket").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("share"), "id", "n", "own", "low", "high")).alias("p"), F.min("n").alias("least_n"))
     starred = materialize(members2.join(pivots, ["band", "bucket"]), "starred")
-    allowed = starred.where((F.col("id") != F.col("p.id")) & _can_link(F.col("n"), F.col("own"), F.col("p.n"), F.col("p.own"), percent))
+    side = lambda prefix="", suffix="": {k: F.col(f"{prefix}{k}{suffix}") for k in ("n", "own", "low", "high")}
+    allowed = starred.where((F.col("id") != F.col("p.id")) & _can_link(side(), side("p."), percent))
     pairs = allowed.select(F.col("p.id").alias("a"), F.col("id").alias("b")).distinct()
     edges = materialize(_confirmed(pairs, sets, percent), "links")
     labels = connected_components(edges)
 
     lab = labels.select("id", "component")
-    own_label = starred.select("band", "bucket", "id", "n", "own", "least_n", F.col("p.id").alias("pivot"))
+    own_label = starred.select("band", "bucket", "id", "n", "own", "low", "high", "least_n", F.col("p.id").alias("pivot"))
     placed = own_label.join(lab, "id", "left").withColumn("component", F.coalesce("component", "id"))
     placed = placed.join(lab.select(F.col("id").alias("pivot"), F.col("component").alias("pivot_component")), "pivot", "left")
     placed = materialize(placed.withColumn("pivot_component", F.coalesce("pivot_component", "pivot")), "placed")
     room = F.greatest("least_n", F.col("n") - F.col("own"))
     rest = placed.where((F.col("component") != F.col("pivot_component")) & (100 * (F.col("n") - F.col("own")) >= percent * (F.col("own") + room)))
-    other = placed.select("band", "bucket", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("own").alias("own2"), F.col("component").alias("component2"))
-    cross = rest.join(
-        other,
-        [rest.band == other.band, rest.bucket == other.bucket, rest.component != other.component2, _can_link(rest.n, rest.own, other.n2, other.own2, percent)],
-    )
+    other = placed.select("band", "bucket", F.col("component").alias("component2"), *(F.col(k).alias(f"{k}2") for k in ("id", "n", "own", "low", "high")))
+    cross = rest.join(other, ["band", "bucket"]).where((F.col("component") != F.col("component2")) & _can_link(side(), side(suffix="2"), percent))
     pairs2 = cross.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
     more = materialize(_confirmed(pairs2, sets, percent), "links")
     if not more.isEmpty():
