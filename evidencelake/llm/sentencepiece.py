@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from evidencelake.llm.common import materialize
 
@@ -270,7 +271,7 @@ def _decode(model: str):
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """encoded with a column `decoded`: the text of its ids; null for null, an empty text for none."""
-    schema = encoded.schema.add("decoded", "string")
+    schema = StructType([*encoded.schema.fields, StructField("decoded", StringType())])
     return encoded.mapInArrow(_decode(model), schema)
 
 

@@ -1,0 +1,441 @@
+"""Each operator against a brute-force version, and on odd inputs."""
+
+import collections
+import html as htmllib
+import random
+import re
+import zlib
+from pathlib import Path
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from evidencelake.llm import html_text, minhash, mixing, neighbours, quality_model, quality_rules, sentencepiece, sharding, toxicity, url_filter
+from evidencelake.llm.queries import queries
+
+SF = "/root/testdata/sf0.001"
+needs_tables = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def documents(spark, rows):
+    """Rows (doc_id, text, lang, source) with columns whose names operators also use inside."""
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    return d.withColumns({"n_chars": F.length("text").cast("long"), "id": F.lit("x"), "n": F.lit(1), "size": F.lit("s"), "bucket": F.lit(None).cast("string"), "kept": F.lit("k"), "score": F.lit(2.5), "label": F.lit("l"), "key": F.lit(0)})
+
+
+def odd_rows():
+    rng = random.Random(3)
+    long = " ".join(f"w{rng.randrange(5000)}" for _ in range(30_000))
+    base = " ".join(f"b{i}" for i in range(100))
+    return [
+        (1, None, "en", "a"), (2, "", None, None), (3, " \n\t ", "en", "a"), (4, "Hi there", "en", None), (5, "hi  THERE", None, "b"), (6, long, "en", "a"), (7, long + " end", "en", "b"),
+        (8, base, "de", "a"), (9, base, "de", "a"), (9, base, "de", "a"), (10, base.replace("b50", "zz"), "de", "b"), (11, base.replace("b10", "q").replace("b90", "r"), "de", "b"), (None, base, "en", "a"), (None, None, None, None), (12, "é" * 40 + "\x00", "fr", "é"),
+    ]
+
+
+def shingles(text):
+    w = WORD.findall((text or "").translate(LOWER))
+    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+
+
+def brute_classes(rows):
+    sets = {i: shingles(t) for i, t in rows if i is not None}
+    parent = {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            common = len(sets[a] & sets[b])
+            if common and 100 * common >= 85 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    return {i: (len(sets[i]), root(i), root(i) == i) for i in ids}
+
+
+def test_near_duplicates_on_odd_rows(spark):
+    got = minhash.near_duplicates(documents(spark, odd_rows())).collect()
+    assert len(got) == len(odd_rows())
+    want = brute_classes([(r[0], r[1]) for r in odd_rows()])
+    for r in got:
+        if r["doc_id"] is None:
+            assert r["component_id"] is None and r["kept"]
+        else:
+            assert (r["n_shingles"], r["component_id"], r["kept"]) == want[r["doc_id"]]
+    assert minhash.near_duplicates(documents(spark, [])).count() == 0
+
+
+def test_near_duplicates_of_chains_and_edited_groups(spark):
+    """Chains of small steps, and a group of random edits of one text whose copies seldom reach each other."""
+    rng = random.Random(5)
+    rows, base = [], [f"t{i}" for i in range(150)]
+    for i in range(120):
+        w = list(base)
+        for _ in range(rng.randrange(5)):
+            w[rng.randrange(150)] = f"x{rng.random()}"
+        rows.append((1000 + i, " ".join(w)))
+    w = [f"c{i}" for i in range(120)]
+    for i in range(12):
+        w[i * 9] = f"y{i}"
+        rows.append((500 - i, " ".join(w)))
+    rng.shuffle(rows)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got.collect()} == brute_classes(rows)
+
+
+def test_connected_components_of_a_long_path(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(1, 90)] + [(200, 100), (100, 150)], "a long, b long")
+    got = {r["id"]: r["component"] for r in minhash.connected_components(edges).collect()}
+    assert all(got[i] == 1 for i in range(1, 91)) and got[200] == got[150] == 100
+
+
+def brute_targets(sizes, weights=(3, 1, 2)):
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode("utf-32-be")) + ([None] if None in sizes else [])
+    w = {s: weights[i % 3] for i, s in enumerate(names)}
+    total, target, open_ = 1.5 * sum(sizes.values()), dict.fromkeys(names, 0.0), set(names)
+    while total > 1e-9 and open_:
+        share = sum(w[s] for s in open_)
+        extra = 0.0
+        for s in sorted(open_, key=str):
+            target[s] += total * w[s] / share
+        for s in list(open_):
+            if target[s] >= 2 * sizes[s]:
+                extra += target[s] - 2 * sizes[s]
+                target[s] = 2.0 * sizes[s]
+                open_.discard(s)
+        total = extra
+    return target
+
+
+def check_mix(rows, got, block):
+    sizes = collections.Counter()
+    for _, text, _, source in rows:
+        sizes[source] += len(WORD.findall(text or ""))
+    target = brute_targets(sizes)
+    taken = collections.Counter()
+    assert len(got) == len(rows)
+    for r in got:
+        assert 0 <= r["taken"] <= 2 * r["size"] and r["source_size"] == sizes[r["source"]] and abs(r["target"] - target[r["source"]]) < 1e-6 * max(1, target[r["source"]])
+        taken[r["source"]] += r["taken"]
+    for s, t in target.items():
+        assert taken[s] == int(t + 1e-6), s
+
+
+def test_mix_on_odd_rows(spark):
+    d = documents(spark, odd_rows())
+    got = mixing.mix(d, block_words=64).collect()
+    check_mix(odd_rows(), got, 64)
+    again = mixing.mix(d.repartition(7), block_words=64).collect()
+    key = lambda rows: sorted(map(str, rows))
+    assert key(got) == key(again)
+    assert mixing.mix(documents(spark, [])).count() == 0
+    assert [r["taken"] for r in mixing.mix(documents(spark, [(1, None, None, None)])).collect()] == [0]
+
+
+@needs_tables
+def test_mix_of_the_tables(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in d.collect()]
+    placed, pieces = mixing.mix_pieces(d, block_words=100)
+    check_mix(rows, mixing.mix(d, block_words=100).collect(), 100)
+    p = pieces.collect()
+    slots = {(r["source_rank"], r["block"]): r["slot"] for r in p}
+    words = collections.Counter()
+    for r in p:
+        words[r["source_rank"], r["block"]] += r["words"]
+    assert all(n <= 100 for n in words.values()) and sum(n < 100 for n in words.values()) <= 20 + 1
+    half = max(slots.values()) // 2  # the first half of the mix already has its shares
+    by = collections.Counter(s for (s, _), slot in slots.items() if slot <= half)
+    whole = collections.Counter(s for s, _ in slots)
+    assert all(abs(by[s] - n / 2) <= 4 for s, n in whole.items())
+
+
+def test_quality_features_and_fit():
+    x = quality_model.features(pa.array(["", None, "One two. One two.\nOne two.\nOne two.", "### a|b " * 50]))
+    assert x[0].tolist() == x[1].tolist() and not x[0][[1, 2, 3, 5, 7]].any()
+    assert x[2][quality_model.FEATURES.index("repeated_lines")] == pytest.approx(1 / 3)
+    rng = np.random.default_rng(0)
+    data = rng.random((2000, 4))
+    y = ((data[:, 0] > 0.5) ^ (data[:, 1] > 0.5)).astype(float)  # only a pair can tell
+    m = quality_model.fit(data, y)
+    assert ((m.score(data) > 0.5) == y).mean() > 0.95
+    assert quality_model.fit(data[:0], y[:0]).score(data[:3]).tolist() == [0.5] * 3
+
+
+def test_pairs_add_to_single_features():
+    rng = np.random.default_rng(1)
+    data = rng.random((500, 3))
+    y = (data[:, 2] > 0.3).astype(float)
+    assert ((quality_model.fit(data, y).score(data) > 0.5) == y).mean() > 0.98
+
+
+@needs_tables
+@pytest.mark.parametrize(("name", "label", "least"), [("op3_quality_classifier", "quality", 0.93), ("op7_toxicity", "toxic", 0.9)])
+def test_held_out_accuracy(spark, name, label, least):
+    sf = "/root/testdata/sf0.01"
+    got = queries()[name](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
+    assert len(got) > 50
+    assert sum(r["predicted"] == r[label] for r in got) / len(got) >= least
+    for r in got:
+        n = zlib.crc32(str(r["doc_id"]).encode())
+        assert n % 4 == 2 if label == "quality" else n % 5 == 0
+
+
+def test_classifiers_on_odd_rows(spark):
+    d = documents(spark, odd_rows())
+    for labels in ([], [(1, 1, 0), (8, 0, 1), (9, None, None), (None, 1, 1), (6, 1, 0), (6, 1, 0)]):
+        lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+        for got in (quality_model.score(d, quality_model.train(d, lab)).collect(), toxicity.score_toxicity(d, lab).collect()):
+            assert len(got) == len(odd_rows()) and all(0 <= r["score"] <= 1 for r in got)
+        assert quality_model.score(d.limit(0), quality_model.train(d.limit(0), lab)).count() == 0
+        assert toxicity.score_toxicity(d.limit(0), lab).count() == 0
+
+
+def test_label_model_finds_good_voters():
+    rng = np.random.default_rng(2)
+    y = rng.random(20_000) < 0.1
+    k = len(toxicity.VOTERS)
+    rate = np.where(np.arange(k) < 6, 0.6, 0.03)
+    v = (rng.random((len(y), k)) < np.where(y[:, None], rate, 0.02)).astype(int)
+    v[:, 7] = v[:, 8] = v[:, 6]  # copies of one voter
+    seen, n = np.unique(v, axis=0, return_counts=True)
+    m = toxicity.fit_label_model(seen, np.full(len(seen), -1), n.astype(float))
+    assert (m.rates[1, :6] > 5 * m.rates[0, :6]).all() and (m.weight[[6, 7, 8]] < 0.6).all()
+    assert ((m.posterior(v, np.full(len(v), -1)) > 0.5) == y).mean() > 0.97
+
+
+def test_main_text_of_articles(spark):
+    page = """<html><head><title>T</title></head><body><header>Head</header><nav><a>Menu</a></nav><div class="ad">Buy</div><article><h1>Title &amp; more</h1>
+    <p>One <b>two</b>
+    three<br>four<p>Five&nbsp;&#x41;</p><aside>side</aside><script>var t="</p>";</script><ul><li>a<li>b</ul><div class="comments">rude</div></article><footer>&copy;</footer>"""
+    rows = [(1, "http://h/1", page), (2, "http://h/2", None), (3, None, ""), (4, "http://h/4", "<article><p>cut off &am"), (1, "http://h/1", page), (None, None, "plain < text")]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"row": F.lit(1), "host": F.lit("x"), "text": F.lit("y")})
+    got = collections.Counter((r["page_id"], r["text"], r["n_chars"]) for r in html_text.extract(d).collect())
+    text = "Title & more\nOne two three four\nFive A\na\nb"
+    assert got == collections.Counter([(1, text, len(text))] * 2 + [(2, "", 0), (3, "", 0), (4, "cut off &am", 11), (None, "plain < text", 12)])
+    assert html_text.extract(d.limit(0)).count() == 0
+
+
+def test_host_suffix_array_against_brute_force(spark):
+    """Pages without an article element: what six tokens or more repeat on another page of the host goes."""
+    rng = random.Random(8)
+    shared = [" ".join(f"s{k}_{i}" for i in range(10)) for k in range(4)]
+    pages = []
+    for i in range(30):
+        host = "a" if i % 3 else "b"
+        blocks = [" ".join(f"u{i}_{j}_{k}" for k in range(rng.randrange(1, 20))) for j in range(3)]
+        for s in rng.sample(shared, 2):
+            blocks.insert(rng.randrange(4), s)
+        pages.append((i, f"http://{host}/{i}", "<body>" + "".join(f"<div>{b}</div>" for b in blocks) + "</body>"))
+    pages.append((99, "http://b/99", pages[0][2]))
+    words = {i: [b.split() for b in re.findall("<div>(.*?)</div>", h)] for i, _, h in pages}
+    where = collections.defaultdict(set)
+    flat = {i: [w for b in bs for w in b] for i, bs in words.items()}
+    host = {i: u.split("/")[2] for i, u, _ in pages}
+    n = html_text.RUN
+    for i, ws in flat.items():
+        for p in range(len(ws) - n + 1):
+            where[host[i], tuple(ws[p : p + n])].add(i)
+    want = {}
+    for i, bs in words.items():
+        gone = {p + k for p in range(len(flat[i]) - n + 1) if len(where[host[i], tuple(flat[i][p : p + n])]) > 1 for k in range(n)}
+        lines, at = [], 0
+        for b in bs:
+            left = [w for k, w in enumerate(b, at) if k not in gone]
+            at += len(b)
+            if left:
+                lines.append(" ".join(left))
+        want[i] = "\n".join(lines)
+    got = html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    assert {r["page_id"]: r["text"] for r in got.collect()} == want
+
+
+@needs_tables
+def test_html_extraction_of_the_tables(spark):
+    source = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    for r in queries()["op4_html_extraction"](spark, SF).collect():
+        article = re.search(r"(?s)<article>(.*?)</article>", source[r["page_id"]]).group(1)
+        blocks = [re.sub(r"\s+", " ", htmllib.unescape(re.sub(r"<[^>]*>", "", b))).strip() for b in re.split(r"</?(?:p|h1)>", article)]
+        assert r["text"] == "\n".join(b for b in blocks if b)
+
+
+def test_neighbours_on_odd_vectors(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.standard_normal(16).tolist()) for i in range(200)]
+    rows += [(300 + i, rows[3][1]) for i in range(50)] + [(400, None), (401, [0.0] * 16), (402, [float("nan")] + [1.0] * 15), (403, [None] + [1.0] * 15), (404, [float("inf")] * 16), (405, [1.0, 2.0]), (None, rows[0][1]), (3, rows[3][1])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"entry": F.lit(1), "ids": F.lit("x"), "rank": F.lit(0)})
+    got = neighbours.search(v, v.where("vec_id % 50 = 0"), recall=0.999).collect()
+    good = {i: np.array(x) for i, x in rows if i is not None and x and len(x) == 16 and all(c is not None and np.isfinite(c) for c in x) and any(x)}
+    hits = total = 0
+    for q in sorted(i for i in good if i % 50 == 0):
+        cos = {i: float(neighbours.cosine(good[q][None], x[None])[0, 0]) for i, x in good.items() if i != q}
+        want = sorted(cos, key=lambda i: (-round(cos[i], 12), i))[:5]
+        mine = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q)
+        assert [r[0] for r in mine] == [1, 2, 3, 4, 5]
+        assert all(abs(s - cos[i]) < 1e-12 for _, i, s in mine)
+        hits, total = hits + len(set(want) & {i for _, i, _ in mine}), total + 5
+    assert hits >= 0.95 * total
+    assert {r["query_id"] for r in got} == {i for i in good if i % 50 == 0}
+    assert neighbours.search(v.limit(0), v.limit(0)).count() == 0
+    two = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    assert [(r["query_id"], r["vec_id"]) for r in neighbours.search(two, two.where("vec_id = 0")).collect()] == [(0, 1)]
+
+
+@needs_tables
+def test_recall_on_the_tables(spark):
+    p = spark.read.parquet(f"{SF}/embeddings.parquet").toPandas()
+    x, ids = np.array(p["embedding"].tolist(), dtype=float), p["vec_id"].to_numpy()
+    got = queries()["op5_nearest_neighbours"](spark, SF).toPandas().groupby("query_id")["vec_id"].apply(set)
+    hits = total = 0
+    for q in np.flatnonzero(ids % 50 == 0):
+        s = neighbours.cosine(x[q : q + 1], x)[0]
+        s[q] = -2
+        want = set(ids[np.lexsort((ids, -s))[:5]])
+        hits, total = hits + len(want & got[ids[q]]), total + 5
+    assert hits >= 0.9 * total
+
+
+def test_url_rules_against_brute_force(spark):
+    urls = ["http://www.example.com/en/x", "https://EXAMPLE.com/en/", "http://a.example.com/en/y?z", "http://sub.www.example.com/en/1", "http://x.net/es/", "http://x.net/fr/a#b", "http://x.net/de/", "http://net/es/a", "http://notexample.com/en/", "http://com", "no scheme", None, "", "x://h.org?q", "http://a.com/"]
+    d = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumns({"host": F.lit(1), "rule": F.lit("r"), "n": F.lit(0), "mean": F.lit(1)})
+    got = {r["page_id"]: r for r in url_filter.judge(d.unionAll(d.limit(1))).collect()}
+    for i, u in enumerate(urls):
+        rest = u.split("://", 1)[1] if u and "://" in u else ""
+        m = re.match(r"([^/?#]*)([^?#]*)", rest)
+        host, path = m.group(1).translate(LOWER), m.group(2)
+        fit = [(len(h + p), h + p, v) for h, p, v in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        r = got[i]
+        assert (r["host"], r["path"], r["rule"]) == (host, path, max(fit)[1] if fit else None)
+        assert r["verdict"] == max(fit)[2] if fit else r["verdict"] in ("allow", "block")
+    assert url_filter.judge(d.limit(0)).count() == 0
+
+
+def test_reputation_follows_evidence_and_shrinks(spark):
+    """A host without rules takes after its domain; one with its own evidence after that; no evidence at all is allowed."""
+    rows = [(f"http://h{i}.bad.net/es/{j}", i) for i in range(20) for j in range(5)] + [(f"http://h{i}.good.com/x/{j}", i) for i in range(20) for j in range(5)]
+    rows += [("http://h1.bad.net/de/1", 0), ("http://new.bad.net/de/", 0), ("http://lonely.org/", 0)]
+    d = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id long, url string")
+    got = {rows[r["page_id"]][0]: r["verdict"] for r in url_filter.judge(d).collect()}
+    assert got["http://h1.bad.net/de/1"] == "block" and got["http://new.bad.net/de/"] == "block" and got["http://lonely.org/"] == "allow"
+
+
+def test_chunked_encoding_is_the_encoders(spark):
+    v = sentencepiece.load(sentencepiece.MODEL)
+    rng = random.Random(6)
+    parts = [" ", "  ", "the", "ing", " a", "\n", "é", "ß", "中", "😀", "aaaa", "    ", "123", "</s>", "<0x0A>", "isis", "nonon", "\t"]
+    for _ in range(200):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(60)))
+        assert sentencepiece.encode_chunked(v, text, rng.choice([1, 2, 5, 17])) == v.sp.encode(text)
+    a, b, c = (sentencepiece.transfer(v, *p[1:]) for p in list(sentencepiece.chunks(v, v.sp.normalize("some words and more of them"), 9))[:3])
+    assert sentencepiece.combine(sentencepiece.combine(a, b), c) == sentencepiece.combine(a, sentencepiece.combine(b, c))
+
+
+def test_encoding_on_odd_rows(spark):
+    v = sentencepiece.load(sentencepiece.MODEL)
+    d = documents(spark, odd_rows()).withColumns({"ids": F.lit(1), "chunk": F.lit("c")})
+    for giant, d_ in ((50, d.where("doc_id is null or doc_id not in (6, 7)")), (10**9, d)):
+        got = sentencepiece.encode(d_, giant_chars=giant, chunk_chars=37)
+        by = collections.Counter((r["doc_id"], tuple(r["ids"]), r["round_trip"], r["n_ids"]) for r in got.collect())
+        rows = [r for r in odd_rows() if giant != 50 or r[0] not in (6, 7)]
+        want = collections.Counter((i, tuple(v.sp.encode(t or "")), True, len(v.sp.encode(t or ""))) for i, t, _, _ in rows)
+        assert by == want
+    assert sentencepiece.encode(d.limit(0)).count() == 0
+    back = sentencepiece.decode(sentencepiece.encode(d).where("doc_id = 4"))
+    assert back.collect()[0]["decoded"] == "Hi there"
+
+
+def brute_rules(text):
+    text = text or ""
+    w = WORD.findall(text)
+    triples = collections.Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    inside = {i + k for i in range(len(w) - 2) if triples[tuple(w[i : i + 3])] > 1 for k in range(3)}
+    seen, repeats = set(), 0
+    for line in text.split("\n"):
+        if WORD.search(line):
+            repeats += line in seen
+            seen.add(line)
+    base = len(w) < 50 or 100 * len(inside) > 50 * len(w)
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), repeats, len(inside), base
+
+
+def test_quality_rules_against_brute_force(spark):
+    rng = random.Random(9)
+    rows = odd_rows() + [(100 + i, "\n".join(" ".join(rng.choice("ab cd ef# g| hij".split()) for _ in range(rng.randrange(8))) for _ in range(30)), rng.choice(["en", None]), "s") for i in range(60)]
+    got = quality_rules.judge(documents(spark, rows)).collect()
+    want = collections.Counter((i, *brute_rules(t)) for i, t, _, _ in rows)
+    assert collections.Counter((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in got) == want
+    assert not any(r["kept"] and r["base_failed"] for r in got)
+    assert quality_rules.judge(documents(spark, [])).count() == 0
+
+
+def test_adaptive_thresholds_follow_the_group(spark):
+    """Symbols are normal in one source and strange in another."""
+    rng = random.Random(10)
+    text = lambda extra: " ".join(f"w{rng.randrange(10_000)}" + extra for _ in range(200))
+    rows = [(i, text("###"), "en", "code") for i in range(100)] + [(1000 + i, text(""), "en", "prose") for i in range(100)] + [(5000, text("###"), "en", "prose")]
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.judge(documents(spark, rows)).collect()}
+    assert not got[5000] and sum(got[i] for i in range(100)) >= 97 and sum(got[1000 + i] for i in range(100)) >= 97
+
+
+def check_shards(rows, got, shards):
+    assert len(got) == len(rows)
+    by = collections.defaultdict(list)
+    for r in got:
+        assert r["law"] == "rows" and r["grown_shard"] is None
+        by[r["shard"]].append(r["slot"])
+    counts = [len(by[s]) for s in range(shards)]
+    assert max(counts) - min(counts) <= 1 and all(sorted(x) == list(range(len(x))) for x in by.values())
+    want = collections.Counter((r[0], len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in rows)
+    assert collections.Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == want
+
+
+def test_sharding_on_odd_rows(spark):
+    d = documents(spark, odd_rows())
+    check_shards(odd_rows(), sharding.shard(d).collect(), 8)
+    assert sharding.shard(d.limit(0)).count() == 0
+    assert sharding.shard(d.limit(3)).count() == 3
+
+
+@needs_tables
+def test_every_shard_has_the_mixture(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = sharding.shard(d)
+    check_shards([(r["doc_id"], r["text"]) for r in d.collect()], got.collect(), 8)
+    by = got.join(d.select("doc_id", "source"), "doc_id").groupBy("source", "shard").count().collect()
+    whole = collections.Counter()
+    for r in by:
+        whole[r["source"]] += r["count"]
+    assert all(abs(r["count"] - whole[r["source"]] / 8) <= 2 for r in by)
+
+
+@needs_tables
+def test_pipeline(spark):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    at, seen = docs, []
+    for name, stage in p.STAGES[:-1]:
+        nxt = stage(spark, at, SF)
+        assert nxt.columns == docs.columns, name
+        nxt = spark.createDataFrame(nxt.collect(), docs.schema)
+        seen.append((name, at, nxt))
+        at = nxt
+    ids = lambda d: {r["doc_id"] for r in d.select("doc_id").collect()}
+    rejected = ids(toxicity.score_toxicity(docs, spark.read.parquet(f"{SF}/labels.parquet")).where("predicted = 1"))
+    assert ids(seen[0][2]) == ids(docs) - rejected
+    rows = [(r["doc_id"], r["text"]) for r in seen[2][1].collect()]
+    assert ids(seen[2][2]) == {i for i, (_, _, kept) in brute_classes(rows).items() if kept}
+    v = sentencepiece.load(sentencepiece.MODEL)
+    out = p.run(spark, SF).collect()
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert collections.Counter(r["doc_id"] for r in out) == collections.Counter(r["doc_id"] for r in at.collect())
+    assert all(r["round_trip"] and r["ids"] == v.sp.encode(text[r["doc_id"]]) for r in out)
+    assert p.ORACLE_SQL is None
