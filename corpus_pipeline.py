@@ -32,8 +32,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, once for each pass over their source in which it takes words of them."""
-    mixed = mixing.mix(docs).where("taken > 0").groupBy("doc_id").agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("times"))
-    return docs.join(mixed, "doc_id").withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("times")))).select(docs.columns)
+    mixed = mixing.mix(docs).where("taken > 0").groupBy("doc_id").agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("_mix_times"))
+    return docs.join(mixed, "doc_id").withColumn("_mix_pass", F.explode(F.sequence(F.lit(1), F.col("_mix_times")))).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
