@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, tuple[Query, str | None]] = {}
-_MODULES = ("scalar", "ledger", "pages", "search", "reports", "streams")
+_MODULES = ("scalar", "ledger", "pages", "search", "reports", "streams", "tables")
 
 
 class Tables:

@@ -66,7 +66,11 @@ def package_manifest(artifacts: DataFrame) -> DataFrame:
     return kept.groupBy("evidence_id").agg(F.array_sort(F.collect_set("logical_path")).alias("paths"))
 
 
-def export_markdown(evidence: DataFrame, root: str) -> None:
-    """content and metadata of each evidence as text, below its date; one row per file body."""
+def export_markdown(evidence: DataFrame, root: str, by_evidence: bool = True) -> None:
+    """content.md and meta.yaml of each evidence below its date: as text in a folder of their own, or as JSON lines
+    (evidence_id, file, value) per date, which a corpus of millions needs."""
     files = evidence.select("evidence_id", F.to_date("fetched_at").alias("date"), F.explode(F.create_map(F.lit("content.md"), F.col("markdown"), F.lit("meta.yaml"), F.col("meta_yaml"))).alias("file", "value"))
-    files.write.mode("append").partitionBy("date", "evidence_id", "file").text(root)
+    if by_evidence:
+        files.write.mode("append").partitionBy("date", "evidence_id", "file").text(root)
+    else:
+        files.write.mode("append").partitionBy("date").json(root)
