@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from evidencelake.llm.url_filter import RULES
+
 #: Exact near-duplicate classes: all shingle sets, all pairs that share a shingle, reachability by recursion.
 OP1 = r"""
 WITH RECURSIVE w AS (
@@ -25,4 +27,34 @@ SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(k.component_id, s.doc_
 FROM s LEFT JOIN c ON list_sort(s.s) = c.s AND len(s.s) > 0 LEFT JOIN k ON c.id = k.id
 """
 
-ORACLES = {"op1_minhash_near_dedup": OP1}
+#: The pages of the tables have one article each, so its blocks can be cut out by expressions.
+OP4 = r"""
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM (
+  SELECT page_id, url, array_to_string(list_filter(list_transform(regexp_split_to_array(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '</?(?:p|h1)>'),
+    lambda b: trim(regexp_replace(replace(replace(regexp_replace(b, '(?s)<[^>]*>', '', 'g'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))), lambda b: b <> ''), chr(10)) AS text
+  FROM pages)
+"""
+
+
+def _level(name: str, children: str, parent: str, prior: str) -> str:
+    return f"""{name}_base AS (SELECT c.*, p.alpha / (p.alpha + p.beta) AS mean, p.alpha + p.beta AS surety FROM {children} c JOIN {prior} p USING ({parent})),
+{name}_spread AS (SELECT sum((bad - n * mean) ** 2 / (n * mean * (1 - mean))) AS chi, count(*) AS k, sum(n - 1) AS extra FROM {name}_base WHERE n > 0),
+{name}_rho AS (SELECT CASE WHEN coalesce(extra, 0) = 0 THEN 0.5::DOUBLE ELSE least(0.5::DOUBLE, greatest(0.001::DOUBLE, (chi - k) / extra)) END AS rho FROM {name}_spread),
+{name} AS (SELECT b.* EXCLUDE (mean, surety), least(1 / rho - 1, surety) * mean + bad AS alpha, least(1 / rho - 1, surety) * (1 - mean) + n - bad AS beta FROM {name}_base b, {name}_rho)"""
+
+
+OP6 = f"""
+WITH p AS (SELECT page_id, lower(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)) AS host, regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+r(h, q, v) AS (VALUES {", ".join(str(x) for x in RULES)}),
+j AS (SELECT p.*, h || q AS rule, v FROM p LEFT JOIN r ON (host = h OR host LIKE '%.' || h) AND starts_with(path, q) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(h || q) DESC NULLS LAST) = 1),
+o AS (SELECT host, count(rule) AS n, count(*) FILTER (WHERE v = 'block') AS bad FROM j GROUP BY host),
+h AS (SELECT *, string_split(host, '.')[-1] AS suffix, array_to_string(string_split(host, '.')[-2:], '.') AS domain FROM o),
+d AS (SELECT domain, suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM h GROUP BY ALL),
+s AS (SELECT suffix, 0 AS root, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM d GROUP BY ALL),
+top AS (SELECT 0 AS root, sum(bad) + 0.5 AS alpha, sum(n) - sum(bad) + 0.5 AS beta FROM s),
+{_level("sl", "s", "root", "top")}, {_level("dl", "d", "suffix", "sl")}, {_level("hl", "h", "domain", "dl")},
+b AS (SELECT host, alpha / (alpha + beta) - 1.645 * sqrt(alpha * beta / (alpha + beta) ** 2 / (alpha + beta + 1)) AS bound FROM hl)
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN bound > 0.5 THEN 'block' ELSE 'allow' END) AS verdict FROM j LEFT JOIN b USING (host)
+"""
+
+ORACLES = {"op1_minhash_near_dedup": OP1, "op4_html_extraction": OP4, "op6_url_filter": OP6}
