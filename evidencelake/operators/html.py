@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,7 +42,7 @@ class _Nodes(HTMLParser):
         self.open: list[dict] = []
 
     def add(self, tag: str, attrs: dict[str, str], text: str | None) -> dict:
-        path = [{"node_id": n["node_id"], "tag": n["tag"], "dom_id": n["dom_id"], "classes": n["classes"]} for n in self.open] if text is not None else None
+        path = [n["node_id"] for n in self.open] if text is not None else None
         row = {
             "node_id": len(self.rows), "parent_id": self.open[-1]["node_id"] if self.open else -1, "end_id": len(self.rows), "depth": len(self.open), "tag": tag, "dom_id": attrs.get("id"),
             "classes": (attrs.get("class") or "").split(), "role": attrs.get("role"), "attrs": attrs, "text": text, "path": path,
@@ -88,17 +88,43 @@ def parse_nodes(html: str | None) -> list[dict]:
     return p.rows
 
 
+_FIELDS = {"node_id": pa.int32(), "parent_id": pa.int32(), "end_id": pa.int32(), "depth": pa.int32(), "tag": pa.string(), "dom_id": pa.string(), "classes": pa.list_(pa.string()), "role": pa.string(), "attrs": pa.map_(pa.string(), pa.string()), "text": pa.string()}
+
+
+def _batch(rows: list[dict], owners: list[int], bases: list[int]) -> pa.RecordBatch:
+    """Node rows of several pages as one batch. Paths are taken from the columns by index, so no node is written out twice in Python."""
+    columns = {k: pa.array([list(r[k].items()) if k == "attrs" else r[k] for r in rows], t) for k, t in _FIELDS.items()}
+    ends, places = [0], []
+    for r, base in zip(rows, bases, strict=True):
+        if r["path"]:
+            places += [base + k for k in r["path"]]
+        ends.append(len(places))
+    at = pa.array(places, pa.int64())
+    step = pa.StructArray.from_arrays([columns[k].take(at) for k in ("node_id", "tag", "dom_id", "classes")], ["node_id", "tag", "dom_id", "classes"])
+    paths = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), step, mask=pa.array([r["path"] is None for r in rows]))
+    return pa.record_batch([pa.array(owners, pa.int64()), *columns.values(), paths], ["page_id", *columns, "path"])
+
+
 def html_nodes(pages: DataFrame) -> DataFrame:
     """Node rows of pages (page_id, html), clustered by page."""
 
-    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for page_id, html in zip(f["page_id"], f["html"], strict=True):
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in source:
+            rows: list[dict] = []
+            owners: list[int] = []
+            bases: list[int] = []
+            for page_id, html in zip(b.column("page_id").to_pylist(), b.column("html").to_pylist(), strict=True):
                 got = parse_nodes(html)
-                if got:
-                    yield pd.DataFrame(got).assign(page_id=page_id)[["page_id", "node_id", "parent_id", "end_id", "depth", "tag", "dom_id", "classes", "role", "attrs", "text", "path"]]
-
-    return pages.select("page_id", "html").mapInPandas(rows, NODE_SCHEMA).repartition("page_id")
+                owners += [page_id] * len(got)
+                bases += [len(rows)] * len(got)
+                rows += got
+                if len(rows) > 20_000:
+                    yield _batch(rows, owners, bases)
+                    rows, owners, bases = [], [], []
+            if rows:
+                yield _batch(rows, owners, bases)
+
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "html").mapInArrow(batches, NODE_SCHEMA).repartition("page_id")
 
 
 def is_noise(n: Column) -> Column:
