@@ -77,7 +77,17 @@ def redact_message(c: Column) -> Column:
 
 def safe_options(options: Column) -> Column:
     """A flat map without keys that can hold secrets."""
-    return F.map_filter(options, lambda k, _: ~(F.lower(k).isin(*SENSITIVE_KEYS) | F.lower(k).endswith("_token") | F.lower(k).endswith("_url")))
+    return F.map_filter(options, lambda k, _: ~is_sensitive_key(k))
+
+
+def is_sensitive_key(k: Column) -> Column:
+    k = F.lower(k)
+    return k.isin(*SENSITIVE_KEYS) | k.endswith("_token") | k.endswith("_url")
+
+
+def safe_option_rows(path: Column) -> Column:
+    """For nested options kept as (path, value) rows: whether no part of the dotted path is a key that can hold a secret."""
+    return ~F.exists(F.split(path, r"\."), is_sensitive_key)
 
 
 def rewrite_image_paths(md: Column) -> Column:

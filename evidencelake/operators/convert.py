@@ -19,22 +19,26 @@ def convert_text(rows: DataFrame) -> DataFrame:
     return rows.select("page_id", md.alias("markdown"), F.lit("text_local").alias("converter"), F.lit(None).cast("string").alias("error_code"))
 
 
-def convert_web(rows: DataFrame) -> DataFrame:
+def convert_web(rows: DataFrame, selectors: tuple[str, ...] = html.ROOT_SELECTORS, least: int = 60, name: str = "web_page_local") -> DataFrame:
     """Gate first (native), then nodes for what passes, pruning, root, Markdown with the title in front."""
     gated = gates.quality_gate(rows)
     good = gated.where("is_valid")
     nodes = html.prune_link_density(html.drop_noise(html.html_nodes(good)))
     titles = good.select("page_id", metadata.title(F.col("html")).alias("title"))
-    md = html.to_markdown(nodes, html.content_root(nodes), titles)
+    md = html.to_markdown(nodes, html.content_root(nodes, selectors, least), titles)
     done = good.select("page_id").join(md, "page_id", "left").withColumn("markdown", F.concat(F.trim("markdown"), F.lit("\n")))
     short = F.coalesce(F.length("markdown") < 11, F.lit(True))
-    ok = done.select("page_id", F.when(~short, F.col("markdown")).alias("markdown"), F.lit("web_page_local").alias("converter"), F.when(short, "MARKDOWN_TOO_SHORT").alias("error_code"))
-    bad = gated.where("not is_valid").select("page_id", F.lit(None).cast("string").alias("markdown"), F.lit("web_page_local").alias("converter"), F.col("tag").alias("error_code"))
+    ok = done.select("page_id", F.when(~short, F.col("markdown")).alias("markdown"), F.lit(name).alias("converter"), F.when(short, "MARKDOWN_TOO_SHORT").alias("error_code"))
+    bad = gated.where("not is_valid").select("page_id", F.lit(None).cast("string").alias("markdown"), F.lit(name).alias("converter"), F.col("tag").alias("error_code"))
     return ok.unionByName(bad)
 
 
+def convert_wechat(rows: DataFrame) -> DataFrame:
+    return convert_web(rows, html.WECHAT_ROOTS, 0, "wechat_article_local")
+
+
 #: Converters by resource type; a plug-in is another entry, whose name belongs into the fingerprint.
-CONVERTERS: dict[str, Converter] = {"text": convert_text, "web_page": convert_web, "wechat_article": convert_web}
+CONVERTERS: dict[str, Converter] = {"text": convert_text, "web_page": convert_web, "wechat_article": convert_wechat}
 
 
 def convert(captures: DataFrame, converters: dict[str, Converter] | None = None) -> DataFrame:

@@ -24,6 +24,7 @@ PRUNE_CLASS_PARTS = ("footer", "header", "nav", "sidebar", "share", "copyright",
 DENSITY_TAGS = ("nav", "ul", "ol", "menu", "aside", "div", "section")
 CORE_WORDS = ("article", "content", "main", "body", "post", "detail", "zoom")
 MAIN_SELECTORS = ("#js_content", "article", "main", "[role=main]", "#ContentBody", "#content", "#main-content", "#article-content", "#article_content", ".article-content", ".article-body", ".post-content", ".entry-content", ".detail-content", ".content-main", ".news-content", ".main_content")
+WECHAT_ROOTS = ("#js_content", "#js_article")
 ROOT_SELECTORS = (
     "#ContentBody", "#content", "#main-content", "#article-content", "#article_content", "#article", "#detail", "#zoom", "#js_content", "article", "main", "[role=main]", ".article-content",
     ".article-body", ".post-content", ".entry-content", ".detail-content", ".content-main", ".zw-content", ".zwinfos", ".txtinfos", ".news-content", ".story-content", ".artical-content", ".main_content", ".article",

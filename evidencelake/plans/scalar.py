@@ -231,6 +231,14 @@ def e29_safe_options(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.array_join(F.transform(F.map_entries(kept), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("kept"))
 
 
+OPTION_PATHS = "SELECT doc_id, concat('a.', CASE doc_id % 5 WHEN 0 THEN 'Token' WHEN 1 THEN 'x_url.b' WHEN 2 THEN 'language' WHEN 3 THEN 'tokens.seed' ELSE 'pages' END) AS path, lang AS value FROM {documents}"
+
+
+@query(f"SELECT doc_id, path, value FROM ({OPTION_PATHS}) WHERE path IN ('a.language', 'a.pages')")
+def e29_safe_option_rows(t: Tables) -> DataFrame:
+    return t.sql(OPTION_PATHS).where(X.safe_option_rows(F.col("path")))
+
+
 IMAGED = "SELECT doc_id, concat('![a](images/', CAST(doc_id AS STRING), '.png) <IMG alt=\"x\" src=\"images/b.png\"> ', text) AS md FROM {documents}"
 
 

@@ -119,6 +119,9 @@ def test_convert_plug_in(spark):
     rows = spark.createDataFrame([(1, "text", "a\r\nb"), (2, "pdf", None), (3, "web_page", PAGE), (4, "web_page", "<body>x</body>")], "page_id long, resource_type string, html string")
     got = {r["page_id"]: r for r in convert.convert(rows).collect()}
     assert got[1]["markdown"] == "a\nb" and got[2]["error_code"] == "UNSUPPORTED_TYPE" and got[3]["markdown"].startswith("# Head") and got[4]["error_code"] == "CONTENT_TOO_SHORT"
+    special = '<body><div id="other">' + "noise " * 60 + '</div><div id="js_content"><p>' + "word " * 80 + "</p></div></body>"
+    md = convert.convert(spark.createDataFrame([(9, "wechat_article", special)], "page_id long, resource_type string, html string")).collect()[0]
+    assert md["markdown"].startswith("word") and md["converter"] == "wechat_article_local"
     pdf = lambda d: d.select("page_id", F.lit("pdf text").alias("markdown"), F.lit("own").alias("converter"), F.lit(None).cast("string").alias("error_code"))
     assert {r["page_id"]: r["converter"] for r in convert.convert(rows, {**convert.CONVERTERS, "pdf": pdf}).collect()}[2] == "own"
 
