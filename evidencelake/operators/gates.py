@@ -45,10 +45,14 @@ def quality_tag(html: Column, visible: Column) -> Column:
 
 
 def quality_gate(pages: DataFrame) -> DataFrame:
-    """pages (with html) plus visible_chars, is_valid, tag. Null html is empty."""
-    p = pages.withColumn("html", F.coalesce("html", F.lit(""))).withColumn("_v", visible_text(F.col("html")))
-    p = p.withColumn("tag", quality_tag(F.col("html"), F.col("_v"))).withColumn("visible_chars", F.length("_v").cast("long"))
-    return p.withColumn("is_valid", F.col("tag").isNull()).drop("_v")
+    """pages (with html) plus visible_chars, is_valid, tag. Null html is empty.
+
+    The html and its visible text are bound to variables of a lambda: the rules name them some thirty times, and a filter on
+    the tag would otherwise strip the page as often.
+    """
+    judged = F.transform(F.array(F.coalesce("html", F.lit(""))), lambda h: F.transform(F.array(visible_text(h)), lambda v: F.struct(quality_tag(h, v).alias("tag"), F.length(v).cast("long").alias("n")))[0])[0]
+    p = pages.withColumn("_gate", judged)
+    return p.withColumns({"html": F.coalesce("html", F.lit("")), "tag": F.col("_gate.tag"), "visible_chars": F.col("_gate.n"), "is_valid": F.col("_gate.tag").isNull()}).drop("_gate")
 
 
 def wechat_gate(html: Column) -> Column:
