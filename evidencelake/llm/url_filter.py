@@ -39,32 +39,26 @@ def decide(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...])
 
 
 def _level(children: DataFrame, parent: str, prior: DataFrame) -> DataFrame:
-    """Posterior (alpha, beta) of each key from its own (n, bad) and its parent's mean, with one strength per level."""
-    base = children.join(prior.select(F.col(parent), (F.col("alpha") / (F.col("alpha") + F.col("beta"))).alias("mean"), (F.col("alpha") + F.col("beta")).alias("surety")), parent)
+    """Posterior (alpha, beta) of each row of children from its own (n, bad) and its parent's mean, with one strength per level."""
+    total = F.col("alpha") + F.col("beta")
+    base = materialize(children.join(prior.select(parent, (F.col("alpha") / total).alias("mean"), total.alias("surety")), parent), "level")
     n, x, m = F.col("n"), F.col("bad"), F.col("mean")
-    spread = base.agg(
-        F.sum(F.when(n > 0, (x - n * m) ** 2 / (n * m * (1 - m)))).alias("chi"), F.sum(F.when(n > 0, F.lit(1.0))).alias("k"), F.sum(F.when(n > 0, n - 1.0)).alias("extra")
-    )
+    spread = base.where("n > 0").agg(F.sum((x - n * m) ** 2 / (n * m * (1 - m))).alias("chi"), F.count("*").alias("k"), F.sum(n - 1).alias("extra")).first()
     # var(x) = n m (1 - m) (1 + (n - 1) rho); strength = 1 / rho - 1
-    rho = F.greatest(F.lit(0.001), F.least(F.lit(0.5), F.coalesce((F.col("chi") - F.col("k")) / F.col("extra"), F.lit(0.5))))
-    strength = spread.select(F.lit(1).alias("level"), (1 / rho - 1).alias("strength"))
-    s = base.withColumn("level", F.lit(1)).join(F.broadcast(strength), "level")  # one row
-    strength = F.least("strength", "surety")  # a child's prior is no surer than its parent
-    return s.withColumn("alpha", strength * m + x).withColumn("beta", strength * (1 - m) + n - x).drop("surety", "mean")
+    rho = min(0.5, max(0.001, (spread["chi"] - spread["k"]) / spread["extra"])) if spread["extra"] else 0.5
+    strength = F.least(F.lit(1 / rho - 1), "surety")  # a child's prior is no surer than its parent
+    return base.withColumn("alpha", strength * m + x).withColumn("beta", strength * (1 - m) + n - x).drop("surety", "mean")
 
 
 def reputations(outcomes: DataFrame) -> DataFrame:
     """(host, alpha, beta) from (host, n, bad): one row per host."""
     labels = F.split("host", r"\.")
     h = outcomes.withColumn("suffix", F.element_at(labels, -1)).withColumn("domain", F.when(F.size(labels) > 1, F.concat_ws(".", F.slice(labels, -2, 2))).otherwise(F.col("host")))
-    d = h.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    s = d.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    top = s.agg(F.sum("n").alias("_n"), F.sum("bad").alias("_bad"))
-    root = top.select(F.lit(0).alias("root"), (F.col("_bad") + 0.5).alias("alpha"), (F.col("_n") - F.col("_bad") + 0.5).alias("beta"))
-    suffixes = _level(s.withColumn("root", F.lit(0)), "root", root)
-    domains = _level(d, "suffix", suffixes)
-    hosts = _level(h, "domain", domains)
-    return hosts.select("host", "alpha", "beta")
+    sums = (F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    d = h.groupBy("domain", "suffix").agg(*sums)
+    s = d.groupBy("suffix").agg(*sums).withColumn("root", F.lit(0))
+    root = s.groupBy("root").agg((F.sum("bad") + 0.5).alias("alpha"), (F.sum("n") - F.sum("bad") + 0.5).alias("beta"))
+    return _level(h, "domain", _level(d, "suffix", _level(s, "root", root))).select("host", "alpha", "beta")
 
 
 def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, limit: float = 0.5, z: float = 1.645) -> DataFrame:
@@ -76,7 +70,7 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, lim
     p = pages.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
     p = p.withColumn("hit", decide(F.col("host"), F.col("path"), rules))
     p = materialize(p.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.col("hit.verdict").alias("ruled")), "judged")
-    outcomes = p.groupBy("host").agg(F.count("rule").alias("n"), F.count_if(F.col("ruled") == "block").alias("bad"))
+    outcomes = materialize(p.groupBy("host").agg(F.count("rule").alias("n"), F.count_if(F.col("ruled") == "block").alias("bad")), "outcomes")
     mean = F.col("alpha") / (F.col("alpha") + F.col("beta"))
     sd = F.sqrt(mean * (1 - mean) / (F.col("alpha") + F.col("beta") + 1))
     known = reputations(outcomes).select("host", (mean - z * sd).alias("bad_bound"))
