@@ -193,7 +193,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     if not more.isEmpty():
         labels = connected_components(edges.unionByName(more))
 
+    # A table of its own: the join below then reads both sides from exchanges, and a class with very many copies can be split.
     classes = reps.join(labels.withColumnRenamed("component", "component_id"), "id", "left").select(*key, F.coalesce("component_id", "id").alias("component_id"))
+    classes = materialize(classes, "classes")
     out = signed.drop("bands").join(classes, key, "left")
     return out.select(
         "doc_id",
