@@ -11,14 +11,14 @@ import pyarrow as pa
 #: Bytes of text that are hashed at once; a longer document is a slice of its own.
 SLICE_BYTES = 1 << 20
 
-rng = np.random.Generator(np.random.PCG64(20240131))
 
-
-def odd(n: int) -> np.ndarray:
+def odd(n: int, seed: int) -> np.ndarray:
+    """n odd 64-bit constants, the same in every process: nothing depends on which module was imported first."""
+    rng = np.random.Generator(np.random.PCG64(seed))
     return rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-BYTE_HASH = odd(256)
+BYTE_HASH = odd(256, 1)
 for _c in range(65, 91):  # A-Z hash as a-z
     BYTE_HASH[_c] = BYTE_HASH[_c + 32]
 _BASE = np.uint64(0x9E3779B97F4A7C15)

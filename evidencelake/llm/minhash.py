@@ -35,9 +35,9 @@ from evidencelake.llm.hashing import Powers, mix, odd, slices
 PERMUTATIONS, BANDS, ROWS = 96, 32, 6
 SHINGLE_WORDS = 5
 
-_PLACE = odd(SHINGLE_WORDS)
-_MULTIPLY, _ADD = odd(PERMUTATIONS), odd(PERMUTATIONS)
-_BAND = odd(ROWS)
+_PLACE = odd(SHINGLE_WORDS, 2)
+_MULTIPLY, _ADD = odd(PERMUTATIONS, 3), odd(PERMUTATIONS, 4)
+_BAND = odd(ROWS, 5)
 _OTHER = np.uint64(0x9E3779B97F4A7C15)
 
 

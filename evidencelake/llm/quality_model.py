@@ -29,7 +29,7 @@ _SYMBOL, _UPPER, _LOWER, _DIGIT, _MARK = (np.zeros(256, bool) for _ in range(5))
 _SYMBOL[list(b"#*$%&|<>~^_={}[]")] = True
 _UPPER[65:91] = _LOWER[97:123] = _DIGIT[48:58] = True
 _MARK[list(b".,;:!?")] = True
-_TRIPLE = odd(3)
+_TRIPLE = odd(3, 6)
 
 
 def features(texts: pa.Array, powers: Powers | None = None) -> np.ndarray:

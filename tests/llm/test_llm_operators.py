@@ -4,6 +4,8 @@ import collections
 import html as htmllib
 import random
 import re
+import subprocess
+import sys
 import zlib
 from pathlib import Path
 
@@ -16,6 +18,7 @@ from evidencelake.llm import html_text, minhash, mixing, neighbours, quality_mod
 from evidencelake.llm.queries import queries
 
 SF = "/root/testdata/sf0.001"
+ROOT = str(Path(__file__).resolve().parents[2])
 needs_tables = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -91,6 +94,13 @@ def test_near_duplicates_of_chains_and_edited_groups(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got.collect()} == brute_classes(rows)
 
 
+def test_hashes_do_not_depend_on_the_order_of_imports():
+    """Workers import what their first task needs; all have to agree."""
+    code = "import {}; from evidencelake.llm import minhash as m, quality_model as q; import pyarrow as pa; s = next(m.shingle_sets(pa.array(['a b c d e f']))); print(s, m.bands(s)[:3], q._TRIPLE, q.features(pa.array(['a b c d']))[0][7])"
+    got = {subprocess.run([sys.executable, "-c", code.format(first)], capture_output=True, text=True, check=True, cwd=ROOT).stdout for first in ("evidencelake.llm.minhash", "evidencelake.llm.quality_model", "evidencelake.llm.toxicity")}
+    assert len(got) == 1
+
+
 def test_connected_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 90)] + [(200, 100), (100, 150)], "a long, b long")
     got = {r["id"]: r["component"] for r in minhash.connected_components(edges).collect()}
