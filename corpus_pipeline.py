@@ -26,8 +26,8 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest doc_id."""
-    return minhash.keep_first(docs).select(docs.columns)
+    """One document of each group of near-duplicates (five words, similarity 0.8 or more), that with the smallest doc_id."""
+    return minhash.keep_first(docs, percent=80).select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

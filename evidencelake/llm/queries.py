@@ -15,7 +15,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(_read(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(_read(spark, sf_dir, "documents"), percent=85)
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
