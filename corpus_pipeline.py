@@ -13,27 +13,28 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier doesn't reject."""
-    scored = toxicity.score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return docs.join(scored.where("predicted = 1").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """Rows that the toxicity classifier doesn't reject, with or without doc_id."""
+    return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
-    model = quality_model.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rejected = quality_model.score(docs, model).where("predicted = 0").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+    """Rows that the quality classifier accepts, with or without doc_id."""
+    return quality_model.keep_accepted(docs, quality_model.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, similarity 0.8 or more), that with the smallest doc_id."""
+    """One document of each group of near-duplicates (five words, similarity 0.8 or more), that with the smallest doc_id. Rows without doc_id stay."""
     return minhash.keep_first(docs, percent=80).select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, once for each pass over their source in which it takes words of them."""
-    mixed = mixing.mix(docs).where("taken > 0").groupBy("doc_id").agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("_mix_times"))
-    return docs.join(mixed, "doc_id").withColumn("_mix_pass", F.explode(F.sequence(F.lit(1), F.col("_mix_times")))).select(docs.columns)
+    """The rows that the mix takes, once for each pass over their source in which it takes words of them.
+
+    Rows get a key of their own and are kept as a table with it, so that null and repeated doc_ids come back as the rows they are.
+    """
+    rows = materialize(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "mix-rows")
+    mixed = mixing.mix(rows, row="_mix_row").where("taken > 0").select(F.col("row").alias("_mix_row"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("_mix_times"))
+    return rows.join(mixed, "_mix_row").withColumn("_mix_pass", F.explode(F.sequence(F.lit(1), F.col("_mix_times")))).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

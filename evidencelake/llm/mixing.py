@@ -83,22 +83,25 @@ def _streams(sized: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
     d = sized.join(names, sized.source.eqNullSafe(names._s), "left").drop("_s")
     d = d.withColumn("shuffle", F.xxhash64(F.lit(seed), "doc_id")).withColumn("bucket", F.shiftrightunsigned("shuffle", 55).cast("int"))
     offsets = running_offsets(d, ["source_rank"], "bucket", F.col("size"), "_total", "before").drop("_total")
-    place = Window.partitionBy("source_rank", "bucket").orderBy("shuffle", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ties = [c for c in ("tie", "row") if c in d.columns]
+    place = Window.partitionBy("source_rank", "bucket").orderBy("shuffle", "doc_id", "size", *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     d = d.join(offsets, ["source_rank", "bucket"])
     return d.withColumn("start", F.col("before") + F.sum("size").over(place) - F.col("size")).drop("before", "bucket", "shuffle")
 
 
-def sized_documents(docs: DataFrame, size: Column | None = None) -> DataFrame:
-    return docs.select("doc_id", "source", (n_words(F.col("text")) if size is None else size).alias("size"))
+def sized_documents(docs: DataFrame, size: Column | None = None, row: str | None = None) -> DataFrame:
+    """With row, the name of a column that tells rows apart: also row, and tie, a hash of the other columns."""
+    by = [] if row is None else [F.col(row).alias("row"), F.xxhash64(*(F.col(c) for c, t in docs.dtypes if c != row and "map<" not in t)).alias("tie")]
+    return docs.select("doc_id", "source", (n_words(F.col("text")) if size is None else size).alias("size"), *by)
 
 
-def mix_pieces(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share_percent: int = 150, most_times: int = 2, block_words: int = 1024, seed: int = 17) -> tuple[DataFrame, DataFrame]:
+def mix_pieces(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share_percent: int = 150, most_times: int = 2, block_words: int = 1024, seed: int = 17, row: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents, pieces): every row of docs with its place and its source's target, and the pieces of documents in slot order.
 
     documents: doc_id, source, size, source_rank, source_size, target, start. pieces: slot, source_rank, block, doc_id,
     start, first (word of the document), words, repetition (0 or 1).
     """
-    sized = materialize(sized_documents(docs), "sizes")
+    sized = materialize(sized_documents(docs, row=row), "sizes")
     targets = materialize(source_targets(sized, weights, share_percent, most_times), "targets", 1)
     placed = materialize(_streams(sized, targets, seed), "streams")
     quota = F.floor("target").cast("long")
@@ -115,13 +118,17 @@ def mix(docs: DataFrame, **options: object) -> DataFrame:
 
     Null and empty texts have size 0 and are never taken; null sources are a source of their own; repeated rows are told
     apart by their places in the stream. Reruns agree: order depends on ids alone. An empty table gives an empty result.
+
+    With the option row, the name of a column that tells rows apart, the result has it as `row`, and rows of one doc_id and
+    size (or without doc_id) are ordered by a hash of their other columns, so that reruns take the same texts.
     """
     placed, pieces = mix_pieces(docs, **options)
     taken = pieces.groupBy("source_rank", "start").agg(F.sum("words").cast("long").alias("taken"))
     sized = placed.where("size > 0").join(taken, ["source_rank", "start"], "left")
     rest = placed.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
     out = sized.unionByName(rest, allowMissingColumns=True)
-    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    own = ["row"] if options.get("row") else []
+    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *own)
 
 
 __all__ = ["mix", "mix_pieces", "source_targets", "schedule"]

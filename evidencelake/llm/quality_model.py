@@ -225,3 +225,18 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
 
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(rows, "doc_id long, score double, predicted int")
     return scored.select("doc_id", is_held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", "predicted")
+
+
+def keep_accepted(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+    """The rows of docs with score's `predicted` 1, each judged by its own text; ids play no part."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                yield part.filter(pa.array(shared.value.score(features(part.column("text"), powers)) >= threshold))
+
+    typed = docs.withColumn("text", F.col("text").cast("string"))
+    return typed.mapInArrow(rows, typed.schema)

@@ -286,6 +286,10 @@ def train(hits: DataFrame, known: DataFrame, max_rows: int = 30_000) -> np.ndarr
     return fit_linear(xs, target, np.concatenate((np.ones(len(own)), light)))
 
 
+def _probability(x: np.ndarray, coefficients: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(linear_features(x) @ coefficients[:-1] + coefficients[-1], -30, 30)))
+
+
 def score(hits: DataFrame, coefficients: np.ndarray, threshold: float = 0.5) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of hits; plain column arithmetic on the counts."""
     shared = hits.sparkSession.sparkContext.broadcast(coefficients)
@@ -293,8 +297,7 @@ def score(hits: DataFrame, coefficients: np.ndarray, threshold: float = 0.5) ->
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat = batch.column("x").flatten().to_numpy(zero_copy_only=False)
-            f = linear_features(flat.reshape(-1, N_COUNTS))
-            s = 1 / (1 + np.exp(-np.clip(f @ shared.value[:-1] + shared.value[-1], -30, 30)))
+            s = _probability(flat.reshape(-1, N_COUNTS), shared.value)
             yield pa.record_batch([batch.column("doc_id"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     scored = hits.select("doc_id", "x").mapInArrow(rows, "doc_id long, score double, predicted int")
@@ -310,3 +313,21 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -
     known = materialize(known_labels(labels), "labels")
     hits = count_hits(docs, mine(docs, known))
     return score(hits, train(hits, known), threshold)
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs with score_toxicity's `predicted` 0, each judged by its own text in a second pass; ids play no part."""
+    known = materialize(known_labels(labels), "labels")
+    mined = mine(docs, known)
+    shared = docs.sparkSession.sparkContext.broadcast((mined, train(count_hits(docs, mined), known)))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        mined, coefficients = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                yield part.filter(pa.array(_probability(hit_counts(part.column("text"), mined, powers), coefficients) < threshold))
+
+    typed = docs.withColumn("text", F.col("text").cast("string"))
+    return typed.mapInArrow(rows, typed.schema)
