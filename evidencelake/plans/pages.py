@@ -156,6 +156,8 @@ def h16_attach_precomputed(t: Tables) -> DataFrame:
 
 
 IDS = """SELECT doc_id, concat('See DOI: 10.1016/j.cell.', CAST(doc_id % 50 AS STRING), '. And 10.1016/J.CELL.', CAST(doc_id % 50 AS STRING), ', PMID: ', CAST(38000000 + doc_id % 40 AS STRING), ' pmc', CAST(1234567 + doc_id % 5 AS STRING), ' PMC', CAST(1234567 + doc_id % 5 AS STRING), ' NCT0123', CAST(1000 + doc_id % 9 AS STRING), ' ChiCTR-TRC-1234567 ORCID 0000-0002-1825-009X ', substring(text, 1, 50)) AS t FROM {documents}"""
+#: The query's own input: the header before the whole text. The SQL keeps its first 50 characters, so it says the same only where texts hold no identifiers.
+IDS_WHOLE = IDS.replace("substring(text, 1, 50)", "coalesce(text, '')")
 _RE = {"DOI": "(?i)\\b(10\\.\\d{4,9}/[-._;()/:A-Za-z0-9]+)\\b", "PMID": "(?i)\\b(?:PMID|PubMed(?:\\s*ID)?)[ \\t:]*(\\d{6,9})\\b", "PMCID": "(?i)\\b(PMC\\d{6,8})\\b", "NCT": "(?i)\\b(NCT\\d{8})\\b", "ChiCTR": "(?i)\\b(ChiCTR(?:-[A-Za-z0-9]+)?\\d{6,10})\\b", "ORCID": "(?i)\\b(\\d{4}-\\d{4}-\\d{4}-\\d{3}[\\dX])\\b"}
 _VALUE = {"DOI": "regexp_replace(x, '[.,;)>\\]]+$', '')", "PMCID": "upper(x)", "NCT": "upper(x)"}
 _FOUND = " UNION ALL ".join(f"SELECT doc_id, {i} AS rank, '{k}' AS type, unnest(l) AS x, generate_subscripts(l, 1) AS n FROM (SELECT doc_id, regexp_extract_all(t, '{p}', 1) AS l FROM ({IDS}))" for i, (k, p) in enumerate(_RE.items()))
@@ -164,13 +166,13 @@ _FOUND = " UNION ALL ".join(f"SELECT doc_id, {i} AS rank, '{k}' AS type, unnest(
 @query(f"""WITH v AS (SELECT doc_id, rank, type, n, CASE type WHEN 'DOI' THEN {_VALUE['DOI']} WHEN 'PMCID' THEN upper(x) WHEN 'NCT' THEN upper(x) ELSE x END AS value FROM ({_FOUND})), k AS (SELECT *, CASE type WHEN 'DOI' THEN lower(value) WHEN 'ChiCTR' THEN upper(value) ELSE value END AS key FROM v),
  f AS (SELECT doc_id, rank, type, key, min(n) AS n, arg_min(value, n) AS value FROM k GROUP BY ALL) SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY rank, n))::INTEGER AS position, type, value FROM f""")
 def m1_extract_identifiers(t: Tables) -> DataFrame:
-    return M.extract_identifiers(t.sql(IDS), "doc_id", "t")
+    return M.extract_identifiers(t.sql(IDS_WHOLE), "doc_id", "t")
 
 
 @query(f"""WITH l AS (SELECT doc_id, unnest(regexp_extract_all(t, '{_RE["PMID"]}', 1)) AS value FROM ({IDS})) SELECT doc_id, 1 AS position, 'PMID' AS type, value FROM l GROUP BY ALL""")
 def m2_identifier_flags(t: Tables) -> DataFrame:
     flags = t.spark.createDataFrame([("PMID", True), ("DOI", False)], "type string, enabled boolean")
-    return M.extract_identifiers(t.sql(IDS), "doc_id", "t", flags)
+    return M.extract_identifiers(t.sql(IDS_WHOLE), "doc_id", "t", flags)
 
 
 HEADS = """SELECT page_id, concat(url, CASE WHEN page_id % 5 = 4 THEN '/2024-03-12/' ELSE '' END) AS url, replace(html, '</head>', concat(CASE page_id % 4 WHEN 0 THEN '<meta property="og:title" content=" Og &amp; title "><meta name="author" content="Ann B">' WHEN 1 THEN '<meta content="2024-05-06T07:08:09" property="article:published_time"><meta property="og:site_name" content="Site">' WHEN 2 THEN '<meta name="twitter:title" content="">' ELSE '' END, '</head>')) AS html FROM {pages}"""
