@@ -18,6 +18,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset("address article aside blockquote body dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol p pre section table tbody td tfoot th thead tr ul".split())
 LINE_TAGS = ("h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "blockquote")
 NOISE_TAGS = ("script", "style", "noscript", "svg", "header", "footer", "nav", "aside", "form", "iframe")
+STRIPPED_TAGS = ("script", "style", "noscript", "svg", "iframe", "form")
 NOISE_CLASSES = ("footer", "header", "nav", "navbar", "sidebar", "share", "copyright", "login", "menu")
 NOISE_IDS = ("footer", "header", "nav")
 PRUNE_CLASS_PARTS = ("footer", "header", "nav", "sidebar", "share", "copyright", "menu", "comment", "recommend", "relate", "advertisement")
@@ -247,14 +248,31 @@ def to_markdown(nodes: DataFrame, roots: DataFrame, titles: DataFrame | None = N
     return j.select("page_id", F.when(F.col("title").isNotNull() & ~F.col("markdown").startswith("# "), F.concat(F.lit("# "), "title", F.lit("\n\n"), "markdown")).otherwise(F.col("markdown")).alias("markdown"))
 
 
+def page_titles(nodes: DataFrame) -> DataFrame:
+    """(page_id, title): the first h1, else the first title, of two characters or more; elements inside STRIPPED_TAGS don't count."""
+    place = lambda *tags: F.array_sort(F.collect_list(F.when(F.col("tag").isin(*tags), F.struct("node_id", "end_id"))))
+    found = nodes.where(F.col("tag").isin("h1", "title", *STRIPPED_TAGS)).groupBy("page_id").agg(place("h1").alias("h1"), place("title").alias("title"), place(*STRIPPED_TAGS).alias("cut"))
+    first = lambda c: F.get(F.filter(c, lambda x: ~F.exists("cut", lambda s: x["node_id"].between(s["node_id"], s["end_id"]))), F.lit(0))["node_id"]
+    heads = found.select("page_id", F.explode(F.array(F.struct(F.lit(0).alias("rank"), first("h1").alias("head")), F.struct(F.lit(1).alias("rank"), first("title").alias("head")))).alias("h")).select("page_id", "h.*")
+    runs = nodes.where((F.col("tag") == "#text") & ~F.exists("path", lambda p: p["tag"].isin(*STRIPPED_TAGS)))
+    runs = runs.select("page_id", "node_id", "text", F.explode(F.filter("path", lambda p: p["tag"].isin("h1", "title"))).alias("p")).select("page_id", "node_id", F.regexp_replace("text", r"^\s+|\s+$", "").alias("t"), F.col("p.node_id").alias("head"))
+    texts = runs.join(heads, ["page_id", "head"]).groupBy("page_id", "rank").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "t"))), lambda x: x["t"]), "").alias("title")).where(F.length("title") >= 2)
+    return texts.groupBy("page_id").agg(F.min_by("title", "rank").alias("title"))
+
+
 def focused_text(pages: DataFrame) -> DataFrame:
-    """(page_id, text) for a model's prompt: pruned, main content (else body), runs joined by newlines."""
-    nodes = prune_link_density(drop_noise(html_nodes(pages)))
+    """(page_id, text) for a model's prompt, for every page_id: pruned, main content (else body, else the whole page), runs
+    joined by newlines. A title that the text lacks stands before it; pages without any text have an empty one."""
+    every = html_nodes(pages)
+    nodes = prune_link_density(drop_noise(every))
     roots = main_content(nodes).select("page_id", "node_id", "end_id")
     body = nodes.where("tag = 'body'").groupBy("page_id").agg(F.min_by(F.struct("node_id", "end_id"), "node_id").alias("b"))
-    root = body.join(roots, "page_id", "left").select("page_id", F.coalesce("node_id", "b.node_id").alias("_root"), F.coalesce("end_id", "b.end_id").alias("_end"))
+    ids = pages.select(F.col("page_id").cast("long").alias("page_id")).where("page_id is not null").distinct()
+    root = ids.join(body, "page_id", "left").join(roots, "page_id", "left").select("page_id", F.coalesce("node_id", "b.node_id", F.lit(0)).alias("_root"), F.coalesce("end_id", "b.end_id", F.lit(2**31 - 1)).alias("_end"))
     t = nodes.where("tag = '#text'").join(root, "page_id").where("node_id between _root and _end")
-    return t.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", F.trim("text").alias("t")))), lambda x: x["t"]), "\n").alias("text"))
+    texts = t.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", F.trim("text").alias("t")))), lambda x: x["t"]), "\n").alias("text"))
+    j = ids.join(texts, "page_id", "left").join(page_titles(every), "page_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
+    return j.select("page_id", F.when(F.col("title").isNotNull() & ~F.contains("text", "title"), F.concat(F.lit("【页面标题】："), "title", F.lit("\n\n"), "text")).otherwise(F.col("text")).alias("text"))
 
 
 def image_urls(nodes: DataFrame) -> DataFrame:
