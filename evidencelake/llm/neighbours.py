@@ -8,7 +8,7 @@ r is the distance of near neighbours in a bounded sample. Every vector is indexe
 
 Equal vectors are one entry with the smallest ids that any query could want, so a very common vector is one row. Buckets are
 split by salt; each part reranks its candidates for each query by exact cosine and only its best leave it; tables are merged
-by (query, candidate).
+by (query, candidate). Queries that got fewer than k rows that way are compared with all vectors, in blocks.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ TABLES, WIDTH, RECALL = 4, 1.0, 0.97
 #: Rows of a bucket that one group should hold, on average.
 BUCKET_ROWS = 1500
 SAMPLE_ROWS = 2000
+#: Vectors, and queries, of one block of the exact scan.
+SCAN_ROWS = 4000
 MAX_PROJECTIONS = 6
 
 
@@ -125,7 +127,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, recall: float = R
     indexed = entries.mapInArrow(index, "t int, bucket long, salt int, entry long, embedding array<double>, ids array<long>")
     visits = asked.mapInArrow(visit, "t int, bucket long, salt int, entry long, embedding array<double>")
 
-    def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
+    def closest(left: pa.Table, right: pa.Table, most: int) -> pa.Table:
         schema = pa.schema([("q", pa.int64()), ("e", pa.int64()), ("score", pa.float64()), ("ids", pa.list_(pa.int64()))])
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
@@ -135,7 +137,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, recall: float = R
         qe, ce = right.column("entry").to_numpy(), left.column("entry").to_numpy()
         for i in range(0, len(q), 256):
             s = cosine(q[i : i + 256], c)
-            m = min(k + 1, s.shape[1])
+            m = min(most, s.shape[1])
             cut = np.partition(s, s.shape[1] - m, axis=1)[:, s.shape[1] - m]
             a, b = np.nonzero(s >= cut[:, None])
             qs.append(qe[i + a])
@@ -144,14 +146,42 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, recall: float = R
             rows.append(b)
         return pa.table([np.concatenate(qs), np.concatenate(es), np.concatenate(scores), left.column("ids").take(pa.array(np.concatenate(rows)))], schema=schema)
 
+    def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
+        return closest(left, right, k + 1)
+
     found = indexed.groupBy("t", "bucket", "salt").cogroup(visits.groupBy("t", "bucket", "salt")).applyInArrow(rerank, "q long, e long, score double, ids array<long>")
     best = found.groupBy("q", "e").agg(F.max("score").alias("score"), F.first("ids").alias("ids")).select("q", "score", F.explode("ids").alias("vec_id"))
     few = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     best = best.withColumn("n", F.row_number().over(few)).where(F.col("n") <= k + 1)
     ids = queries.select(F.col("vec_id").cast("long").alias("query_id"), F.xxhash64(F.col("embedding").cast("array<double>")).alias("q")).where("query_id is not null").distinct()
     own = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    out = ids.join(best.select("q", "score", "vec_id"), "q").where("vec_id <> query_id")
-    return out.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def ranked(pairs: DataFrame) -> DataFrame:
+        return pairs.where("vec_id <> query_id").withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    out = materialize(ranked(ids.join(best.select("q", "score", "vec_id"), "q")), "neighbours")
+    full = out.where(F.col("rank") == k).select("query_id")
+    short = materialize(ids.join(asked.select(F.col("entry").alias("q"), "embedding"), "q").join(full, "query_id", "left_anti"), "short")
+    n_short = short.count()
+    if not n_short:
+        return out
+
+    # The buckets gave these queries fewer than k rows: all entries are compared with them, in blocks. An id that stands for
+    # several vectors may take as many places of its own query.
+    same = vectors.select(F.col("vec_id").cast("long").alias("query_id"), F.xxhash64(F.col("embedding").cast("array<double>")).alias("e")).join(short.select("query_id").distinct(), "query_id", "left_semi")
+    own_rows = same.groupBy("query_id").agg(F.count_distinct("e").alias("n")).agg(F.max("n")).first()[0] or 0
+    blocks, parts = math.ceil(n / SCAN_ROWS), math.ceil(n_short / SCAN_ROWS)
+    hashed = lambda m: F.pmod(F.xxhash64("entry", F.lit(1)), F.lit(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    left = entries.select("entry", "embedding", "ids", hashed(blocks).alias("block"), every(parts).alias("part"))
+    right = short.select(F.col("q").alias("entry"), "embedding").dropDuplicates(["entry"]).withColumn("part", hashed(parts)).select("entry", "embedding", "part", every(blocks).alias("block"))
+
+    def scan(left: pa.Table, right: pa.Table) -> pa.Table:
+        return closest(left, right, k + own_rows)
+
+    scanned = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(scan, "q long, e long, score double, ids array<long>")
+    scanned = scanned.select("q", "score", F.explode("ids").alias("vec_id")).withColumn("n", F.row_number().over(few)).where(F.col("n") <= k + own_rows)
+    completed = ranked(short.select("query_id", "q").join(scanned.select("q", "score", "vec_id"), "q"))
+    return out.join(short.select("query_id").distinct(), "query_id", "left_anti").select(out.columns).unionByName(completed)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
