@@ -13,11 +13,17 @@ SEPARATOR_CHARS = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one below the warehouse where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir, or one below the warehouse where that is unset.
+
+    On a cluster a warehouse on the driver's own disk won't do: each executor would write to a disk of its own.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured.rstrip("/")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if warehouse.split(":")[0] in (warehouse, "file") and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return warehouse + "/_intermediate"
 
 
 def materialize(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
@@ -47,6 +53,11 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
 
 
+def hash_bits(rows: int, rows_a_bucket: int = 50_000) -> int:
+    """Leading bits of a hash that deal rows into buckets of about rows_a_bucket: 6 at least, 30 at most."""
+    return min(30, max(6, (rows // rows_a_bucket).bit_length()))
+
+
 def hash_bucket(buckets: int, *cols: Column) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(buckets)).cast("int")
 

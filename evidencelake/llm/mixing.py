@@ -5,8 +5,12 @@ cut into blocks of equal numbers of words. The points frac(i * golden ratio) pas
 targets and so deal the mix's slots to sources; the r-th slot of a source takes its r-th block. A source's last block is
 as long as its target leaves, so that what it gives is its target, rounded down.
 
+Slots decide where in the mix a document's words stand (first_slot, n_slots; mixed_rows writes rows in that order); blocks
+decide how many of them are taken. The schedule has a row per block of the mix and is a table of its own, so that a join with
+it is broadcast only where its measured size is small.
+
 Positions in a stream are prefix sums in two steps (per hash bucket, then within it), so that a source with a third of all
-rows is spread over all tasks.
+rows is spread over all tasks; the number of buckets follows the number of rows.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidencelake.llm.common import materialize, n_words, running_offsets
+from evidencelake.llm.common import hash_bits, materialize, n_words, running_offsets
 
 GOLDEN = 0.6180339887498949
 SLOT_RUN = 4096
@@ -58,7 +62,7 @@ def schedule(targets: DataFrame, block_words: int) -> DataFrame:
     runs = runs.where("n > 0").repartition(spark.sparkContext.defaultParallelism * 2, "run")
     slots = runs.select("run", F.explode(F.sequence(F.col("run") * SLOT_RUN, F.least(F.col("n"), (F.col("run") + 1) * SLOT_RUN) - 1)).alias("slot"))
     cuts = t.agg(F.sort_array(F.collect_list(F.struct("upper", "source_rank", "blocks"))).alias("cuts"))
-    dealt = _deal(slots, cuts)
+    dealt = materialize(_deal(slots, cuts), "schedule")
     before = running_offsets(dealt, ["source_rank"], "run", F.lit(1), "dealt", "before")
     ranked = dealt.join(before, ["source_rank", "run"])
     own = Window.partitionBy("source_rank", "run").orderBy("slot")
@@ -81,7 +85,7 @@ def _streams(sized: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
     """Rows with words, each with the place where its words begin in its source's shuffled stream."""
     names = targets.select(F.col("source").alias("_s"), "source_rank", "source_size", "target")
     d = sized.join(names, sized.source.eqNullSafe(names._s), "left").drop("_s")
-    d = d.withColumn("shuffle", F.xxhash64(F.lit(seed), "doc_id")).withColumn("bucket", F.shiftrightunsigned("shuffle", 55).cast("int"))
+    d = d.withColumn("shuffle", F.xxhash64(F.lit(seed), "doc_id")).withColumn("bucket", F.shiftrightunsigned("shuffle", 64 - hash_bits(sized.count())).cast("int"))
     offsets = running_offsets(d, ["source_rank"], "bucket", F.col("size"), "_total", "before").drop("_total")
     ties = [c for c in ("tie", "row") if c in d.columns]
     place = Window.partitionBy("source_rank", "bucket").orderBy("shuffle", "doc_id", "size", *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -114,21 +118,36 @@ def mix_pieces(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share_perc
 
 
 def mix(docs: DataFrame, **options: object) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken for every row of docs (doc_id, source, text).
+    """doc_id, source, size, source_size, target, taken, first_slot, n_slots for every row of docs (doc_id, source, text).
 
-    Null and empty texts have size 0 and are never taken; null sources are a source of their own; repeated rows are told
-    apart by their places in the stream. Reruns agree: order depends on ids alone. An empty table gives an empty result.
+    first_slot and n_slots: the mix's slots that take words of the row; null and 0 where none do. Null and empty texts have
+    size 0 and are never taken; null sources are a source of their own; repeated rows are told apart by their places in the
+    stream. Reruns agree: order depends on ids alone. An empty table gives an empty result.
 
     With the option row, the name of a column that tells rows apart, the result has it as `row`, and rows of one doc_id and
     size (or without doc_id) are ordered by a hash of their other columns, so that reruns take the same texts.
     """
     placed, pieces = mix_pieces(docs, **options)
-    taken = pieces.groupBy("source_rank", "start").agg(F.sum("words").cast("long").alias("taken"))
+    taken = pieces.groupBy("source_rank", "start").agg(F.sum("words").cast("long").alias("taken"), F.min("slot").alias("first_slot"), F.count_distinct("slot").alias("n_slots"))
     sized = placed.where("size > 0").join(taken, ["source_rank", "start"], "left")
-    rest = placed.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
-    out = sized.unionByName(rest, allowMissingColumns=True)
+    out = sized.unionByName(placed.where("size = 0"), allowMissingColumns=True)
     own = ["row"] if options.get("row") else []
-    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *own)
+    none = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return out.select("doc_id", "source", "size", "source_size", "target", none("taken"), "first_slot", none("n_slots"), *own)
+
+
+def mixed_rows(docs: DataFrame, **options: object) -> DataFrame:
+    """The rows of docs that the mix takes, in the order of its slots, once for each pass over their source in which it takes words of them.
+
+    Rows get a key of their own and are kept as a table with it, so that null and repeated doc_ids come back as the rows they
+    are. The columns are those of docs. An empty table gives an empty result.
+    """
+    rows = materialize(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "mix-rows")
+    placed, pieces = mix_pieces(rows, row="_mix_row", **options)
+    passes = pieces.groupBy("source_rank", "start", "repetition").agg(F.min("slot").alias("_mix_slot"))
+    taken = placed.where("size > 0").join(passes, ["source_rank", "start"]).select(F.col("row").alias("_mix_row"), "_mix_slot", F.col("start").alias("_mix_start"))
+    taken = materialize(rows.join(taken, "_mix_row"), "mixed")
+    return taken.repartitionByRange(F.col("_mix_slot"), F.col("_mix_start")).sortWithinPartitions("_mix_slot", "_mix_start").select(docs.columns)
 
 
-__all__ = ["mix", "mix_pieces", "source_targets", "schedule"]
+__all__ = ["mix", "mixed_rows", "mix_pieces", "source_targets", "schedule"]
