@@ -6,9 +6,10 @@ Plan, for the whole table:
    set and a signature. Under each permutation both the minimum and the maximum are kept, so 96 hash evaluations give
    192 signature values; both collide with probability J. They are banded 32 x 6: a pair at the limit of 0.85 is missed
    with probability 3e-7.
-2. Documents of one digest have one set: they become one class, represented by its smallest doc_id.
-3. Classes that share a band bucket with another class are candidates; only their sets are built again from the texts and
-   kept as a table. For each, the shingles that no other candidate has are counted; they bound every similarity exactly:
+2. Rows of one digest have one set: they become one class with a number of its own, so that a doc_id that comes with two
+   texts is in two classes. A class knows the smallest doc_id of its rows.
+3. Classes that share a band bucket with another class are candidates; only their sets are built again, from one text each,
+   and kept as a table. For each, the shingles that no other candidate has are counted; they bound every similarity exactly:
    at most min(|x| - own(x), |y| - own(y)) shingles are common, and at most the sum of such minima over 16 classes of
    shingles, whose counts travel with the candidate in two longs.
 4. Each bucket compares its members with one pivot (that with the smallest share of own shingles: of a group of edited
@@ -17,7 +18,9 @@ Plan, for the whole table:
    Pairs within one component are never made: they cannot change the result. No pair of different components is left out.
 6. Components by label propagation with pointer jumping; every round is a table in the shared folder.
 
-A group's members are never gathered in one task, and the rows made grow with members and buckets, not with pairs.
+A group's members are never gathered in one task: joins on a bucket or a pivot with many members are split into parts. The rows
+made grow with members and buckets, not with pairs; only members of a bucket that the bounds leave open after step 4 meet the
+others, which is quadratic for texts that share much and yet aren't near-duplicates.
 """
 
 from __future__ import annotations
@@ -69,6 +72,11 @@ def bands(shingles: np.ndarray) -> np.ndarray:
     return mix((mix(np.concatenate((low, high)).reshape(BANDS, ROWS)) * _BAND).sum(1, dtype=np.uint64))
 
 
+def _digests(s: np.ndarray) -> tuple[int, int]:
+    """Two sums over a set's hashes that, with its size, tell sets apart."""
+    return int(s.sum(dtype=np.uint64).view(np.int64)), int(mix(s ^ _OTHER).sum(dtype=np.uint64).view(np.int64))
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     powers = Powers()
     for batch in batches:
@@ -76,24 +84,27 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(at, 500)
             n, one, two, sig = [], [], [], []
             for s in shingle_sets(part.column("text"), powers):
+                a, b = _digests(s)
                 n.append(len(s))
-                one.append(int(s.sum(dtype=np.uint64).view(np.int64)))
-                two.append(int(mix(s ^ _OTHER).sum(dtype=np.uint64).view(np.int64)))
+                one.append(a)
+                two.append(b)
                 sig.append(bands(s).view(np.int64) if len(s) else None)
             yield pa.record_batch(
-                [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sig, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "set_a", "set_b", "bands"],
+                [part.column("doc_id"), part.column("text_hash"), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sig, pa.list_(pa.int64()))],
+                ["doc_id", "text_hash", "n_shingles", "set_a", "set_b", "bands"],
             )
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sets of the rows (id, set_a, set_b, text) whose text has the digests asked for."""
     powers = Powers()
     for batch in batches:
         for at in range(0, batch.num_rows, 200):
             part = batch.slice(at, 200)
-            found = [s.view(np.int64) for s in shingle_sets(part.column("text"), powers)]
-            packed = [_packed(s) for s in found]
-            yield pa.record_batch([part.column("doc_id"), pa.array(found, pa.list_(pa.int64())), *(pa.array([p[i] for p in packed], pa.int64()) for i in (0, 1))], ["id", "shingles", "low", "high"])
+            asked = zip(*(part.column(c).to_pylist() for c in ("id", "set_a", "set_b")), strict=True)
+            found = [(i, s.view(np.int64)) for (i, *digests), s in zip(asked, shingle_sets(part.column("text"), powers), strict=True) if tuple(digests) == _digests(s)]
+            packed = [_packed(s) for _, s in found]
+            yield pa.record_batch([pa.array([i for i, _ in found], pa.int64()), pa.array([s for _, s in found], pa.list_(pa.int64())), *(pa.array([p[i] for p in packed], pa.int64()) for i in (0, 1))], ["id", "shingles", "low", "high"])
 
 
 def _packed(shingles: np.ndarray) -> tuple[int | None, int | None]:
@@ -134,35 +145,50 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return labels
 
 
+#: Members of a bucket, and pairs of a pivot, that one part of a split join takes.
+PART_ROWS = 5000
+
+
+def _part(of: Column, *by: str) -> Column:
+    return F.pmod(F.xxhash64(*by), of).cast("int")
+
+
+def _every(of: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0), of - 1))
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those (a, b) whose full sets reach the similarity. The larger set travels once per pair, the pivot's never."""
-    b = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
-    both = b.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
+    """Those (a, b) whose full sets reach the similarity. b's set travels once per pair; a's once per part of its pairs."""
+    degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("of"))
+    split = pairs.join(degree, "a").withColumn("part", _part(F.col("of"), "b")).drop("of")
+    left = sets.join(degree, sets.id == degree.a).select("a", F.col("shingles").alias("sa"), _every(F.col("of")).alias("part"))
+    b = split.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
+    both = b.join(left, ["a", "part"])
     common = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - common
     return both.where(100 * common >= percent * union).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text; other columns are ignored).
+KEY = ["n_shingles", "set_a", "set_b"]
 
-    Null, empty and blank texts have n_shingles 0, are their own component and are kept. Repeated rows are one node and
-    come out as often as they came in. Rows without doc_id come out with component_id null and kept true. An empty table
-    gives an empty result.
-    """
-    schema = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
+
+def classes_of(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, classes): doc_id, text_hash and KEY for every row of docs; KEY, component and component_id (smallest doc_id) per class."""
+    schema = "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, bands array<long>"
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = materialize(source.mapInArrow(_signatures, schema), "signatures")
-    key = ["n_shingles", "set_a", "set_b"]
+    signed = materialize(source.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_signatures, schema), "signatures")
     full = signed.where("n_shingles > 0 and doc_id is not null")
-    reps = full.groupBy(*key).agg(F.min("doc_id").alias("id"))
-    firsts = full.select("doc_id", "n_shingles", "set_a", "set_b", "bands").join(reps, [F.col("doc_id") == F.col("id"), *(full[k].eqNullSafe(reps[k]) for k in key)], "left_semi").dropDuplicates(["doc_id"])
-    exploded = firsts.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "bucket"))
-    shared = exploded.groupBy("band", "bucket").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    reps = materialize(full.groupBy(*KEY).agg(F.min("doc_id").alias("first_doc"), F.first("bands").alias("bands")).withColumn("id", F.monotonically_increasing_id()), "reps")
+    exploded = reps.select("id", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "bucket"))
+    shared = exploded.groupBy("band", "bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = materialize(exploded.join(shared, ["band", "bucket"]), "members")
 
-    candidates = members.select("id").distinct()
-    sets = materialize(source.join(candidates, source.doc_id == candidates.id, "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets, "id long, shingles array<long>, low long, high long"), "sets")
+    candidates = members.select("id").distinct().join(reps.select("id", "first_doc", "set_a", "set_b"), "id")
+    texts = source.join(candidates, source.doc_id == candidates.first_doc).withColumn("text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "id", "text_hash"])
+    sets = texts.select("id", "set_a", "set_b", "text").mapInArrow(_sets, "id long, shingles array<long>, low long, high long")
+    sets = materialize(sets, "sets")
+    if sets.count() > candidates.count():  # two texts of one doc_id with one set
+        sets = materialize(sets.dropDuplicates(["id"]), "sets")
     lone = sets.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("_n"), F.min("id").alias("id")).where("_n = 1")
     kind = F.col("s").bitwiseAND(F.lit(15))
     byte = F.expr("shiftleft(1L, cast(8 * (s & 7) as int))")
@@ -180,41 +206,62 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     labels = connected_components(edges)
 
     lab = labels.select("id", "component")
-    own_label = starred.select("band", "bucket", "id", "n", "own", "low", "high", "least_n", F.col("p.id").alias("pivot"))
+    own_label = starred.select("band", "bucket", "size", "id", "n", "own", "low", "high", "least_n", F.col("p.id").alias("pivot"))
     placed = own_label.join(lab, "id", "left").withColumn("component", F.coalesce("component", "id"))
     placed = placed.join(lab.select(F.col("id").alias("pivot"), F.col("component").alias("pivot_component")), "pivot", "left")
     placed = materialize(placed.withColumn("pivot_component", F.coalesce("pivot_component", "pivot")), "placed")
     room = F.greatest("least_n", F.col("n") - F.col("own"))
-    rest = placed.where((F.col("component") != F.col("pivot_component")) & (100 * (F.col("n") - F.col("own")) >= percent * (F.col("own") + room)))
-    other = placed.select("band", "bucket", F.col("component").alias("component2"), *(F.col(k).alias(f"{k}2") for k in ("id", "n", "own", "low", "high")))
-    cross = rest.join(other, ["band", "bucket"]).where((F.col("component") != F.col("component2")) & _can_link(side(), side(suffix="2"), percent))
+    parts = F.ceil(F.col("size") / PART_ROWS).cast("int")
+    rest = placed.where((F.col("component") != F.col("pivot_component")) & (100 * (F.col("n") - F.col("own")) >= percent * (F.col("own") + room))).withColumn("part", _every(parts))
+    other = placed.select("band", "bucket", _part(parts, "id").alias("part"), F.col("component").alias("component2"), *(F.col(k).alias(f"{k}2") for k in ("id", "n", "own", "low", "high")))
+    cross = rest.join(other, ["band", "bucket", "part"]).where((F.col("component") != F.col("component2")) & _can_link(side(), side(suffix="2"), percent))
     pairs2 = cross.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
     more = materialize(_confirmed(pairs2, sets, percent), "links")
     if not more.isEmpty():
         labels = connected_components(edges.unionByName(more))
+    for table in (members, own, starred, placed, sets, edges, more):
+        drop_materialized(table)
 
-    # A table of its own: the join below then reads both sides from exchanges, and a class with very many copies can be split.
-    classes = reps.join(labels.withColumnRenamed("component", "component_id"), "id", "left").select(*key, F.coalesce("component_id", "id").alias("component_id"))
-    classes = materialize(classes, "classes")
-    out = signed.drop("bands").join(classes, key, "left")
-    return out.select(
-        "doc_id",
-        "n_shingles",
-        F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"),
-        F.coalesce(F.col("n_shingles") == 0, F.lit(True)).alias("_alone"),
-    ).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    least = labels.join(reps.select("id", "first_doc"), "id").groupBy("component").agg(F.min("first_doc").alias("component_id"))
+    linked = labels.join(least, "component")
+    classes = reps.select("id", "first_doc", *KEY).join(linked, "id", "left")
+    # A table of its own: a join with it then reads both sides from exchanges, and a class with very many copies can be split.
+    classes = materialize(classes.select(*KEY, F.coalesce("component", "id").alias("component"), F.coalesce("component_id", "first_doc").alias("component_id")), "classes")
+    return signed.drop("bands"), classes
 
 
-def keep_first(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """Rows of docs, one per component; rows that repeat a kept doc_id stay one row. Rows without doc_id stay.
+def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text; other columns are ignored).
 
-    The bands miss a pair at exactly 0.80 with probability 6e-5.
+    Links are between texts: rows of one doc_id with different texts are judged by their own texts, each with the smallest
+    doc_id that its text reaches. Repeated rows come out as often as they came in. Null, empty and blank texts have n_shingles
+    0, are their own component and are kept. Rows without doc_id come out with component_id null and kept true. An empty
+    table gives an empty result.
     """
-    kept = materialize(near_duplicates(docs, percent).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
-    once = docs.join(kept.select("doc_id"), "doc_id", "left_semi")
-    if not kept.where("n > 1").isEmpty():
-        once = once.dropDuplicates(["doc_id"])
-    return once.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    rows, classes = classes_of(docs, percent)
+    out = rows.join(classes.drop("component"), KEY, "left")
+    component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id"))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
 
+def keep_first(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """Rows of docs: of each component one row, of its smallest doc_id. Rows without doc_id and texts without words stay.
 
-__all__ = ["near_duplicates", "keep_first", "connected_components", "shingle_sets", "bands"]
+    Of several texts of that doc_id in the component, the one of smallest hash stays. The bands miss a pair at exactly 0.80
+    with probability 6e-5.
+    """
+    rows, classes = classes_of(docs, percent)
+    judged = rows.where("n_shingles > 0 and doc_id is not null").join(classes.select(*KEY, "component"), KEY)
+    first = judged.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("f")).select("f.*")
+    blank = rows.where("n_shingles = 0 and doc_id is not null").select("doc_id", "text_hash").distinct()
+    kept = materialize(first.withColumn("once", F.lit(True)).unionByName(blank.withColumn("once", F.lit(False))), "kept")
+    keyed = docs.withColumn("_text_hash", F.xxhash64(F.col("text").cast("string")))
+    kept_rows = keyed.join(kept.select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash"), "once").withColumnRenamed("once", "_once"), (F.col("doc_id") == F.col("_kept_id")) & (F.col("_text_hash") == F.col("_kept_hash")))
+    repeated = rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").join(first, ["doc_id", "text_hash"], "left_semi")
+    if not repeated.isEmpty():
+        kept_rows = kept_rows.where("not _once").unionByName(kept_rows.where("_once").dropDuplicates(["doc_id", "_text_hash"]))
+    return kept_rows.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+
+
+__all__ = ["near_duplicates", "keep_first", "classes_of", "connected_components", "shingle_sets", "bands"]
