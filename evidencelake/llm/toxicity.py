@@ -3,10 +3,13 @@
 Voters are lexicons of insults (several themes, four languages), lexicons mined from the labels (whole words and beginnings
 of words that toxic documents have far more often, in two tiers), and patterns over their hits. One pass over the whole texts
 gives each document its hit counts; the distinct vote patterns, with their counts, are all that the label model sees (at
-most 2 ** voters rows). The label model is generative: each voter fires with its own rate for toxic and for clean documents,
-found by EM over all documents, with the given labels (not held out) as one more, better source; voters that fire together
-more often than their rates explain are correlated, and share the weight of their evidence. Its posteriors label a bounded
-sample, on which a linear classifier over the hit counts is fitted. That classifier scores every document.
+most 2 ** voters rows). The label model is generative: given the hidden class, voters form a tree of pairs, each firing at a
+rate that depends on the class and on its parent in the tree. Rates (accuracies) and pairs (correlations: the tree of most
+mutual information given the class) are found by EM over all documents, nearly all of them without a label; where a label may
+be learnt from it is one more voter, whose error rates are estimated like the others'. EM starts from the votes alone.
+
+The model's posteriors label a bounded sample of all documents, on which a linear classifier over the hit counts is fitted.
+That classifier scores every document.
 """
 
 from __future__ import annotations
@@ -123,51 +126,70 @@ def linear_features(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class LabelModel:
+    """P(class), and given the class: each voter's rate per state of its parent, and the share of labels that are 1."""
+
     prior: float
-    rates: np.ndarray  # [2, voters]: firing rate for clean, toxic
-    weight: np.ndarray  # of each voter's evidence, below 1 for correlated ones
-    label_rates: np.ndarray  # [2]: share of label 1 for clean, toxic
+    parent: np.ndarray  # of each voter in the tree; -1 for none
+    rates: np.ndarray  # [2 classes, voters, 2 states of the parent]
+    label_rates: np.ndarray  # [2]
 
     def posterior(self, v: np.ndarray, label: np.ndarray) -> np.ndarray:
         """P(toxic | votes, label); label -1 is none."""
-        with np.errstate(divide="ignore"):
-            on, off = np.log(self.rates), np.log1p(-self.rates)
-        score = np.log(self.prior / (1 - self.prior)) + (v * (on[1] - on[0]) + (1 - v) * (off[1] - off[0])) @ self.weight
-        one = np.log(self.label_rates[1] / self.label_rates[0])
-        zero = np.log((1 - self.label_rates[1]) / (1 - self.label_rates[0]))
-        score += np.where(label == 1, one, np.where(label == 0, zero, 0.0))
-        return 1 / (1 + np.exp(-np.clip(score, -40, 40)))
+        above = np.where(self.parent >= 0, v[:, np.maximum(self.parent, 0)], 0)
+        fires = self.rates[:, np.arange(v.shape[1]), above]  # [2, rows, voters]
+        seen = np.where(v == 1, np.log(fires), np.log1p(-fires)).sum(-1)
+        told = np.where(label == 1, np.log(self.label_rates)[:, None], np.where(label == 0, np.log1p(-self.label_rates)[:, None], 0.0))
+        z = np.log(self.prior / (1 - self.prior)) + (seen + told)[1] - (seen + told)[0]
+        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_label_model(v: np.ndarray, label: np.ndarray, n: np.ndarray, rounds: int = 60) -> LabelModel:
-    """EM over distinct (votes, label) rows with counts n. Starts with: two voters firing means toxic."""
+def fit_label_model(v: np.ndarray, label: np.ndarray, n: np.ndarray, rounds: int = 80) -> LabelModel:
+    """EM over distinct (votes, label) rows with counts n; label -1 is none. Starts with: voters that agree, and aren't copies of each other, are right."""
     k = v.shape[1]
-    q = np.where(label >= 0, 0.05 + 0.9 * (label == 1), np.where(v[:, :N_LEX].sum(1) >= 2, 0.9, np.where(v.sum(1) >= 1, 0.5, 0.02)))
-    weight = np.ones(k)
-    model = None
+    centred = v - (n @ v) / max(n.sum(), 1)
+    spread = np.sqrt(np.maximum(n @ centred**2, 1e-9))
+    copies = (np.abs((centred * n[:, None]).T @ centred / np.outer(spread, spread)) > 0.9).sum(0)
+    fired = v @ (1 / np.maximum(copies, 1))
+    q = np.where(fired >= 2.5, 0.9, np.where(fired > 0, 0.4, 0.02))
+    parent, known = np.full(k, -1), label >= 0
     for step in range(rounds):
-        mass = np.array([(n * (1 - q)).sum(), (n * q).sum()])
-        rates = np.stack([((n * (1 - q)) @ v + 0.01) / (mass[0] + 1), ((n * q) @ v + 0.5) / (mass[1] + 1)])
-        rates = np.clip(rates, 1e-5, 1 - 1e-5)
-        known = label >= 0
-        share = [((n * w * known) @ (label == 1) + a) / ((n * w * known).sum() + a + b) for w, a, b in ((1 - q, 1, 20), (q, 20, 4))]
-        model = LabelModel(float(np.clip(mass[1] / mass.sum(), 1e-4, 0.5)), rates, weight, np.clip(share, 1e-3, 1 - 1e-3))
-        if step in (10, 30):
-            weight = _shared_weight(v, n, q, rates)
+        if step in (0, 5, 20, 40):
+            parent = correlation_tree(v, n, q)
+        rates, shares = np.empty((2, k, 2)), np.empty(2)
+        for y, w in ((0, n * (1 - q)), (1, n * q)):
+            alone = (w @ v + (0.01, 0.5)[y]) / (w.sum() + 1)
+            for state in (0, 1):
+                # Of voters without a parent both states hold the one rate
+                has = np.where(parent[None] >= 0, v[:, np.maximum(parent, 0)] == state, True) * w[:, None]
+                rates[y, :, state] = ((has * v).sum(0) + 2 * alone) / (has.sum(0) + 2)
+            ones, zeros = ((1, 3), (3, 1))[y]
+            shares[y] = ((w * known) @ (label == 1) + ones) / ((w * known).sum() + ones + zeros)
+        prior = float(np.clip((n @ q) / max(n.sum(), 1), 1e-4, 0.5))
+        model = LabelModel(prior, parent, np.clip(rates, 1e-5, 1 - 1e-5), np.clip(shares, 1e-3, 1 - 1e-3))
         q = model.posterior(v, label)
     return model
 
 
-def _shared_weight(v: np.ndarray, n: np.ndarray, q: np.ndarray, rates: np.ndarray, least: float = 0.2) -> np.ndarray:
-    """1 / (1 + sum of a voter's correlations with others within a class, above `least`)."""
-    extra = np.zeros((v.shape[1], v.shape[1]))
-    for y, w in ((0, n * (1 - q)), (1, n * q)):
-        centred = v - rates[y]
-        cov = (centred * w[:, None]).T @ centred / max(w.sum(), 1)
-        sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-        extra = np.maximum(extra, np.abs(cov / np.outer(sd, sd)) * (w.sum() > 50))
-    np.fill_diagonal(extra, 0)
-    return 1 / (1 + np.where(extra > least, extra, 0).sum(1))
+def correlation_tree(v: np.ndarray, n: np.ndarray, q: np.ndarray, evidence: float = 8.0) -> np.ndarray:
+    """Each voter's parent in the tree of most mutual information between voters given the class; -1 where the data show none."""
+    k, information = v.shape[1], np.zeros((v.shape[1], v.shape[1]))
+    for w in (n * (1 - q), n * q):
+        if w.sum() < 20:
+            continue
+        one, both = (w @ v) / w.sum(), (v * w[:, None]).T @ v / w.sum()
+        for a, b, joint in ((one, one, both), (one, 1 - one, one[:, None] - both), (1 - one, one, one[None] - both), (1 - one, 1 - one, 1 - one[:, None] - one[None] + both)):
+            apart = np.maximum(np.outer(a, b), 1e-15)
+            information += w.sum() * np.where(joint > 1e-12, joint * np.log(np.maximum(joint, 1e-12) / apart), 0)
+    np.fill_diagonal(information, 0)
+    parent = np.full(k, -1)
+    inside = [int(information.sum(0).argmax())]
+    while len(inside) < k:
+        gain, a, b = max((information[i, j], i, j) for i in inside for j in range(k) if j not in inside)
+        if gain < evidence:
+            break
+        parent[b] = a
+        inside.append(b)
+    return parent
 
 
 def fit_linear(x: np.ndarray, target: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
@@ -238,7 +260,7 @@ def _rest(k: Column, n: int, t: Column, c: Column, total: int) -> Column:
 def known_labels(labels: DataFrame) -> DataFrame:
     """(doc_id, label) that may be learnt from."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("label"))
-    return known.where(~is_held_out(F.col("doc_id"), 5, 0)).dropDuplicates(["doc_id"])
+    return known.where(~is_held_out(F.col("doc_id"), 5, 0)).groupBy("doc_id").agg(F.max("label").alias("label"))
 
 
 def count_hits(docs: DataFrame, mined: Mined) -> DataFrame:
@@ -259,31 +281,20 @@ def count_hits(docs: DataFrame, mined: Mined) -> DataFrame:
 
 
 def train(hits: DataFrame, known: DataFrame, max_rows: int = 30_000) -> np.ndarray:
-    """Linear coefficients. The label model sees the vote patterns of all rows; the classifier at most max_rows labelled ones."""
-    sample = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))  # at most max_rows ids
-    labelled = hits.join(sample, "doc_id").dropDuplicates(["doc_id"]).select("pattern", "label", "x")
-    got = labelled.toArrow()
-    every = hits.groupBy("pattern").count().toArrow()  # a row per pattern of votes: 2 ** len(VOTERS) at most
-    bits = lambda p: (np.asarray(p)[:, None] >> np.arange(len(VOTERS))) & 1
-    own, label = got.column("pattern").to_numpy(), got.column("label").to_numpy().astype(int)
-    x = np.array(got.column("x").to_pylist()).reshape(-1, N_COUNTS)
-    patterns, counts = every.column("pattern").to_numpy(), every.column("count").to_numpy().astype(float)
+    """Linear coefficients. The label model sees the vote patterns of all rows, with the labels of at most max_rows; the
+    classifier is fitted to its posteriors of at most max_rows rows, labelled or not, those of smallest hash of doc_id."""
+    labels = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))  # at most max_rows ids
+    voted = hits.join(labels, "doc_id", "left").select("doc_id", "pattern", F.coalesce("label", F.lit(-1)).alias("label"), "x")
+    every = voted.groupBy("pattern", "label").count().toArrow()  # at most three rows per pattern of votes
+    patterns, label, n = (every.column(c).to_numpy() for c in ("pattern", "label", "count"))
     if not len(patterns):
         return np.append(np.zeros(linear_features(np.zeros((1, N_COUNTS))).shape[1]), -2.0)
-    seen, n = np.unique(np.column_stack((own, label)), axis=0, return_counts=True) if len(own) else (np.zeros((0, 2), int), np.zeros(0))
-    counts = counts - np.array([n[seen[:, 0] == p].sum() for p in patterns])
-    v = bits(np.concatenate((patterns, seen[:, 0])))
-    tags = np.concatenate((np.full(len(patterns), -1), seen[:, 1]))
-    model = fit_label_model(v, tags, np.maximum(np.concatenate((counts, n)), 0))
-    # The patterns themselves stand for the unlabelled rows, with little weight; they alone teach where there are no labels.
-    base = bits(patterns)
-    proxy = np.zeros((len(patterns), N_COUNTS))
-    proxy[:, :N_LEX], proxy[:, N_LEX], proxy[:, N_LEX + 2] = base[:, :N_LEX], base[:, :N_LEX].sum(1), 200
-    proxy[:, N_LEX + 3 : N_LEX + 6] = base[:, N_LEX + 4 : N_LEX + 7] * (1, 2, 3)
-    xs = linear_features(np.concatenate((x, proxy)))
-    target = np.concatenate((model.posterior(bits(own), label) if len(own) else np.zeros(0), model.posterior(base, np.full(len(patterns), -1))))
-    light = (0.02 if len(own) >= 50 else 1.0) * counts.clip(0) / max(counts.clip(0).sum(), 1) * max(len(own), 100)
-    return fit_linear(xs, target, np.concatenate((np.ones(len(own)), light)))
+    bits = lambda p: (p[:, None] >> np.arange(len(VOTERS))) & 1
+    model = fit_label_model(bits(patterns), label, n.astype(float))
+    sample = voted.orderBy(F.xxhash64("doc_id"), "doc_id", "pattern", "label", "x").limit(max_rows).toArrow()
+    x = np.asarray(sample.column("x").combine_chunks().flatten()).reshape(-1, N_COUNTS)
+    target = model.posterior(bits(sample.column("pattern").to_numpy()), sample.column("label").to_numpy())
+    return fit_linear(linear_features(x), target, np.ones(len(x)))
 
 
 def _probability(x: np.ndarray, coefficients: np.ndarray) -> np.ndarray:
@@ -307,8 +318,9 @@ def score(hits: DataFrame, coefficients: np.ndarray, threshold: float = 0.5) ->
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs (doc_id, text), learnt from labels (doc_id, toxic).
 
-    Null and empty texts have no hits and get the clean score. Repeated rows come out as often as they came in. Without
-    labels the vote patterns alone are learnt from. An empty table gives an empty result.
+    Null and empty texts have no hits and get the clean score. Repeated rows come out as often as they came in; of a doc_id
+    with several labels the largest counts. Without labels the vote patterns alone are learnt from. An empty table gives an
+    empty result.
     """
     known = materialize(known_labels(labels), "labels")
     hits = count_hits(docs, mine(docs, known))

@@ -218,10 +218,26 @@ def test_label_model_finds_good_voters():
     v[:, 7] = v[:, 8] = v[:, 6]  # copies of one voter
     seen, n = np.unique(v, axis=0, return_counts=True)
     m = toxicity.fit_label_model(seen, np.full(len(seen), -1), n.astype(float))
-    assert (m.rates[1, :6] > 5 * m.rates[0, :6]).all() and (m.weight[[6, 7, 8]] < 0.6).all()
+    assert (m.rates[1, :6, 0] > 5 * m.rates[0, :6, 0]).all()
+    # The copies are pairs of the tree, so that three of them weigh about as much as one voter of their kind.
+    assert sum(m.parent[c] in (6, 7, 8) for c in (6, 7, 8)) == 2
+    odds = lambda on: float(np.subtract(*np.log(np.array([p := m.posterior(np.eye(k, dtype=int)[on].sum(0)[None], np.array([-1]))[0], 1 - p]))))
+    assert abs(odds([6, 7, 8]) - odds([9])) < 1.5
     assert ((m.posterior(v, np.full(len(v), -1)) > 0.5) == y).mean() > 0.97
 
 
+def test_label_model_learns_how_far_labels_can_be_trusted():
+    """A label is one more voter: its error rates are estimated, and good votes outweigh a bad one."""
+    rng = np.random.default_rng(3)
+    y, k = rng.random(30_000) < 0.1, len(toxicity.VOTERS)
+    v = (rng.random((len(y), k)) < np.where(y[:, None], 0.5, 0.02)).astype(int)
+    label = np.where(rng.random(len(y)) < 0.3, y ^ (rng.random(len(y)) < 0.2), -1).astype(int)
+    seen, n = np.unique(np.column_stack((v, label)), axis=0, return_counts=True)
+    m = toxicity.fit_label_model(seen[:, :k], seen[:, k], n.astype(float))
+    assert abs(m.label_rates[0] - 0.2) < 0.03 and abs(m.label_rates[1] - 0.8) < 0.05
+    assert ((m.posterior(v, label) > 0.5) == y).mean() > 0.99 > 0.85 > (label == y)[label >= 0].mean()
+
+
 def test_main_text_of_articles(spark):
     page = """<html><head><title>T</title></head><body><header>Head</header><nav><a>Menu</a></nav><div class="ad">Buy</div><article><h1>Title &amp; more</h1>
     <p>One <b>two</b>
