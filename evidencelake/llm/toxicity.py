@@ -148,12 +148,12 @@ def fit_label_model(v: np.ndarray, label: np.ndarray, n: np.ndarray, rounds: int
     k = v.shape[1]
     centred = v - (n @ v) / max(n.sum(), 1)
     spread = np.sqrt(np.maximum(n @ centred**2, 1e-9))
-    copies = (np.abs((centred * n[:, None]).T @ centred / np.outer(spread, spread)) > 0.9).sum(0)
-    fired = v @ (1 / np.maximum(copies, 1))
+    copies = np.triu(np.abs((centred * n[:, None]).T @ centred / np.outer(spread, spread)) > 0.98, 1)
+    parent, known = np.where(copies.any(0), copies.argmax(0), -1), label >= 0
+    fired = v @ (parent < 0)
     q = np.where(fired >= 2.5, 0.9, np.where(fired > 0, 0.4, 0.02))
-    parent, known = np.full(k, -1), label >= 0
     for step in range(rounds):
-        if step in (0, 5, 20, 40):
+        if step in (5, 20, 40):
             parent = correlation_tree(v, n, q)
         rates, shares = np.empty((2, k, 2)), np.empty(2)
         for y, w in ((0, n * (1 - q)), (1, n * q)):
