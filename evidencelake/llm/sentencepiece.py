@@ -8,7 +8,9 @@ long; it is split into chunks that are encoded on their own and joined without e
   -infinity for none. In a BPE model a segmentation is the encoder's own exactly if each pair of neighbours is what the
   encoder makes of the pair's text, so weights are those legality tests, and from each state there is one last piece for
   each position.
-* The matrices are combined associatively along the document; that fixes the state at every boundary.
+* The matrices are combined associatively: neighbours in pairs, then pairs of pairs, a table per level of the tree, so that a
+  document's matrices never meet in one task. The root's path is handed down again, level by level, which fixes the state at
+  every boundary.
 * Each chunk is then backtraced on its own between its two states, and the ids are joined in order.
 
 The vocabulary file is a parameter. Texts are never trimmed; a text's ids decode to the text.
@@ -229,22 +231,65 @@ def _matrices(model: str):
         for batch in batches:
             for r in batch.to_pylist():
                 m = transfer(v, r["body"], r["lft"], r["rgt"], r["at_start"], r["at_end"])
-                yield pa.record_batch([pa.array([r["key"]], pa.binary()), pa.array([r["chunk"]], pa.int32()), pa.array([_pack([(a, b) for a, bs in m.items() for b in bs])], pa.list_(pa.int32()))], ["key", "chunk", "cells"])
+                yield pa.record_batch([pa.array([r["key"]], pa.binary()), pa.array([r["chunk"]], pa.int32()), pa.array([_pack([(a, b) for a, bs in m.items() for b in bs])], pa.list_(pa.int32()))], ["key", "node", "cells"])
 
     return rows
 
 
-def _resolve(table: pa.Table) -> pa.Table:
-    """States of one document's boundaries, from its chunks' matrices (no text comes here)."""
-    table = table.sort_by("chunk")
-    matrices = []
-    for cells in table.column("cells").to_pylist():
-        m: dict[State, list[State]] = {}
-        for a, b, c, d in np.array(cells, np.int64).reshape(-1, 4).tolist():
-            m.setdefault((a, b), []).append((c, d))
-        matrices.append(m)
-    path = states(matrices)
-    return pa.table({"key": table.column("key"), "chunk": table.column("chunk"), "between": pa.array([[*a, *b] for a, b in zip(path, path[1:], strict=False)], pa.list_(pa.int32()))})
+def _matrix(cells: list[int]) -> dict[State, list[State]]:
+    m: dict[State, list[State]] = {}
+    for a, b, c, d in np.array(cells, np.int64).reshape(-1, 4).tolist():
+        m.setdefault((a, b), []).append((c, d))
+    return m
+
+
+def _pair(table: pa.Table) -> pa.Table:
+    """The product of two neighbours' matrices; a last one without a neighbour stays as it is."""
+    table = table.sort_by("node")
+    m = [_matrix(c) for c in table.column("cells").to_pylist()]
+    both = combine(*m) if len(m) == 2 else m[0]
+    cells = pa.array([_pack([(a, b) for a, bs in both.items() for b in bs])], pa.list_(pa.int32()))
+    return pa.table({"key": table.column("key")[:1], "node": pa.array([table.column("node")[0].as_py() // 2], pa.int32()), "cells": cells})
+
+
+def _hand_down(table: pa.Table) -> pa.Table:
+    """States around each of two neighbours from those around their pair."""
+    table = table.sort_by("node")
+    a, b, c, d = table.column("around")[0].as_py()
+    entry, leave = (a, b), (c, d)
+    m = [_matrix(x) for x in table.column("cells").to_pylist()]
+    if len(m) == 2:
+        middle = min(x for x in m[0][entry] if leave in m[1].get(x, ()))
+        between = [[*entry, *middle], [*middle, *leave]]
+    else:
+        between = [[*entry, *leave]]
+    return pa.table({"key": table.column("key"), "node": table.column("node"), "between": pa.array(between, pa.list_(pa.int32()))})
+
+
+def _whole_path(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The root's one path: from the document's beginning to its end."""
+    for batch in batches:
+        ends = [[0, 0, *min(_matrix(c)[0, 0])] for c in batch.column("cells").to_pylist()]
+        yield pa.record_batch([batch.column("key"), batch.column("node"), pa.array(ends, pa.list_(pa.int32()))], ["key", "node", "between"])
+
+
+_NODE, _BETWEEN = "key binary, node int, cells array<int>", "key binary, node int, between array<int>"
+
+
+def boundary_states(cells: DataFrame) -> DataFrame:
+    """(key, node, between): the states around each chunk, from the chunks' matrices (key, node, cells), node counting from 0."""
+    levels = [cells]
+    last = cells.agg(F.max("node")).first()[0] or 0
+    while last:
+        paired = levels[-1].groupBy("key", F.shiftright("node", 1)).applyInArrow(_pair, _NODE)
+        levels.append(materialize(paired, f"level-{len(levels)}"))
+        last >>= 1
+    between = levels.pop().mapInArrow(_whole_path, _BETWEEN)
+    for level in reversed(levels):
+        above = between.select("key", F.col("node").alias("pair"), F.col("between").alias("around"))
+        both = level.withColumn("pair", F.shiftright("node", 1)).join(above, ["key", "pair"])
+        between = both.groupBy("key", "pair").applyInArrow(_hand_down, _BETWEEN)
+    return between
 
 
 def _trace(model: str):
@@ -279,9 +324,8 @@ def encode_giants(texts: DataFrame, model: str = MODEL, chunk_chars: int = CHUNK
     """(key, ids) for each row of texts (key binary, text), whose keys are unique."""
     parts = texts.select("key", "text").mapInArrow(_split(model, chunk_chars), _CHUNK)
     parts = materialize(parts.repartition(F.col("key"), F.col("chunk")), "chunks")
-    cells = parts.mapInArrow(_matrices(model), "key binary, chunk int, cells array<int>")
-    between = cells.groupBy("key").applyInArrow(_resolve, "key binary, chunk int, between array<int>")
-    traced = parts.join(between, ["key", "chunk"]).mapInArrow(_trace(model), "key binary, chunk int, part array<int>")
+    cells = materialize(parts.mapInArrow(_matrices(model), _NODE), "level-0")
+    traced = parts.join(boundary_states(cells).withColumnRenamed("node", "chunk"), ["key", "chunk"]).mapInArrow(_trace(model), "key binary, chunk int, part array<int>")
     return traced.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "part"))), lambda x: x["part"])).alias("ids"))
 
 
