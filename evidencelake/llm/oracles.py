@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evidencelake.llm.url_filter import RULES
+from evidencelake.llm.url_filter import FRACTION_TERMS, MOST_EVIDENCE, RULES, SUFFIXES, SURE
 
 #: Exact near-duplicate classes: all shingle sets, all pairs that share a shingle, reachability by recursion.
 OP1 = r"""
@@ -47,14 +47,22 @@ OP6 = f"""
 WITH p AS (SELECT page_id, lower(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)) AS host, regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 r(h, q, v) AS (VALUES {", ".join(str(x) for x in RULES)}),
 j AS (SELECT p.*, h || q AS rule, v FROM p LEFT JOIN r ON (host = h OR host LIKE '%.' || h) AND starts_with(path, q) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(h || q) DESC NULLS LAST) = 1),
-o AS (SELECT host, count(rule) AS n, count(*) FILTER (WHERE v = 'block') AS bad FROM j GROUP BY host),
-h AS (SELECT *, string_split(host, '.')[-1] AS suffix, array_to_string(string_split(host, '.')[-2:], '.') AS domain FROM o),
+js AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), '[.]?(:[0-9]*)?$', '') AS site FROM j),
+o AS (SELECT site AS host, count(rule) AS n, count(*) FILTER (WHERE v = 'block') AS bad FROM js GROUP BY site),
+hx AS (SELECT *, string_split(host, '.') AS part FROM o),
+hp AS (SELECT *, CASE WHEN len(part) > 2 AND array_to_string(part[-2:], '.') IN ({", ".join(f"'{x}'" for x in SUFFIXES)}) THEN 2 ELSE 1 END AS k FROM hx),
+h AS (SELECT host, n, bad, array_to_string(part[-k:], '.') AS suffix, array_to_string(part[-k - 1:], '.') AS domain FROM hp),
 d AS (SELECT domain, suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM h GROUP BY ALL),
 s AS (SELECT suffix, 0 AS root, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM d GROUP BY ALL),
 top AS (SELECT 0 AS root, sum(bad) + 0.5 AS alpha, sum(n) - sum(bad) + 0.5 AS beta FROM s),
 {_level("sl", "s", "root", "top")}, {_level("dl", "d", "suffix", "sl")}, {_level("hl", "h", "domain", "dl")},
-b AS (SELECT host, alpha / (alpha + beta) - 1.645 * sqrt(alpha * beta / (alpha + beta) ** 2 / (alpha + beta + 1)) AS bound FROM hl)
-SELECT page_id, host, path, rule, coalesce(v, CASE WHEN bound > 0.5 THEN 'block' ELSE 'allow' END) AS verdict FROM j LEFT JOIN b USING (host)
+c AS (SELECT host, alpha * least(1, {MOST_EVIDENCE} / (alpha + beta)) AS al, beta * least(1, {MOST_EVIDENCE} / (alpha + beta)) AS be FROM hl),
+f AS (SELECT host, al, be, 0.5 > (al + 1) / (al + be + 2) AS flip, CASE WHEN flip THEN be ELSE al END AS a, CASE WHEN flip THEN al ELSE be END AS b FROM c),
+t AS (SELECT *, exp((a + b) * ln(0.5) + lgamma(a + b) - lgamma(a) - lgamma(b)) / a / list_reduce(list_prepend(1.0::DOUBLE, list_transform(range({FRACTION_TERMS}, 0, -1), lambda i: i::DOUBLE)),
+  lambda r, i: 1 + (CASE WHEN i % 2 = 0 THEN floor(i / 2) * (b - floor(i / 2)) * 0.5 / ((a + i - 1) * (a + i))
+    ELSE -(a + floor(i / 2)) * (a + b + floor(i / 2)) * 0.5 / ((a + i - 1) * (a + i)) END) / r) AS tail FROM f),
+u AS (SELECT host AS site, CASE WHEN flip THEN tail ELSE 1 - tail END AS chance FROM t)
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN chance >= {SURE} THEN 'block' ELSE 'allow' END) AS verdict FROM js LEFT JOIN u USING (site)
 """
 
 ORACLES = {"op1_minhash_near_dedup": OP1, "op4_html_extraction": OP4, "op6_url_filter": OP6}

@@ -37,7 +37,7 @@ def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(_read(spark, sf_dir, "pages")).drop("bad_bound")
+    return url_filter.judge(_read(spark, sf_dir, "pages")).drop("bad_chance")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
