@@ -146,8 +146,12 @@ def mixed_rows(docs: DataFrame, **options: object) -> DataFrame:
     placed, pieces = mix_pieces(rows, row="_mix_row", **options)
     passes = pieces.groupBy("source_rank", "start", "repetition").agg(F.min("slot").alias("_mix_slot"))
     taken = placed.where("size > 0").join(passes, ["source_rank", "start"]).select(F.col("row").alias("_mix_row"), "_mix_slot", F.col("start").alias("_mix_start"))
-    taken = materialize(rows.join(taken, "_mix_row"), "mixed")
-    return taken.repartitionByRange(F.col("_mix_slot"), F.col("_mix_start")).sortWithinPartitions("_mix_slot", "_mix_start").select(docs.columns)
+    taken = materialize(taken, "passes")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    last = taken.agg(F.max("_mix_slot")).first()[0] or 0
+    # Slots are even in words, so equal stretches of slots are equal parts; no sample of the texts is needed to find them.
+    part = F.floor(F.col("_mix_slot") * parts / (last + 1)).cast("int")
+    return rows.join(taken, "_mix_row").repartitionById(parts, part).sortWithinPartitions("_mix_slot", "_mix_start").select(docs.columns)
 
 
 __all__ = ["mix", "mixed_rows", "mix_pieces", "source_targets", "schedule"]
