@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidencelake.functions import text as X
-from evidencelake.operators import gates, html, metadata
+from evidencelake.operators import gates, metadata, page_pass
 
 Converter = Callable[[DataFrame], DataFrame]
 _OUT = ["page_id", "markdown", "converter", "error_code"]
@@ -19,26 +19,22 @@ def convert_text(rows: DataFrame) -> DataFrame:
     return rows.select("page_id", md.alias("markdown"), F.lit("text_local").alias("converter"), F.lit(None).cast("string").alias("error_code"))
 
 
-def convert_web(rows: DataFrame, selectors: tuple[str, ...] = html.ROOT_SELECTORS, least: int = 60, name: str = "web_page_local") -> DataFrame:
-    """Gate first (native), then nodes for what passes, pruning, root, Markdown with the title in front."""
-    gated = gates.quality_gate(rows)
-    good = gated.where("is_valid")
-    nodes = html.prune_link_density(html.drop_noise(html.html_nodes(good)))
-    titles = good.select("page_id", metadata.title(F.col("html")).alias("title"))
-    md = html.to_markdown(nodes, html.content_root(nodes, selectors, least), titles)
-    done = good.select("page_id").join(md, "page_id", "left").withColumn("markdown", F.concat(F.trim("markdown"), F.lit("\n")))
-    short = F.coalesce(F.length("markdown") < 11, F.lit(True))
-    ok = done.select("page_id", F.when(~short, F.col("markdown")).alias("markdown"), F.lit(name).alias("converter"), F.when(short, "MARKDOWN_TOO_SHORT").alias("error_code"))
-    bad = gated.where("not is_valid").select("page_id", F.lit(None).cast("string").alias("markdown"), F.lit(name).alias("converter"), F.col("tag").alias("error_code"))
-    return ok.unionByName(bad)
+def convert_pages(rows: DataFrame) -> DataFrame:
+    """Web pages and special articles: one parse gives the gate's text and the Markdown; the title stands in front where no heading does.
 
-
-def convert_wechat(rows: DataFrame) -> DataFrame:
-    return convert_web(rows, html.WECHAT_ROOTS, 0, "wechat_article_local")
+    No row leaves its task. rows: page_id, resource_type, html.
+    """
+    h = F.coalesce("html", F.lit(""))
+    p = page_pass.converted(rows.select("page_id", "resource_type", h.alias("html"), gates.raw_marks(h).alias("marks"), metadata.title(h).alias("title")))
+    tag = gates.quality_tag(F.col("marks"), F.col("visible"))
+    p = p.select("page_id", "resource_type", "title", "markdown", tag.alias("tag"))
+    headed = F.when(F.col("title").isNotNull() & ~F.col("markdown").startswith("# "), F.concat(F.lit("# "), "title", F.lit("\n\n"), "markdown")).otherwise(F.col("markdown"))
+    p = p.withColumn("md", headed).withColumn("error_code", F.coalesce("tag", F.when(F.length("md") < 10, "MARKDOWN_TOO_SHORT")))
+    return p.select("page_id", F.when(F.col("error_code").isNull(), F.concat("md", F.lit("\n"))).alias("markdown"), F.concat("resource_type", F.lit("_local")).alias("converter"), "error_code")
 
 
 #: Converters by resource type; a plug-in is another entry, whose name belongs into the fingerprint.
-CONVERTERS: dict[str, Converter] = {"text": convert_text, "web_page": convert_web, "wechat_article": convert_wechat}
+CONVERTERS: dict[str, Converter] = {"text": convert_text, "web_page": convert_pages, "wechat_article": convert_pages}
 
 
 def convert(captures: DataFrame, converters: dict[str, Converter] | None = None) -> DataFrame:

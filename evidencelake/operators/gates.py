@@ -1,4 +1,4 @@
-"""Gates on captured pages. Ordered rules over native columns; nothing is parsed before the cheap tests."""
+"""Gates on captured pages: ordered rules over native columns and the page's visible text, which one parse gives."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidencelake.functions.urls import domain_candidates
-from evidencelake.operators.html import visible_text
+from evidencelake.operators.page_pass import with_visible
 
 #: Fixed values.
 NOISE_WORDS = ("Copyright", "ICP备", "公网安备", "许可证号", "扫码登录", "验证码登录", "举报电话", "有害信息举报", "用户协议", "隐私政策")
@@ -22,37 +22,44 @@ def any_of(c: Column, markers: tuple[str, ...]) -> Column:
     return out
 
 
-def quality_tag(html: Column, visible: Column) -> Column:
-    """null for a page that passes; else the first rule that it breaks."""
-    n = F.length(visible)
-    left = visible
-    for w in NOISE_WORDS:
-        left = F.replace(left, F.lit(w), F.lit(""))
-    return (
+def raw_marks(html: Column) -> Column:
+    """Struct of what the rules look for in the raw html: the first early rule that it breaks, and the first of those for short pages."""
+    early = (
         F.when(html.contains("DOI Not Found"), "DOI_NOT_FOUND")
         .when(html.contains("Documents Download Module") & html.contains("being prepared for download"), "DOWNLOAD_INTERMEDIATE_PAGE")
         .when(html.contains("cf-browser-verification") | (html.contains("Just a moment...") & html.contains("Cloudflare")), "CLOUDFLARE_BLOCKED")
         .when(html.contains("NaN-NaN-NaN"), "SPA_UNRENDERED_SKELETON")
         .when(any_of(html, ("{{title}}", "{{brTitle}}")), "SPA_TEMPLATE_UNRENDERED")
-        .when(n == 0, "CONTENT_EMPTY")
-        .when(n >= 300, F.lit(None).cast("string"))
-        .when(any_of(html, ("Loading...", "Loading …")), "SPA_SKELETON_NOT_RENDERED")
+    )
+    short = (
+        F.when(any_of(html, ("Loading...", "Loading …")), "SPA_SKELETON_NOT_RENDERED")
         .when(any_of(html, ("JavaScript is disabled", "Please enable JavaScript", "Enable JavaScript")), "JAVASCRIPT_DISABLED_OR_BLOCKED")
         .when(any_of(html, ("404 Not Found", "Page Not Found")), "PAGE_NOT_FOUND")
+    )
+    return F.struct(early.alias("early"), short.alias("short"))
+
+
+def quality_tag(marks: Column, visible: Column) -> Column:
+    """null for a page that passes; else the first rule that it breaks. marks: raw_marks of its html."""
+    n = F.length(visible)
+    left = visible
+    for w in NOISE_WORDS:
+        left = F.replace(left, F.lit(w), F.lit(""))
+    return (
+        F.when(marks["early"].isNotNull(), marks["early"])
+        .when(n == 0, "CONTENT_EMPTY")
+        .when(n >= 300, F.lit(None).cast("string"))
+        .when(marks["short"].isNotNull(), marks["short"])
         .when(any_of(visible, NOISE_WORDS) & (F.length(F.regexp_replace(left, r"\s", "")) < 30), "NO_MEANINGFUL_CONTENT")
         .otherwise("CONTENT_TOO_SHORT")
     )
 
 
 def quality_gate(pages: DataFrame) -> DataFrame:
-    """pages (with html) plus visible_chars, is_valid, tag. Null html is empty.
-
-    The html and its visible text are bound to variables of a lambda: the rules name them some thirty times, and a filter on
-    the tag would otherwise strip the page as often.
-    """
-    judged = F.transform(F.array(F.coalesce("html", F.lit(""))), lambda h: F.transform(F.array(visible_text(h)), lambda v: F.struct(quality_tag(h, v).alias("tag"), F.length(v).cast("long").alias("n")))[0])[0]
-    p = pages.withColumn("_gate", judged)
-    return p.withColumns({"html": F.coalesce("html", F.lit("")), "tag": F.col("_gate.tag"), "visible_chars": F.col("_gate.n"), "is_valid": F.col("_gate.tag").isNull()}).drop("_gate")
+    """pages (with html) plus visible_chars, is_valid, tag. Null html is empty."""
+    p = with_visible(pages.withColumn("html", F.coalesce("html", F.lit(""))))
+    p = p.withColumn("tag", quality_tag(raw_marks(F.col("html")), F.col("visible"))).withColumn("visible_chars", F.length("visible").cast("long"))
+    return p.withColumn("is_valid", F.col("tag").isNull()).select(*pages.columns, "visible_chars", "is_valid", "tag")
 
 
 def wechat_gate(html: Column) -> Column:

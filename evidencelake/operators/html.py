@@ -1,4 +1,5 @@
-"""HTML jobs: one Python pass makes a node table, the rest is Spark SQL over it.
+"""HTML jobs: one Python pass makes a node table, the rest is Spark SQL over it. (The gate and the converter, which need no
+node table, are in page_pass.)
 
 Nodes have preorder ids and end_id (the last id inside), so that ancestry is an interval. Text runs are rows of tag '#text'
 that carry the path of their ancestors: dropping noise is a narrow filter, without a join.
@@ -151,14 +152,6 @@ def visible_text_exact(nodes: DataFrame) -> DataFrame:
     return t.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", F.trim("text").alias("t")))), lambda x: x["t"]), " ").alias("text"))
 
 
-def visible_text(html: Column) -> Column:
-    """The same by regular expressions alone: no Python, for the gate. References stay undecoded."""
-    body = F.regexp_replace(html, r"(?is)^.*?<body[^>]*>", "")
-    for tag in NOISE_TAGS:
-        body = F.regexp_replace(body, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(body, r"(?s)<!--.*?-->", " "), r"(?s)<[^>]*>", " "), r"\s+", " "))
-
-
 def link_density(nodes: DataFrame) -> DataFrame:
     """(page_id, node_id, total, link): stripped characters in each container, and those of them inside links.
 
@@ -237,7 +230,8 @@ def to_markdown(nodes: DataFrame, roots: DataFrame, titles: DataFrame | None = N
     blocks = F.filter("path", lambda p: p["tag"].isin(*LINE_TAGS) & (p["node_id"] >= F.col("_root")))
     owner = blocks if nested == "repeat" else F.slice(blocks, F.greatest(F.size(blocks), F.lit(1)), 1)
     run = t.select("page_id", "node_id", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("run"), F.explode_outer(owner).alias("b"))
-    lines = run.groupBy("page_id", F.col("b.node_id").alias("block"), F.col("b.tag").alias("tag")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "run"))), lambda x: x["run"]), " ").alias("line"), F.min("node_id").alias("first"))
+    lines = run.groupBy("page_id", F.col("b.node_id").alias("block"), F.col("b.tag").alias("tag")).agg(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "run"))), lambda x: x["run"]).alias("runs"), F.min("node_id").alias("first"))
+    lines = lines.withColumn("line", F.when(F.col("block").isNull(), F.array_join("runs", "\n")).otherwise(F.array_join("runs", " "))).drop("runs")
     mark = F.when(F.col("tag").rlike("^h[1-6]$"), F.concat(F.repeat(F.lit("#"), F.substring("tag", 2, 1).cast("int")), F.lit(" "))).when(F.col("tag") == "li", "- ").when(F.col("tag") == "blockquote", "> ").otherwise("")
     has = F.max(F.col("block").isNotNull()).over(Window.partitionBy("page_id"))
     kept = lines.withColumn("_has", has).where("block is not null or not _has").withColumn("line", F.concat(mark, "line"))

@@ -10,25 +10,32 @@ from evidencelake.operators import convert as C
 from evidencelake.operators import gates as G
 from evidencelake.operators import html as H
 from evidencelake.operators import metadata as M
+from evidencelake.operators.page_pass import with_visible
 from evidencelake.plans.registry import Tables, query
 from evidencelake.plans.scalar import _CLASS, _NORMAL, TYPED
 
-_VIS = "regexp_replace(html, '(?is)^.*?<body[^>]*>', '')"
+_VIS = "regexp_replace(regexp_replace(html, '(?is)</body>.*$', ''), '(?is)^.*?<body[^>]*>', '')"
 for _t in H.NOISE_TAGS:
-    _VIS = f"regexp_replace({_VIS}, '(?is)<{_t}\\b[^>]*>.*?</{_t}\\s*>', ' ', 'g')"
-_VIS = f"trim(regexp_replace(regexp_replace(regexp_replace({_VIS}, '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))"
+    _VIS = f"regexp_replace({_VIS}, '(?is)<{_t}\\b[^>]*>.*?</{_t}\\s*>', '<>', 'g')"
+for _n in ('class="x sidebar"', 'class="login"', 'id="footer"'):
+    _VIS = f"regexp_replace({_VIS}, '(?s)<div {_n}>.*?</div>', '<>', 'g')"
+#: Text runs outside noise, stripped, without empty ones, joined by a space.
+_VIS = f"array_to_string(list_filter(list_transform(regexp_split_to_array(regexp_replace({_VIS}, '(?s)<!--.*?-->', '<>', 'g'), '(?s)<[^>]*>'), lambda s: regexp_replace(replace(replace(s, '&quot;', '\"'), '&amp;', '&'), '^\\s+|\\s+$', '', 'g')), lambda s: s <> ''), ' ')"
 
 _SHELL = "'<html><body><div>'"
+_WORDS = "repeat('side text ', 40)"
 GATES = f"""SELECT page_id, url, CASE page_id % 14 WHEN 0 THEN concat(html, 'DOI Not Found') WHEN 1 THEN concat(html, 'Documents Download Module being prepared for download') WHEN 2 THEN concat(html, '<!-- cf-browser-verification -->') WHEN 3 THEN concat(html, 'NaN-NaN-NaN') WHEN 4 THEN concat(html, '{{{{{{{{title}}}}}}}}')
  WHEN 5 THEN concat({_SHELL}, '</div></body></html>') WHEN 6 THEN concat({_SHELL}, 'Loading...</div></body></html>') WHEN 7 THEN concat({_SHELL}, 'Please enable JavaScript</div></body></html>') WHEN 8 THEN concat({_SHELL}, '404 Not Found</div></body></html>') WHEN 9 THEN concat({_SHELL}, 'Copyright x</div></body></html>')
- WHEN 10 THEN concat({_SHELL}, 'a few words only</div></body></html>') WHEN 11 THEN replace(html, 'article', 'aside') ELSE html END AS html FROM {{pages}}"""
+ WHEN 10 THEN concat({_SHELL}, 'a few words only</div></body></html>') WHEN 11 THEN replace(html, 'article', 'aside') WHEN 12 THEN concat({_SHELL}, '<div class="x sidebar">', {_WORDS}, '</div><div id="footer">', {_WORDS}, '</div></div></body></html>')
+ WHEN 13 THEN replace(html, '</article>', '</article><div class="login">Log in &amp; read</div>') ELSE html END AS html FROM {{pages}}"""
 _GATES_SQL = GATES.replace("{{{{title}}}}", "{{title}}").replace("{{title}}", "\x00").replace("\x00", "{{title}}")
 
 
 def _gates(t: Tables) -> DataFrame:
     h, p = F.col("html"), F.col("page_id") % 14
     shell = lambda s: F.lit(f"<html><body><div>{s}</div></body></html>")
-    cases = {0: F.concat(h, F.lit("DOI Not Found")), 1: F.concat(h, F.lit("Documents Download Module being prepared for download")), 2: F.concat(h, F.lit("<!-- cf-browser-verification -->")), 3: F.concat(h, F.lit("NaN-NaN-NaN")), 4: F.concat(h, F.lit("{{title}}")), 5: shell(""), 6: shell("Loading..."), 7: shell("Please enable JavaScript"), 8: shell("404 Not Found"), 9: shell("Copyright x"), 10: shell("a few words only"), 11: F.replace(h, F.lit("article"), F.lit("aside"))}
+    cases = {0: F.concat(h, F.lit("DOI Not Found")), 1: F.concat(h, F.lit("Documents Download Module being prepared for download")), 2: F.concat(h, F.lit("<!-- cf-browser-verification -->")), 3: F.concat(h, F.lit("NaN-NaN-NaN")), 4: F.concat(h, F.lit("{{title}}")), 5: shell(""), 6: shell("Loading..."), 7: shell("Please enable JavaScript"), 8: shell("404 Not Found"), 9: shell("Copyright x"), 10: shell("a few words only"), 11: F.replace(h, F.lit("article"), F.lit("aside")),
+             12: shell('<div class="x sidebar">' + "side text " * 40 + '</div><div id="footer">' + "side text " * 40 + "</div>"), 13: F.replace(h, F.lit("</article>"), F.lit('</article><div class="login">Log in &amp; read</div>'))}
     out = h
     for k, v in cases.items():
         out = F.when(p == k, v).otherwise(out)
@@ -50,7 +57,7 @@ def h1_html_nodes(t: Tables) -> DataFrame:
 
 @query(f"SELECT page_id, {_VIS} AS text FROM pages")
 def h2_visible_text(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", H.visible_text(F.col("html")).alias("text"))
+    return with_visible(t.pages).select("page_id", F.col("visible").alias("text"))
 
 
 @query(f"SELECT page_id, tag IS NULL AS is_valid, tag, length(v)::BIGINT AS visible_chars FROM ({_GATED})")
@@ -121,12 +128,14 @@ def h11_to_markdown(t: Tables) -> DataFrame:
     return H.to_markdown(nodes, roots)
 
 
-@query(f"SELECT converter, error_code, count(*) AS n FROM (SELECT CASE WHEN c = 'web_page' THEN 'web_page_local' ELSE 'none' END AS converter, CASE WHEN c = 'web_page' THEN tag ELSE 'UNSUPPORTED_TYPE' END AS error_code FROM (SELECT page_id, {_CLASS} AS c FROM ({TYPED})) JOIN ({_GATED}) USING (page_id)) GROUP BY ALL")
+@query(f"""SELECT page_id, CASE WHEN c = 'web_page' THEN 'web_page_local' ELSE 'none' END AS converter, CASE WHEN c = 'web_page' THEN tag ELSE 'UNSUPPORTED_TYPE' END AS error_code,
+ CASE WHEN c = 'web_page' AND tag IS NULL THEN '# ' || array_to_string({_BLOCKS}, chr(10) || chr(10)) || chr(10) END AS markdown FROM (SELECT page_id, {_CLASS} AS c FROM ({TYPED})) JOIN ({_GATED}) USING (page_id) JOIN pages USING (page_id)""")
 def h13_convert(t: Tables) -> DataFrame:
+    """Every page's Markdown or error: gate, pruning, root and blocks of pages that carry the gate's cases."""
     from evidencelake.functions.urls import classify_url
 
     kinds = t.sql(TYPED).select("page_id", classify_url(F.col("u")).alias("resource_type"))
-    return C.convert(_gates(t).join(kinds, "page_id")).groupBy("converter", "error_code").agg(F.count("*").alias("n"))
+    return C.convert(_gates(t).join(kinds, "page_id")).select("page_id", "converter", "error_code", "markdown")
 
 
 PICTURES = "SELECT conv_id AS asset_id, turn AS position, length(text) * 40 AS size_bytes, text FROM {conversations}"
