@@ -1,4 +1,4 @@
-"""Article metadata and identifiers. Native cascades over the html; the page is not parsed for them."""
+"""Article metadata and identifiers: native cascades over the html, and one parse of the page for what only its elements say."""
 
 from __future__ import annotations
 
@@ -7,13 +7,11 @@ from pyspark.sql import functions as F
 
 from evidencelake.functions import text as X
 from evidencelake.functions import urls as U
+from evidencelake.operators import page_pass
 
 #: Names in their order.
 PUBLISHED_NAMES = ("article:published_time", "pubdate", "publishdate", "date", "citation_publication_date", "citation_date", "og:release_date", "sailthru.date")
 AUTHOR_NAMES = ("author", "article:author", "citation_author", "dc.creator", "byl")
-PUBLISHED_SELECTORS = ("time", ".publish-time", ".time", ".date", ".info", ".post-date", ".article-time", "#publish_time", ".news-time", ".source-time", ".head-time", ".item", ".subtitle", "#source", ".article-info", ".detail-info")
-AUTHOR_SELECTORS = (".author", ".source", ".article-author", ".info", ".origin", ".copy-from", ".author-name", ".source-name")
-AUTHOR_LABEL = r"(?:来源|作者|文/|记者|本文来源|来源机构)[：:\s]+([^\s·|/]{2,30})"
 TITLE_SEPARATORS = (" - ", " | ", "_微信公众平台", "—", "_")
 PLATFORM_SEPARATORS = (" - ", " | ", "_", "——", "·")
 
@@ -54,34 +52,26 @@ def title(html: Column, md: Column | None = None, fallback: Column | None = None
     return got if md is None else F.coalesce(got, X.md_title(md, fallback if fallback is not None else F.lit("")))
 
 
-def container_texts(nodes: DataFrame, selectors: tuple[str, ...], most: int = 5) -> DataFrame:
-    """(page_id, rank, node_id, datetime, text) of the first `most` nodes of each selector; rank is the selector's place."""
-    match = [F.when(F.col("dom_id") == s[1:] if s[0] == "#" else F.array_contains("classes", s[1:]) if s[0] == "." else F.col("tag") == s, i) for i, s in enumerate(selectors)]
-    n = nodes.where("tag <> '#text'").select("page_id", "node_id", F.col("attrs")["datetime"].alias("datetime"), F.explode(F.array_compact(F.array(*match))).alias("rank"))
-    n = n.withColumn("_n", F.row_number().over(Window.partitionBy("page_id", "rank").orderBy("node_id"))).where(F.col("_n") <= most).drop("_n")
-    t = nodes.where("tag = '#text'").select("page_id", F.col("node_id").alias("at"), "text", F.explode(F.transform("path", lambda p: p["node_id"])).alias("node_id"))
-    joined = n.join(t, ["page_id", "node_id"], "left").groupBy("page_id", "rank", "node_id", "datetime").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("_t"))
-    return joined.withColumn("text", F.array_join(F.transform("_t", lambda x: x["text"]), "")).drop("_t")
+#: Script variables of the special host.
+STAMP = r"""(?:var\s+createTimestamp|createTimestamp|ori_create_time|var\s+ct)\s*[:=]\s*['"]?(\d{10})['"]?"""
+STAMP_DATE = r"""(?:var\s+createTime|createTime)\s*=\s*['"]([0-9]{4}-[0-9]{2}-[0-9]{2}\s+[0-9]{2}:[0-9]{2}(?::[0-9]{2})?)['"]"""
+NICKNAME, ANY_NICKNAME = r"""var\s+nickname\s*=\s*(?:htmlDecode\()?['"]([^'"]+)['"]""", r"""nickname\s*[:=]\s*(?:htmlDecode\()?['"]([^'"]+)['"]"""
 
 
-def from_containers(nodes: DataFrame) -> DataFrame:
-    """(page_id, seen_at, seen_by): the first date and the first labelled name in the containers that pages keep them in."""
-    dates = container_texts(nodes, PUBLISHED_SELECTORS).withColumn("v", X.parse_datetime(F.coalesce(F.nullif("datetime", F.lit("")), "text"))).where("v is not null")
-    names = container_texts(nodes, AUTHOR_SELECTORS).withColumn("v", F.nullif(F.regexp_extract("text", AUTHOR_LABEL, 1), F.lit(""))).where("v is not null")
-    first = lambda d, name: d.groupBy("page_id").agg(F.min_by("v", F.struct("rank", "node_id")).alias(name))
-    return first(dates, "seen_at").join(first(names, "seen_by"), "page_id", "full")
+def published_at(html: Column, url: Column, dates: Column | None = None) -> Column:
+    """Meta names in order, script variables of the special host, the last itemprop of zhihu, the texts of `dates` (page_pass), then the URL.
 
-
-def published_at(html: Column, url: Column, seen_at: Column | None = None) -> Column:
-    """Meta names in order, script variables of the special host, the last itemprop of zhihu, containers (seen_at), time elements, then the URL."""
+    Without dates, time elements with a datetime stand for them.
+    """
     metas = [X.parse_datetime(meta_content(html, n)) for n in PUBLISHED_NAMES]
-    stamp = F.regexp_extract(html, r"""(?:var\s+createTimestamp|createTimestamp|ori_create_time|var\s+ct)\s*[:=]\s*['"]?(\d{10})['"]?""", 1)
-    stamp = F.when(url.contains(U.SPECIAL_HOST), X.parse_datetime(F.nullif(stamp, F.lit(""))))
+    script = lambda p: X.parse_datetime(F.nullif(F.regexp_extract(html, p, 1), F.lit("")))
+    stamp = F.when(url.contains(U.SPECIAL_HOST), F.coalesce(script(STAMP), script(STAMP_DATE)))
     props = F.regexp_extract_all(html, F.lit(r"""(?is)<[^>]*itemprop=["']date(?:Created|Published)["'][^>]*content=["']([^"']*)["']"""), F.lit(1))
     zhihu = F.when(url.contains("zhihu.com") & (F.size(props) > 0), X.parse_datetime(F.try_element_at(props, F.lit(-1))))
-    stamps = F.transform(F.slice(F.regexp_extract_all(html, F.lit(r"""(?is)<time\b[^>]*datetime=["']([^"']*)["']"""), F.lit(1)), 1, 5), lambda x: X.parse_datetime(x))
-    time = F.get(F.filter(stamps, lambda x: x.isNotNull()), F.lit(0))
-    return F.coalesce(*metas, stamp, zhihu, *([] if seen_at is None else [seen_at]), time, U.date_from_url(url))
+    if dates is None:
+        dates = F.slice(F.regexp_extract_all(html, F.lit(r"""(?is)<time\b[^>]*datetime=["']([^"']*)["']"""), F.lit(1)), 1, 5)
+    seen = F.get(F.filter(F.transform(dates, lambda x: X.parse_datetime(x)), lambda x: x.isNotNull()), F.lit(0))
+    return F.coalesce(*metas, stamp, zhihu, seen, U.date_from_url(url))
 
 
 def platform(url: Column, html: Column, configured: Column | None = None) -> Column:
@@ -98,30 +88,28 @@ def platform(url: Column, html: Column, configured: Column | None = None) -> Col
     return named if configured is None else F.coalesce(configured, named)
 
 
-def author(html: Column, url: Column, seen_by: Column | None = None) -> Column:
-    nick = F.trim(F.regexp_extract(html, r"""nickname\s*[:=]\s*(?:htmlDecode\()?['"]([^'"]+)['"]""", 1))
-    special = F.when(url.contains(U.SPECIAL_HOST) & (nick != "未命名账号"), F.nullif(nick, F.lit("")))
+def author(html: Column, url: Column, account: Column | None = None, named: Column | None = None) -> Column:
+    """The account's own node, script variables of the special host, meta names in order, then what the page's elements label (named)."""
+    nick = lambda p: F.trim(F.regexp_extract(html, p, 1))
+    own, other = nick(NICKNAME), nick(ANY_NICKNAME)
+    special = F.when(url.contains(U.SPECIAL_HOST), F.when(own != "", own).when(other != "未命名账号", F.nullif(other, F.lit(""))))
     metas = [F.when((F.length(meta_content(html, n)) > 0) & (F.length(meta_content(html, n)) <= 50), F.trim(meta_content(html, n))) for n in AUTHOR_NAMES]
-    label = F.regexp_extract(F.regexp_replace(html, r"(?s)<[^>]*>", " "), AUTHOR_LABEL, 1)
-    return F.coalesce(special, *metas, *([] if seen_by is None else [seen_by]), F.nullif(label, F.lit("")))
+    return F.coalesce(*(c for c in (account, special, *metas, named) if c is not None))
 
 
-def article_metadata(pages: DataFrame, platforms: DataFrame | None = None, nodes: DataFrame | None = None) -> DataFrame:
+def article_metadata(pages: DataFrame, platforms: DataFrame | None = None, parse: bool = True) -> DataFrame:
     """pages (page_id, url, html) with title, published_at, platform, author. platforms: (domain, platform), on the exact host.
 
-    With the pages' node table, dates and names are looked for in their usual containers too.
+    With parse, dates and names are looked for in the pages' elements too: one Arrow pass, nothing is shuffled.
     """
-    p = pages
-    seen_at = seen_by = None
-    if nodes is not None:
-        p = p.join(from_containers(nodes).select("page_id", F.col("seen_at").alias("_at"), F.col("seen_by").alias("_by")), "page_id", "left")
-        seen_at, seen_by = F.col("_at"), F.col("_by")
+    p = page_pass.with_facts(pages) if parse else pages
+    dates, named, account = (F.col(c) if parse else None for c in ("_dates", "_author", "_account"))
     configured = F.lit(None).cast("string")
     if platforms is not None:
         p = p.withColumn("_host", F.lower(F.substring_index(F.substring_index("url", "://", -1), "/", 1))).join(platforms.select(F.col("domain").alias("_host"), F.col("platform").alias("_platform")), "_host", "left")
         configured = F.col("_platform")
     h, u = F.col("html"), F.col("url")
-    return p.select(*pages.columns, title(h).alias("title"), published_at(h, u, seen_at).alias("published_at"), platform(u, h, configured).alias("platform"), author(h, u, seen_by).alias("author"))
+    return p.select(*pages.columns, title(h).alias("title"), published_at(h, u, dates).alias("published_at"), platform(u, h, configured).alias("platform"), author(h, u, account, named).alias("author"))
 
 
 def extract_identifiers(df: DataFrame, key: str, text: str, enabled: DataFrame | None = None) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,6 +14,15 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from evidencelake.operators import html as H
 
+#: Containers, labels and patterns in their order.
+PUBLISHED = ("time", ".publish-time", ".time", ".date", ".info", ".post-date", ".article-time", "#publish_time", ".news-time", ".source-time", ".head-time", ".item", ".subtitle", "#source", ".article-info", ".detail-info")
+AUTHOR = (".author", ".source", ".article-author", ".info", ".origin", ".copy-from", ".author-name", ".source-name")
+DATE_LABELS = ("转自：", "转自:", "发布于", "发布时间", "时间：", "时间:")
+NAME_LABELS = ("作者：", "作者:", "记者：", "记者:", "来源：", "来源:")
+LABEL = re.compile(r"(?:来源|作者|文/|记者|本文来源|来源机构)[：:\s]+([^\s·|/]{2,30})")
+SHORT_LABEL = re.compile(r"(?:作者|记者|来源)[：:\s]+([^\s·|/]{2,30})")
+SPECIAL_HOST = "mp.weixin.qq.com"
+
 _PRUNED_IDS = ("footer", "header", "sidebar", "nav", "fixMenuBar")
 
 
@@ -122,3 +134,71 @@ def converted(pages: DataFrame, special: str = "wechat_article") -> DataFrame:
     kept = [f for f in pages.schema.fields if f.name != "html"]
     out = pages.withColumn("html", F.col("html").cast("string")).mapInArrow(rows, StructType([*kept, StructField("visible", StringType()), StructField("markdown", StringType())]))
     return out
+
+
+def _elements(rows: list[dict], fits) -> Iterator[tuple[dict, list[str]]]:  # noqa: ANN001
+    """The elements that fit, in page order, with the text runs inside."""
+    runs = [r for r in rows if r["text"] is not None]
+    starts = [r["node_id"] for r in runs]
+    for r in rows:
+        if r["text"] is None and fits(r):
+            yield r, [t["text"] for t in runs[bisect_right(starts, r["node_id"]) : bisect_right(starts, r["end_id"])]]
+
+
+def _joined(parts: list[str]) -> str:
+    return "".join(p.strip() for p in parts)
+
+
+def dates_of(rows: list[dict]) -> list[str]:
+    """Texts that may hold the publication date, in the rules' order: the usual containers (five of each at most), then labelled short texts."""
+    out = []
+    for s in PUBLISHED:
+        out += [r["attrs"].get("datetime") or "".join(t) for r, t in islice(_elements(rows, lambda r, s=s: _fits(r, s)), 5)]
+    for _, t in _elements(rows, lambda r: r["tag"] in ("div", "span", "p", "time")):
+        text = _joined(t)
+        if 6 <= len(text) <= 60 and "星期" not in text and any(k in text for k in DATE_LABELS):
+            out.append(text)
+    return out
+
+
+def author_of(rows: list[dict]) -> str | None:
+    """The first name that a usual container, or else a short text, labels as author or source."""
+    for s in AUTHOR:
+        for _, t in islice(_elements(rows, lambda r, s=s: _fits(r, s)), 5):
+            if m := LABEL.search(_joined(t)):
+                return m.group(1).strip()
+    for _, t in _elements(rows, lambda r: r["tag"] in ("p", "span", "div")):
+        text = _joined(t)
+        if 3 <= len(text) <= 50 and any(k in text for k in NAME_LABELS) and (m := SHORT_LABEL.search(text)):
+            return m.group(1).strip()
+    return None
+
+
+def account_of(rows: list[dict], url: str | None) -> str | None:
+    """The account's or author's own node on the two sites that have one."""
+    if url and SPECIAL_HOST in url:
+        mine = lambda r: r["dom_id"] in ("js_name", "profileBt") or "profile_nickname" in r["classes"] or r["tag"] == "strong" and "account_nickname" in r["classes"]
+    elif url and "zhihu.com" in url:
+        inside = _inherited(rows, lambda r: r["attrs"].get("itemprop") == "author")
+        mine = lambda r: "AuthorInfo-name" in r["classes"] or r["tag"] == "meta" and r["attrs"].get("itemprop") == "name" and r["parent_id"] >= 0 and inside[r["parent_id"]]
+    else:
+        return None
+    r, t = next(_elements(rows, mine), (None, []))
+    text = (r["attrs"].get("content") if r and "zhihu.com" in url else None) or _joined(t)
+    return text.strip() or None
+
+
+def with_facts(pages: DataFrame) -> DataFrame:
+    """pages (url, html, ...) with _dates (array<string>), _author and _account: what their elements say."""
+    added = StructType.fromDDL("_dates array<string>, _author string, _account string")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = []
+            for url, h in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
+                nodes = H.parse_nodes(h)
+                got.append((dates_of(nodes), author_of(nodes), account_of(nodes, url)))
+            columns = [pa.array([g[0] for g in got], pa.list_(pa.string())), *(pa.array([g[i] for g in got], pa.string()) for i in (1, 2))]
+            yield pa.record_batch([*batch.columns, *columns], [*batch.schema.names, *added.names])
+
+    return pages.mapInArrow(rows, StructType([*pages.schema.fields, *added.fields]))

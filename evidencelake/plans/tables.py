@@ -68,7 +68,7 @@ def e31_render_meta(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", M.render_meta(meta, {"document": ("title", "chars")}).alias("yaml"))
 
 
-@query(f"SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'Og & title' WHEN 2 THEN NULL ELSE CASE WHEN length({_H1}) <= 150 THEN nullif({_H1}, '') END END AS title, CASE WHEN page_id % 4 = 0 THEN 'Ann B' END AS author, CASE WHEN page_id % 4 = 1 THEN '2024-05-06 07:08:09' WHEN page_id % 5 = 4 THEN '2024-03-01 00:00:00' END AS published_at FROM ({HEADS})")
+@query(f"SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'Og & title' WHEN 2 THEN NULL ELSE CASE WHEN length({_H1}) <= 150 THEN nullif({_H1}, '') END END AS title, CASE WHEN page_id % 4 = 0 THEN 'Ann B' WHEN contains(html, '发布时间') THEN '李四' END AS author, CASE WHEN page_id % 4 = 1 THEN '2024-05-06 07:08:09' WHEN contains(html, '发布时间') THEN '2024-02-03 10:20:00' WHEN page_id % 5 = 4 THEN '2024-03-01 00:00:00' END AS published_at FROM ({HEADS})")
 def m7_article_metadata(t: Tables) -> DataFrame:
     return M.article_metadata(t.sql(HEADS)).select("page_id", "title", "author", "published_at")
 

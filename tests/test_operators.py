@@ -112,9 +112,9 @@ def test_metadata(spark):
     assert (r["title"], r["published_at"], r["platform"], r["author"]) == ("T & U", "2024-01-02 03:04:00", "Platform", "张三")
     kept = '<body><p class="date">no date</p><span class="publish-time">on 2024-03-05 <b>10:20</b></span><time datetime="2023-01-02T03:04:05">x</time><div class="source">来源：新华社 more</div><i class="author">作者 李四</i></body>'
     pages = spark.createDataFrame([(1, "https://h.org/x", kept), (2, "https://h.org/y", "<p>none</p>")], "page_id long, url string, html string")
-    got = {r["page_id"]: (r["published_at"], r["author"]) for r in metadata.article_metadata(pages, nodes=html.html_nodes(pages)).collect()}
+    got = {r["page_id"]: (r["published_at"], r["author"]) for r in metadata.article_metadata(pages).collect()}
     assert got == {1: ("2023-01-02 03:04:05", "李四"), 2: (None, None)}
-    assert metadata.article_metadata(pages.where("page_id = 1").withColumn("html", F.replace("html", F.lit("<time"), F.lit("<tame"))), nodes=html.html_nodes(pages.withColumn("html", F.replace("html", F.lit("<time"), F.lit("<tame"))))).collect()[0]["published_at"] == "2024-03-05 10:20:00"
+    assert metadata.article_metadata(pages.where("page_id = 1").withColumn("html", F.replace("html", F.lit("<time"), F.lit("<tame")))).collect()[0]["published_at"] == "2024-03-05 10:20:00"
     meta = metadata.build_evidence_meta(spark.createDataFrame([("e", "k", "web_page", "p", "u", "f", "d", "t\"x", "a", "md", "s", 1, "local", "c", "fp")], "evidence_id string, source_key string, resource_type string, platform string, url string, fetched_at string, published_at string, title string, author string, markdown string, raw_sha256 string, version_no int, provider string, converter string, pipeline_fingerprint string"))
     y = one(meta.select(metadata.render_meta(F.col("meta"), {"document": ("title", "author"), "raw": ("version_no",)}).alias("y")))["y"]
     assert y == 'schema_version: 2\ndocument:\n  title: "t\\"x"\n  author: "a"\nraw:\n  version_no: 1\n'

@@ -51,3 +51,19 @@ def test_conversion_is_one_parse_without_a_shuffle(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "Exchange" not in plan
     assert out.where("error_code is null").count() == 50
+
+
+def test_metadata_of_elements(spark):
+    from evidencelake.operators import metadata
+
+    rows = [
+        (1, "https://h.org/x", "<body><p>A sentence that mentions 来源：and then goes on for many more words than a label would ever have in any page</p></body>"),
+        (2, "https://h.org/x", "<body><div><span>发布时间：2024-03-05 10:20</span></div><p>记者：王五 </p></body>"),
+        (3, "https://mp.weixin.qq.com/s", "<body><strong class='account_nickname'> Daily <i>News</i></strong><script>var nickname = 'x'; var createTime = '2024-01-02 03:04';</script></body>"),
+        (4, "https://mp.weixin.qq.com/s", "<script>nickname: '未命名账号'</script>"),
+        (5, "https://www.zhihu.com/q", "<div itemprop='author'><meta itemprop='url' content='u'><meta itemprop='name' content='Zhang'></div>"),
+        (6, "https://h.org/2023/04/05/x", "<p>时间：星期三</p>"),
+        (7, None, None),
+    ]
+    got = {r["page_id"]: (r["published_at"], r["author"]) for r in metadata.article_metadata(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: (None, None), 2: ("2024-03-05 10:20:00", "王五"), 3: ("2024-01-02 03:04:00", "DailyNews"), 4: (None, None), 5: (None, "Zhang"), 6: ("2023-04-05 00:00:00", None), 7: (None, None)}
