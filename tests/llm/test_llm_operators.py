@@ -45,7 +45,7 @@ def shingles(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
 
 
-def brute_classes(rows):
+def brute_classes(rows, percent=85):
     sets = {i: shingles(t) for i, t in rows if i is not None}
     parent = {i: i for i in sets}
 
@@ -58,7 +58,7 @@ def brute_classes(rows):
     for k, a in enumerate(ids):
         for b in ids[k + 1 :]:
             common = len(sets[a] & sets[b])
-            if common and 100 * common >= 85 * len(sets[a] | sets[b]):
+            if common and 100 * common >= percent * len(sets[a] | sets[b]):
                 x, y = sorted((root(a), root(b)))
                 parent[y] = x
     return {i: (len(sets[i]), root(i), root(i) == i) for i in ids}
@@ -458,7 +458,7 @@ def test_pipeline(spark):
     rejected = ids(toxicity.score_toxicity(docs, spark.read.parquet(f"{SF}/labels.parquet")).where("predicted = 1"))
     assert ids(seen[0][2]) == ids(docs) - rejected
     rows = [(r["doc_id"], r["text"]) for r in seen[2][1].collect()]
-    assert ids(seen[2][2]) == {i for i, (_, _, kept) in brute_classes(rows).items() if kept}
+    assert ids(seen[2][2]) == {i for i, (_, _, kept) in brute_classes(rows, 80).items() if kept}
     v = sentencepiece.load(sentencepiece.MODEL)
     out = p.run(spark, SF).collect()
     text = {r["doc_id"]: r["text"] for r in docs.collect()}
