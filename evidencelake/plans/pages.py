@@ -101,21 +101,32 @@ def h8_link_density(t: Tables) -> DataFrame:
     return H.link_density(H.html_nodes(t.pages)).where("tag = 'ul'").select("page_id", "total", "link")
 
 
-@query("SELECT page_id, 0 AS nav_runs FROM pages")
+_LEFT = "html"
+for _t in H.NOISE_TAGS:
+    _LEFT = f"regexp_replace({_LEFT}, '(?is)<{_t}\\b[^>]*>.*?</{_t}\\s*>', '<>', 'g')"
+_LEFT = f"list_filter(list_transform(regexp_split_to_array(regexp_replace({_LEFT}, '(?s)<!--.*?-->', '<>', 'g'), '(?s)<[^>]*>'), lambda s: regexp_replace(replace(replace(s, '&quot;', '\"'), '&amp;', '&'), '^\\s+|\\s+$', '', 'g')), lambda s: s <> '')"
+
+
+@query(f"SELECT page_id, len({_LEFT})::BIGINT AS runs, 0::BIGINT AS nav_runs, array_to_string({_LEFT}, '|') AS text FROM pages")
 def h7_drop_noise(t: Tables) -> DataFrame:
-    """Text runs left inside menus after dropping noise: none."""
-    n = H.drop_noise(H.html_nodes(t.pages))
-    return n.groupBy("page_id").agg(F.count_if((F.col("tag") == "#text") & F.exists("path", lambda p: p["tag"].isin("nav", "footer"))).cast("int").alias("nav_runs"))
+    """The text runs that dropping noise leaves, and those of them inside menus: none."""
+    n = H.drop_noise(H.html_nodes(t.pages)).where("tag = '#text'")
+    runs = F.transform(F.array_sort(F.collect_list(F.struct("node_id", F.regexp_replace("text", r"^\s+|\s+$", "").alias("t")))), lambda x: x["t"])
+    menus = F.count_if(F.exists("path", lambda p: p["tag"].isin("nav", "footer")))
+    return n.groupBy("page_id").agg(F.count("*").alias("runs"), menus.alias("nav_runs"), F.array_join(runs, "|").alias("text"))
 
 
 _ARTICLE = "regexp_extract(html, '(?s)<article>(.*)</article>', 1)"
 _CHARS = f"list_sum({_PIECES.format(x=_ARTICLE)})"
 
 
-@query(f"SELECT page_id, CASE WHEN {_CHARS} >= 60 THEN 'article' ELSE 'body' END AS tag FROM pages")
+@query(f"SELECT page_id, CASE WHEN {_CHARS} >= 60 THEN 'article' ELSE 'body' END AS tag, CASE WHEN {_CHARS} >= 60 THEN {_CHARS}::BIGINT END AS chars FROM pages")
 def h10_content_root(t: Tables) -> DataFrame:
     nodes = H.html_nodes(t.pages).select("page_id", "node_id", "end_id", "tag", "dom_id", "classes", "role", "text", "path")
-    return H.content_root(nodes).join(nodes.select("page_id", "node_id", "tag"), ["page_id", "node_id"]).select("page_id", "tag")
+    roots = H.content_root(nodes).join(nodes.select("page_id", "node_id", "tag"), ["page_id", "node_id"])
+    inside = nodes.where("tag = '#text'").select("page_id", F.col("node_id").alias("at"), F.length(F.trim("text")).alias("n"))
+    j = roots.join(inside, "page_id", "left").groupBy("page_id", "tag").agg(F.sum(F.when(F.col("at").between(F.col("node_id"), F.col("end_id")), F.col("n"))).alias("chars"))
+    return j.select("page_id", "tag", F.when(F.col("tag") == "article", F.col("chars")).alias("chars"))
 
 
 _BLOCKS = f"list_filter(list_transform(regexp_split_to_array({_ARTICLE}, '</?(?:p|h1)>'), lambda b: trim(regexp_replace(replace(replace(regexp_replace(b, '<[^>]*>', '', 'g'), '&quot;', '\"'), '&amp;', '&'), '\\s+', ' ', 'g'))), lambda b: b <> '')"
