@@ -176,7 +176,7 @@ def _guess_charset(bodies: Iterator[pd.Series]) -> Iterator[pd.Series]:
     except ImportError:  # optional guesser
         from_bytes = None
     for s in bodies:
-        yield s.map(lambda b: None if b is None or from_bytes is None or (best := from_bytes(b[:65536]).best()) is None else best.encoding)
+        yield s.map(lambda b: None if b is None or from_bytes is None or (best := from_bytes(b).best()) is None else best.encoding)
 
 
 @F.pandas_udf(StringType())
@@ -196,7 +196,11 @@ def _decode_other(bodies: pd.Series, charsets: pd.Series) -> pd.Series:
 
 
 def detect_charset(body: Column, content_type: Column) -> Column:
-    return F.coalesce(declared_charset(body, content_type), _guess_charset(F.when(declared_charset(body, content_type).isNull(), body)))
+    """The declared charset, else one guessed from the whole bytes. Valid UTF-8 is seen in the JVM; only other bytes go to Python."""
+    declared, text = declared_charset(body, content_type), F.make_valid_utf8(body.cast("string"))
+    valid = F.encode(text, "UTF-8") == body
+    plain = F.when(valid, F.when(F.length(text) == F.length(body), "ascii").otherwise("utf_8"))
+    return F.coalesce(declared, F.when(F.length(body) > 0, plain), _guess_charset(F.when(declared.isNull() & ~valid, body)))
 
 
 def decode_html(body: Column, charset: Column) -> Column:

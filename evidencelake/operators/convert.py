@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidencelake.functions import identity as I
 from evidencelake.functions import text as X
 from evidencelake.operators import gates, metadata, page_pass
 
@@ -33,7 +34,7 @@ def convert_pages(rows: DataFrame) -> DataFrame:
     return p.select("page_id", F.when(F.col("error_code").isNull(), F.concat("md", F.lit("\n"))).alias("markdown"), F.concat("resource_type", F.lit("_local")).alias("converter"), "error_code")
 
 
-#: Converters by resource type; a plug-in is another entry, whose name belongs into the fingerprint.
+#: Converters by resource type; a plug-in is another entry, whose name goes into the fingerprint.
 CONVERTERS: dict[str, Converter] = {"text": convert_text, "web_page": convert_pages, "wechat_article": convert_pages}
 
 
@@ -49,6 +50,14 @@ def convert(captures: DataFrame, converters: dict[str, Converter] | None = None)
     return out
 
 
+def fingerprint(resource_type: Column, converters: dict[str, Converter] | None = None, options: list[Column] | None = None) -> Column:
+    """Pipeline fingerprint of a row: its converter's identity (module and name) with the options, so that another plug-in rebuilds."""
+    who = F.lit(None).cast("string")
+    for kind, f in (converters or CONVERTERS).items():
+        who = F.when(resource_type == kind, f"{f.__module__}.{f.__qualname__}").otherwise(who)
+    return I.pipeline_fingerprint([who.alias("converter"), *(options or [])])
+
+
 def ocr_candidates(images: DataFrame, least: int = 5120, most: int = 6) -> DataFrame:
     """The first images of an asset that are large enough, numbered. images: (asset_id, position, size_bytes)."""
     w = Window.partitionBy("asset_id").orderBy("position")

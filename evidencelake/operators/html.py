@@ -1,8 +1,8 @@
 """HTML jobs: one Python pass makes a node table, the rest is Spark SQL over it. (The gate and the converter, which need no
 node table, are in page_pass.)
 
-Nodes have preorder ids and end_id (the last id inside), so that ancestry is an interval. Text runs are rows of tag '#text'
-that carry the path of their ancestors: dropping noise is a narrow filter, without a join.
+Nodes have preorder ids and end_id (the last id inside), so that ancestry is an interval. Text runs are rows of tag '#text';
+they and paragraphs carry the path of their ancestors: dropping noise is a narrow filter, counting by container no join.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ class _Nodes(HTMLParser):
         self.open: list[dict] = []
 
     def add(self, tag: str, attrs: dict[str, str], text: str | None) -> dict:
-        path = [n["node_id"] for n in self.open] if text is not None else None
+        path = [n["node_id"] for n in self.open] if text is not None or tag == "p" else None
         row = {
             "node_id": len(self.rows), "parent_id": self.open[-1]["node_id"] if self.open else -1, "end_id": len(self.rows), "depth": len(self.open), "tag": tag, "dom_id": attrs.get("id"),
             "classes": (attrs.get("class") or "").split(), "role": attrs.get("role"), "attrs": attrs, "text": text, "path": path,
@@ -130,6 +130,11 @@ def html_nodes(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "html").mapInArrow(batches, NODE_SCHEMA).repartition("page_id")
 
 
+def _stripped(text: Column) -> Column:
+    """Without white space at both ends, that of Unicode too."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def is_noise(n: Column) -> Column:
     """Of a struct with tag, dom_id, classes: the gate's noise rule."""
     return n["tag"].isin(*NOISE_TAGS) | F.coalesce(n["dom_id"].isin(*NOISE_IDS), F.lit(False)) | F.arrays_overlap(n["classes"], F.array(*map(F.lit, NOISE_CLASSES)))
@@ -142,14 +147,15 @@ def is_pruned_name(n: Column) -> Column:
 
 
 def drop_noise(nodes: DataFrame) -> DataFrame:
-    """Nodes without the text runs that lie in noise."""
-    return nodes.where((F.col("tag") != "#text") | ~F.exists("path", is_pruned_name))
+    """Nodes without the text runs and paragraphs that lie in noise or are noise."""
+    noisy = F.exists("path", is_pruned_name) | is_pruned_name(F.struct("tag", "dom_id", "classes"))
+    return nodes.where(~F.col("tag").isin("#text", "p") | ~noisy)
 
 
 def visible_text_exact(nodes: DataFrame) -> DataFrame:
     """(page_id, text): the body's text outside noise, runs stripped and joined by a space."""
     t = nodes.where((F.col("tag") == "#text") & ~F.exists("path", is_noise) & F.exists("path", lambda p: p["tag"] == "body"))
-    return t.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", F.trim("text").alias("t")))), lambda x: x["t"]), " ").alias("text"))
+    return t.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", _stripped(F.col("text")).alias("t")))), lambda x: x["t"]), " ").alias("text"))
 
 
 def link_density(nodes: DataFrame) -> DataFrame:
@@ -157,7 +163,7 @@ def link_density(nodes: DataFrame) -> DataFrame:
 
     Texts meet their containers by their own path, so there is one exchange at most, on page_id.
     """
-    t = nodes.where("tag = '#text'").select("page_id", F.length(F.trim("text")).alias("n"), F.exists("path", lambda p: p["tag"] == "a").alias("in_link"), F.explode("path").alias("p"))
+    t = nodes.where("tag = '#text'").select("page_id", F.length(_stripped(F.col("text"))).alias("n"), F.exists("path", lambda p: p["tag"] == "a").alias("in_link"), F.explode("path").alias("p"))
     t = t.where(F.col("p.tag").isin(*DENSITY_TAGS))
     return t.groupBy("page_id", F.col("p.node_id").alias("node_id"), F.col("p.tag").alias("tag"), F.col("p.dom_id").alias("dom_id"), F.col("p.classes").alias("classes")).agg(
         F.sum("n").cast("long").alias("total"), F.sum(F.when(F.col("in_link"), F.col("n")).otherwise(0)).cast("long").alias("link")
@@ -165,13 +171,13 @@ def link_density(nodes: DataFrame) -> DataFrame:
 
 
 def prune_link_density(nodes: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Nodes without the text runs in containers that are mostly links; containers with a core word in id or class are safe."""
+    """Nodes without the text runs and paragraphs in containers that are mostly links; containers with a core word in id or class are safe."""
     d = link_density(nodes)
     core = F.lower(F.concat_ws(" ", F.coalesce("dom_id", F.lit("")), F.concat_ws(" ", "classes"))).rlike("|".join(CORE_WORDS))
     bad = d.where(~core & (F.col("total") >= 6) & (F.col("link") > 0) & (F.col("link") / F.col("total") >= threshold))
     doomed = bad.groupBy("page_id").agg(F.collect_set("node_id").alias("_doomed"))
     j = nodes.join(doomed, "page_id", "left")
-    return j.where((F.col("tag") != "#text") | F.col("_doomed").isNull() | ~F.arrays_overlap(F.transform("path", lambda p: p["node_id"]), F.col("_doomed"))).drop("_doomed")
+    return j.where(~F.col("tag").isin("#text", "p") | F.col("_doomed").isNull() | ~F.arrays_overlap(F.transform("path", lambda p: p["node_id"]), F.col("_doomed"))).drop("_doomed")
 
 
 def _selector_rank(selectors: tuple[str, ...]) -> Column:
@@ -190,7 +196,7 @@ def _selector_rank(selectors: tuple[str, ...]) -> Column:
 
 
 def _text_lengths(nodes: DataFrame) -> DataFrame:
-    t = nodes.where("tag = '#text'").select("page_id", F.length(F.trim("text")).alias("n"), F.explode(F.transform("path", lambda p: p["node_id"])).alias("node_id"))
+    t = nodes.where("tag = '#text'").select("page_id", F.length(_stripped(F.col("text"))).alias("n"), F.explode(F.transform("path", lambda p: p["node_id"])).alias("node_id"))
     return t.groupBy("page_id", "node_id").agg(F.sum("n").alias("chars"))
 
 
@@ -205,18 +211,22 @@ def content_root(nodes: DataFrame, selectors: tuple[str, ...] = ROOT_SELECTORS,
 
 
 def main_content(nodes: DataFrame) -> DataFrame:
-    """(page_id, node_id, end_id, score): a known container of 120 characters or more, else the best-scored div or section, else nothing."""
-    ranked = nodes.where("tag <> '#text'").select("page_id", "node_id", "end_id", "tag", _selector_rank(MAIN_SELECTORS).alias("rank"))
-    first = Window.partitionBy("page_id", "rank").orderBy("node_id")
-    chars = _text_lengths(nodes)
-    known = ranked.where("rank is not null").withColumn("_n", F.row_number().over(first)).where("_n = 1").join(chars, ["page_id", "node_id"]).where("chars >= 120")
-    links = link_density(nodes).select("page_id", "node_id", "link")
-    boxes = ranked.where(F.col("tag").isin("div", "section")).join(chars, ["page_id", "node_id"]).where("chars >= 100").join(links, ["page_id", "node_id"], "left")
-    paragraphs = nodes.where("tag = 'p'").select("page_id", F.col("node_id").alias("p_id"))
-    counted = boxes.join(paragraphs, "page_id", "left").groupBy("page_id", "node_id", "end_id", "chars", "link").agg(F.count_if(F.col("p_id").between(F.col("node_id"), F.col("end_id"))).alias("n_p"))
-    scored = counted.select("page_id", "node_id", "end_id", (F.col("chars") + 40 * F.col("n_p") - 2 * F.coalesce("link", F.lit(0))).alias("score")).where("score > 0")
-    every = known.select("page_id", "node_id", "end_id", F.col("rank").alias("_k"), F.lit(0).cast("long").alias("score")).unionByName(scored.withColumn("_k", F.lit(999)))
-    best = every.groupBy("page_id").agg(F.min_by(F.struct("node_id", "end_id", "score"), F.struct("_k", -F.col("score"), "node_id")).alias("r"))
+    """(page_id, node_id, end_id, score): a known container of 120 characters or more, else the best-scored div or section, else nothing.
+
+    Containers meet the texts, links and paragraphs inside them by those rows' own paths, in one aggregation.
+    """
+    known, box = _selector_rank(MAIN_SELECTORS), F.col("tag").isin("div", "section")
+    none = lambda kind: F.lit(None).cast(kind)
+    containers = nodes.where(F.col("tag") != "#text").select("page_id", "node_id", "end_id", known.alias("rank"), box.alias("box"), F.lit(0).alias("n"), F.lit(0).alias("link"), F.lit(0).alias("p")).where("rank is not null or box")
+    text = F.col("tag") == "#text"
+    anchor = F.array_max(F.transform(F.filter("path", lambda x: x["tag"] == "a"), lambda x: x["node_id"]))
+    inside = nodes.where(F.col("tag").isin("#text", "p")).select("page_id", F.when(text, F.length(_stripped(F.col("text")))).otherwise(0).alias("n"), F.coalesce(anchor, F.lit(-1)).alias("a"), (~text).cast("int").alias("p"), F.explode(F.transform("path", lambda x: x["node_id"])).alias("node_id"))
+    inside = inside.select("page_id", "node_id", none("int").alias("end_id"), none("int").alias("rank"), none("boolean").alias("box"), "n", F.when(F.col("a") > F.col("node_id"), F.col("n")).otherwise(0).alias("link"), "p")
+    sized = containers.unionByName(inside).groupBy("page_id", "node_id").agg(F.max("end_id").alias("end_id"), F.max("rank").alias("rank"), F.max("box").alias("box"), F.sum("n").alias("chars"), (F.sum("n") + 40 * F.sum("p") - 2 * F.sum("link")).alias("score")).where("end_id is not null")
+    firsts = sized.where("rank is not null").groupBy("page_id", "rank").agg(F.min_by(F.struct("node_id", "end_id", "chars"), "node_id").alias("r")).where("r.chars >= 120")
+    firsts = firsts.select("page_id", "r.node_id", "r.end_id", F.col("rank").alias("_k"), F.lit(0).cast("long").alias("score"))
+    scored = sized.where("box and chars >= 100 and score > 0").select("page_id", "node_id", "end_id", F.lit(999).alias("_k"), "score")
+    best = firsts.unionByName(scored).groupBy("page_id").agg(F.min_by(F.struct("node_id", "end_id", "score"), F.struct("_k", -F.col("score"), "node_id")).alias("r"))
     return best.select("page_id", "r.*")
 
 
@@ -264,7 +274,7 @@ def focused_text(pages: DataFrame) -> DataFrame:
     ids = pages.select(F.col("page_id").cast("long").alias("page_id")).where("page_id is not null").distinct()
     root = ids.join(body, "page_id", "left").join(roots, "page_id", "left").select("page_id", F.coalesce("node_id", "b.node_id", F.lit(0)).alias("_root"), F.coalesce("end_id", "b.end_id", F.lit(2**31 - 1)).alias("_end"))
     t = nodes.where("tag = '#text'").join(root, "page_id").where("node_id between _root and _end")
-    texts = t.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", F.trim("text").alias("t")))), lambda x: x["t"]), "\n").alias("text"))
+    texts = t.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", _stripped(F.col("text")).alias("t")))), lambda x: x["t"]), "\n").alias("text"))
     j = ids.join(texts, "page_id", "left").join(page_titles(every), "page_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
     return j.select("page_id", F.when(F.col("title").isNotNull() & ~F.contains("text", "title"), F.concat(F.lit("【页面标题】："), "title", F.lit("\n\n"), "text")).otherwise(F.col("text")).alias("text"))
 

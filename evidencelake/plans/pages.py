@@ -95,10 +95,24 @@ def h6_image_urls(t: Tables) -> DataFrame:
 _PIECES = "list_transform(regexp_split_to_array({x}, '(?s)<[^>]*>'), lambda s: length(trim(regexp_replace(s, '&[a-z]+;', '_', 'g'))))"
 
 
-@query(f"""SELECT page_id, list_sum({_PIECES.format(x='ul')})::BIGINT AS total, list_sum({_PIECES.format(x='ul')})::BIGINT AS link FROM (SELECT page_id, regexp_extract(html, '(?s)<ul>(.*?)</ul>', 1) AS ul FROM pages)""")
+_AD, _UL = "regexp_extract(html, '(?s)<div class=\"ad\">(.*?)</div>', 1)", "regexp_extract(html, '(?s)<ul>(.*?)</ul>', 1)"
+
+
+@query(f"""WITH d AS (SELECT page_id, coalesce(list_sum({_PIECES.format(x=_UL)}), 0)::BIGINT AS u, coalesce(list_sum({_PIECES.format(x=_AD)}), 0)::BIGINT AS a FROM pages)
+ SELECT page_id, unnest(['ul', 'nav']) AS tag, u AS total, u AS link FROM d WHERE u > 0 UNION ALL SELECT page_id, 'div', a, 0 FROM d WHERE a > 0""")
 def h8_link_density(t: Tables) -> DataFrame:
-    """Text and link text of each page's list."""
-    return H.link_density(H.html_nodes(t.pages)).where("tag = 'ul'").select("page_id", "total", "link")
+    """Text and link text of each container of each page."""
+    return H.link_density(H.html_nodes(t.pages)).select("page_id", "tag", "total", "link")
+
+
+_BODY = "regexp_extract(html, '(?s)<body>(.*)', 1)"
+
+
+@query(f"SELECT page_id, CASE WHEN list_sum({_PIECES.format(x=_UL)}) >= 6 THEN list_sum({_PIECES.format(x=f"regexp_replace({_BODY}, '(?s)<nav>.*?</nav>', '<>')")}) ELSE list_sum({_PIECES.format(x=_BODY)}) END::BIGINT AS chars FROM pages")
+def h8_prune_link_density(t: Tables) -> DataFrame:
+    """Characters of each body that stay when containers that are mostly links go."""
+    left = H.prune_link_density(H.html_nodes(t.pages)).where(F.col("tag") == "#text").where(F.exists("path", lambda p: p["tag"] == "body"))
+    return left.groupBy("page_id").agg(F.sum(F.length(F.regexp_replace("text", r"^\s+|\s+$", ""))).alias("chars"))
 
 
 _LEFT = "html"
@@ -139,14 +153,39 @@ def h11_to_markdown(t: Tables) -> DataFrame:
     return H.to_markdown(nodes, roots)
 
 
-@query(f"""SELECT page_id, CASE WHEN c = 'web_page' THEN 'web_page_local' ELSE 'none' END AS converter, CASE WHEN c = 'web_page' THEN tag ELSE 'UNSUPPORTED_TYPE' END AS error_code,
- CASE WHEN c = 'web_page' AND tag IS NULL THEN '# ' || array_to_string({_BLOCKS}, chr(10) || chr(10)) || chr(10) END AS markdown FROM (SELECT page_id, {_CLASS} AS c FROM ({TYPED})) JOIN ({_GATED}) USING (page_id) JOIN pages USING (page_id)""")
+H13 = f"""SELECT page_id, CASE WHEN c = 'web_page' THEN 'web_page_local' ELSE 'none' END AS converter, CASE WHEN c = 'web_page' THEN tag ELSE 'UNSUPPORTED_TYPE' END AS error_code,
+ CASE WHEN c = 'web_page' AND tag IS NULL THEN '# ' || array_to_string({_BLOCKS}, chr(10) || chr(10)) || chr(10) END AS markdown FROM (SELECT page_id, {_CLASS} AS c FROM ({TYPED})) JOIN ({_GATED}) USING (page_id) JOIN pages USING (page_id)"""
+
+
+def typed_gates(t: Tables) -> DataFrame:
+    """Captures (page_id, url, html, resource_type): pages that carry the gate's cases, of several types."""
+    from evidencelake.functions.urls import classify_url
+
+    return _gates(t).join(t.sql(TYPED).select("page_id", classify_url(F.col("u")).alias("resource_type")), "page_id")
+
+
+@query(H13)
 def h13_convert(t: Tables) -> DataFrame:
     """Every page's Markdown or error: gate, pruning, root and blocks of pages that carry the gate's cases."""
+    return C.convert(typed_gates(t)).select("page_id", "converter", "error_code", "markdown")
+
+
+def lengths_of_files(rows: DataFrame) -> DataFrame:
+    """A plug-in converter: the size of what can't be read."""
+    md = F.concat(F.lit("# File\n\n"), F.length("html").cast("string"), F.lit(" characters\n"))
+    return rows.select("page_id", md.alias("markdown"), F.lit("lengths").alias("converter"), F.lit(None).cast("string").alias("error_code"))
+
+
+@query(f"""SELECT page_id, CASE c WHEN 'pdf' THEN 'lengths' WHEN 'web_page' THEN 'text_local' ELSE 'none' END AS converter, CASE WHEN c NOT IN ('pdf', 'web_page') THEN 'UNSUPPORTED_TYPE' END AS error_code, CASE c WHEN 'pdf' THEN '# File' || chr(10) || chr(10) || length(html) || ' characters' || chr(10) WHEN 'web_page' THEN replace(replace(html, chr(13) || chr(10), chr(10)), chr(13), chr(10)) END AS markdown,
+ sha256('1.1.0:{{"converter":' || CASE c WHEN 'pdf' THEN '"evidencelake.plans.pages.lengths_of_files"' WHEN 'web_page' THEN '"evidencelake.operators.convert.convert_text"' ELSE 'null' END || '}}') AS pipeline_fingerprint FROM (SELECT page_id, {_CLASS} AS c FROM ({TYPED})) JOIN pages USING (page_id)""")
+def u2_plug_in_converter(t: Tables) -> DataFrame:
+    """Own converters for two types; each row's fingerprint names the one that made it."""
     from evidencelake.functions.urls import classify_url
 
+    table = {"pdf": lengths_of_files, "web_page": C.convert_text}
     kinds = t.sql(TYPED).select("page_id", classify_url(F.col("u")).alias("resource_type"))
-    return C.convert(_gates(t).join(kinds, "page_id")).select("page_id", "converter", "error_code", "markdown")
+    made = C.convert(t.pages.select("page_id", "html").join(kinds, "page_id"), table)
+    return made.join(kinds, "page_id").select("page_id", "converter", "error_code", "markdown", C.fingerprint(F.col("resource_type"), table).alias("pipeline_fingerprint"))
 
 
 PICTURES = "SELECT conv_id AS asset_id, turn AS position, length(text) * 40 AS size_bytes, text FROM {conversations}"
@@ -175,9 +214,7 @@ def h16_attach_precomputed(t: Tables) -> DataFrame:
     return C.attach_precomputed(docs, t.sql(OUTPUTS), F.col("id") % 5 != 0, F.col("id") % 3 != 0)
 
 
-IDS = """SELECT doc_id, concat('See DOI: 10.1016/j.cell.', CAST(doc_id % 50 AS STRING), '. And 10.1016/J.CELL.', CAST(doc_id % 50 AS STRING), ', PMID: ', CAST(38000000 + doc_id % 40 AS STRING), ' pmc', CAST(1234567 + doc_id % 5 AS STRING), ' PMC', CAST(1234567 + doc_id % 5 AS STRING), ' NCT0123', CAST(1000 + doc_id % 9 AS STRING), ' ChiCTR-TRC-1234567 ORCID 0000-0002-1825-009X ', substring(text, 1, 50)) AS t FROM {documents}"""
-#: The query's own input: the header before the whole text. The SQL keeps its first 50 characters, so it says the same only where texts hold no identifiers.
-IDS_WHOLE = IDS.replace("substring(text, 1, 50)", "coalesce(text, '')")
+IDS = """SELECT doc_id, concat('See DOI: 10.1016/j.cell.', CAST(doc_id % 50 AS STRING), '. And 10.1016/J.CELL.', CAST(doc_id % 50 AS STRING), ', PMID: ', CAST(38000000 + doc_id % 40 AS STRING), ' pmc', CAST(1234567 + doc_id % 5 AS STRING), ' PMC', CAST(1234567 + doc_id % 5 AS STRING), ' NCT0123', CAST(1000 + doc_id % 9 AS STRING), ' ChiCTR-TRC-1234567 ORCID 0000-0002-1825-009X ', coalesce(text, '')) AS t FROM {documents}"""
 _RE = {"DOI": "(?i)\\b(10\\.\\d{4,9}/[-._;()/:A-Za-z0-9]+)\\b", "PMID": "(?i)\\b(?:PMID|PubMed(?:\\s*ID)?)[ \\t:]*(\\d{6,9})\\b", "PMCID": "(?i)\\b(PMC\\d{6,8})\\b", "NCT": "(?i)\\b(NCT\\d{8})\\b", "ChiCTR": "(?i)\\b(ChiCTR(?:-[A-Za-z0-9]+)?\\d{6,10})\\b", "ORCID": "(?i)\\b(\\d{4}-\\d{4}-\\d{4}-\\d{3}[\\dX])\\b"}
 _VALUE = {"DOI": "regexp_replace(x, '[.,;)>\\]]+$', '')", "PMCID": "upper(x)", "NCT": "upper(x)"}
 _FOUND = " UNION ALL ".join(f"SELECT doc_id, {i} AS rank, '{k}' AS type, unnest(l) AS x, generate_subscripts(l, 1) AS n FROM (SELECT doc_id, regexp_extract_all(t, '{p}', 1) AS l FROM ({IDS}))" for i, (k, p) in enumerate(_RE.items()))
@@ -186,13 +223,13 @@ _FOUND = " UNION ALL ".join(f"SELECT doc_id, {i} AS rank, '{k}' AS type, unnest(
 @query(f"""WITH v AS (SELECT doc_id, rank, type, n, CASE type WHEN 'DOI' THEN {_VALUE['DOI']} WHEN 'PMCID' THEN upper(x) WHEN 'NCT' THEN upper(x) ELSE x END AS value FROM ({_FOUND})), k AS (SELECT *, CASE type WHEN 'DOI' THEN lower(value) WHEN 'ChiCTR' THEN upper(value) ELSE value END AS key FROM v),
  f AS (SELECT doc_id, rank, type, key, min(n) AS n, arg_min(value, n) AS value FROM k GROUP BY ALL) SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY rank, n))::INTEGER AS position, type, value FROM f""")
 def m1_extract_identifiers(t: Tables) -> DataFrame:
-    return M.extract_identifiers(t.sql(IDS_WHOLE), "doc_id", "t")
+    return M.extract_identifiers(t.sql(IDS), "doc_id", "t")
 
 
 @query(f"""WITH l AS (SELECT doc_id, unnest(regexp_extract_all(t, '{_RE["PMID"]}', 1)) AS value FROM ({IDS})) SELECT doc_id, 1 AS position, 'PMID' AS type, value FROM l GROUP BY ALL""")
 def m2_identifier_flags(t: Tables) -> DataFrame:
     flags = t.spark.createDataFrame([("PMID", True), ("DOI", False)], "type string, enabled boolean")
-    return M.extract_identifiers(t.sql(IDS_WHOLE), "doc_id", "t", flags)
+    return M.extract_identifiers(t.sql(IDS), "doc_id", "t", flags)
 
 
 HEADS = """SELECT page_id, concat(url, CASE WHEN page_id % 5 = 4 THEN '/2024-03-12/' ELSE '' END) AS url, replace(replace(html, '</body>', concat(CASE WHEN page_id % 3 = 0 THEN '<div><p>发布时间：2024-02-03 10:20</p><span>作者：<b>李四</b></span></div>' ELSE '' END, '</body>')), '</head>', concat(CASE page_id % 4 WHEN 0 THEN '<meta property="og:title" content=" Og &amp; title "><meta name="author" content="Ann B">' WHEN 1 THEN '<meta content="2024-05-06T07:08:09" property="article:published_time"><meta property="og:site_name" content="Site">' WHEN 2 THEN '<meta name="twitter:title" content="">' ELSE '' END, '</head>')) AS html FROM {pages}"""

@@ -259,9 +259,9 @@ def e33_fold(t: Tables) -> DataFrame:
 
 
 @query("""SELECT doc_id, CASE WHEN s > 0 THEN '…' ELSE '' END || trim(regexp_replace(substring(text, s + 1, e - s), '\\s+', ' ', 'g')) || CASE WHEN e < length(text) THEN '…' ELSE '' END AS snippet
- FROM (SELECT doc_id, text, greatest(0, doc_id % 700 - 60) AS s, least(length(text), doc_id % 700 + 60) AS e FROM documents WHERE length(text) > 700)""")
+ FROM (SELECT doc_id, text, greatest(0, p - 60) AS s, least(length(text), p + 60) AS e FROM (SELECT doc_id, text, least(length(text), doc_id % 700) AS p FROM documents))""")
 def e34_snippet(t: Tables) -> DataFrame:
-    return t.documents.where(F.length("text") > 700).select("doc_id", X.snippet(F.col("text"), (F.col("doc_id") % 700).cast("int")).alias("snippet"))
+    return t.documents.select("doc_id", X.snippet(F.col("text"), F.least(F.length("text"), F.col("doc_id") % 700).cast("int")).alias("snippet"))
 
 
 ANSWERS = "SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN concat('<think>', substring(text, 1, 30), chr(10), '</think> ', text) WHEN 1 THEN concat('```markdown', chr(10), text, chr(10), '```') WHEN 2 THEN concat('```', chr(10), text, '```') ELSE substring(text, 1, 30) END AS answer FROM {conversations} WHERE role = 'assistant'"

@@ -3,20 +3,28 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidencelake.functions import text as X
+from evidencelake.operators.convert import convert
 from evidencelake.plans.ledger import LOG, VERSIONS
+from evidencelake.plans.pages import H13, typed_gates
 from evidencelake.plans.registry import Tables, query
 from evidencelake.plans.reports import TASKS
 from evidencelake.streaming import jobs as J
 
 
 def _work(t: Tables, name: str) -> str:
-    """A folder that all executors share."""
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.sparkContext.getConf().get("spark.checkpoint.dir") or t.spark.conf.get("spark.sql.warehouse.dir") + "/_streams"
+    """A folder that all executors share: below spark.checkpoint.dir, or below the warehouse where that is unset."""
+    base = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        base = t.spark.conf.get("spark.sql.warehouse.dir")
+        if base.split(":")[0] in (base, "file") and not t.spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base += "/_streams"
     return f"{base.rstrip('/')}/evidencelake/{name}-{uuid.uuid4().hex}"
 
 
@@ -27,36 +35,43 @@ def _stream(t: Tables, name: str) -> DataFrame:
     return s.withColumns({f.name: F.col(f.name).cast("timestamp") for f in batch.schema if f.dataType.typeName() == "timestamp_ntz"})
 
 
-def _rocksdb(t: Tables) -> None:
-    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", J.ROCKSDB)
+@contextmanager
+def _rocksdb(t: Tables) -> Iterator[None]:
+    """State in RocksDB for the streams that run inside; the session's own setting comes back after them."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = t.spark.conf.get(key, None)
+    t.spark.conf.set(key, J.ROCKSDB)
+    try:
+        yield
+    finally:
+        t.spark.conf.set(key, before) if before else t.spark.conf.unset(key)
 
 
-@query("SELECT doc_id AS asset_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS markdown, NULL::VARCHAR AS error_code, 'fp1' AS pipeline_fingerprint FROM documents")
+@query(f"SELECT page_id AS asset_id, markdown, error_code, 'fp1' AS pipeline_fingerprint FROM ({H13})")
 def r1_ingest_stream(t: Tables) -> DataFrame:
-    """Run twice: the second run finds nothing new."""
+    """Every page's event, converted. Run twice: the second run finds nothing new."""
     work = _work(t, "ingest")
-    outbox = _stream(t, "documents").select(F.sha2(F.col("doc_id").cast("string"), 256).alias("event_id"), F.lit("raw_asset.created").alias("event_type"), F.col("doc_id").alias("aggregate_id"))
-    assets = t.documents.select(F.col("doc_id").alias("asset_id"), "text")
-    convert = lambda a: a.select("asset_id", X.normalize_newlines(F.col("text")).alias("markdown"), F.lit(None).cast("string").alias("error_code"))
+    outbox = _stream(t, "pages").select(F.sha2(F.col("page_id").cast("string"), 256).alias("event_id"), F.lit("raw_asset.created").alias("event_type"), F.col("page_id").alias("aggregate_id"))
+    assets = typed_gates(t).withColumnRenamed("page_id", "asset_id")
+    pages = lambda a: convert(a.withColumnRenamed("asset_id", "page_id")).select(F.col("page_id").alias("asset_id"), "markdown", "error_code")
     for i in (1, 2):
-        J.ingest_stream(outbox, assets, convert, "fp1", f"{work}/evidence", f"{work}/checkpoint{i}").awaitTermination()
+        J.ingest_stream(outbox, assets, pages, "fp1", f"{work}/evidence", f"{work}/checkpoint{i}").awaitTermination()
     return t.spark.read.parquet(f"{work}/evidence")
 
 
 @query(VERSIONS)
 def r2_version_stream(t: Tables) -> DataFrame:
-    _rocksdb(t)
     captures = _stream(t, "documents").select(F.col("source").alias("resource_key"), F.col("doc_id").cast("string").alias("asset_id"), F.sha2("text", 256).alias("sha256"), (F.col("doc_id") * 60).alias("fetched_at"))
     work = _work(t, "versions")
-    return J.run_once(J.version_stream(captures), f"{work}/out", f"{work}/checkpoint")
+    return J.version_stream(captures, f"{work}/out", f"{work}/checkpoint")
 
 
 @query("SELECT DISTINCT user_id || ':' || event_type AS event_id FROM events")
 def r3_dedupe_stream(t: Tables) -> DataFrame:
-    _rocksdb(t)
     e = _stream(t, "events").select(F.concat_ws(":", "user_id", "event_type").alias("event_id"), "ts")
     work = _work(t, "dedupe")
-    return J.run_once(J.dedupe_stream(e, "event_id", "ts", "3650 days"), f"{work}/out", f"{work}/checkpoint").select("event_id")
+    with _rocksdb(t):
+        return J.run_once(J.dedupe_stream(e, "event_id", "ts", "3650 days"), f"{work}/out", f"{work}/checkpoint").select("event_id")
 
 
 @query("SELECT o_orderkey AS run_id, CASE WHEN o_orderstatus = 'P' AND o_orderdate <= TIMESTAMP '1998-01-01' - INTERVAL 30 DAY THEN 'pending' WHEN o_orderstatus = 'P' THEN 'running' WHEN o_orderstatus = 'F' THEN 'success' ELSE 'pending' END AS status FROM orders")
@@ -75,6 +90,15 @@ def r5_retries(t: Tables) -> DataFrame:
     return J.retries(a)
 
 
+@query("SELECT task_id, attempt_no, due_at FROM (SELECT event_id AS task_id, (event_id % 4 + 2)::BIGINT AS attempt_no, ts + to_seconds(least(pow(2, event_id % 4), 4)::INTEGER) AS due_at FROM events WHERE event_type IN ('click','purchase','error') AND event_id % 4 + 1 < 3) WHERE epoch_ms(due_at) <= (SELECT max(epoch_ms(ts)) FROM events)")
+def r5_retries_stream(t: Tables) -> DataFrame:
+    """Retries by timers: those whose time the event clock has reached at the stream's end."""
+    a = _stream(t, "events").select(F.col("event_id").alias("task_id"), (F.col("event_id") % 4 + 1).alias("attempt_no"), F.col("ts").alias("attempt_at"), F.col("event_type").isin("click", "purchase", "error").alias("retryable"))
+    work = _work(t, "retries")
+    with _rocksdb(t):
+        return J.run_once(J.retries_stream(a), f"{work}/out", f"{work}/checkpoint").withColumn("due_at", F.col("due_at").cast("timestamp_ntz"))
+
+
 @query(f"SELECT run_id, arg_max(state, seq) AS state, max(poll_count) AS poll_count FROM ({LOG}) GROUP BY run_id")
 def r6_job_state_stream(t: Tables) -> DataFrame:
     e = _stream(t, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("state"), (F.col("event_id") % 17).alias("poll_count"))

@@ -79,17 +79,22 @@ def harvest_links(lines: DataFrame) -> DataFrame:
     return d.select("doc", "line_no", "section", "url", F.concat(F.lit("【"), "section", F.lit("】"), label).alias("display_name"))
 
 
-def load_profiles(spark: SparkSession, path: str | None, defaults: dict[str, dict]) -> dict[str, DataFrame]:
-    """Small dimension tables from a profile file laid over defaults: platforms(domain, platform), extractors(type, enabled), markers(domain, rank, marker).
+def load_profiles(spark: SparkSession, path: str | None, defaults: dict[str, dict], lines: bool = False) -> dict[str, DataFrame]:
+    """Dimension tables from a profile file laid over defaults: platforms(domain, platform), extractors(type, enabled), markers(domain, rank, marker).
 
-    Unknown keys are ignored; a file that isn't valid leaves the defaults.
+    Unknown keys are ignored; a file that isn't valid leaves the defaults. lines: the file has a profile object on each line
+    (keys are met once), which a profile of millions of sites needs; nothing of it comes to the driver.
     """
-    rows = spark.read.schema(PROFILE_SCHEMA + ", _corrupt_record string").option("multiLine", True).json(path).limit(1).collect() if path else []
-    got = rows[0].asDict(recursive=True) if rows and not rows[0]["_corrupt_record"] else {}
-    merged = {k: {**defaults.get(k, {}), **(got.get(k) or {})} for k in ("platform_domains", "identifier_extractors", "truncation_markers")}
-    markers = [(d.lower(), i, m) for d, ms in merged["truncation_markers"].items() for i, m in enumerate(ms or [])]
+    schema = PROFILE_SCHEMA + ", _corrupt_record string"
+    got = spark.read.schema(schema).option("multiLine", not lines).json(path).where("_corrupt_record is null") if path else spark.createDataFrame([], schema)
+
+    def laid(key: str, kind: str) -> DataFrame:
+        own = got.select(F.explode(key).alias("key", "value"))
+        base = spark.createDataFrame(list(defaults.get(key, {}).items()), f"key string, value {kind}")
+        return base.join(own.select("key").distinct(), "key", "left_anti").unionByName(own)
+
     return {
-        "platforms": spark.createDataFrame([(d.lower(), p) for d, p in merged["platform_domains"].items()], "domain string, platform string"),
-        "extractors": spark.createDataFrame(list(merged["identifier_extractors"].items()), "type string, enabled boolean"),
-        "markers": spark.createDataFrame(markers, "domain string, rank int, marker string"),
+        "platforms": laid("platform_domains", "string").select(F.lower("key").alias("domain"), F.col("value").alias("platform")),
+        "extractors": laid("identifier_extractors", "boolean").select(F.col("key").alias("type"), F.col("value").alias("enabled")),
+        "markers": laid("truncation_markers", "array<string>").select(F.lower("key").alias("domain"), F.posexplode("value").alias("rank", "marker")),
     }

@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from evidencelake.functions.identity import backoff_seconds
-from evidencelake.operators.ledger import upsert_latest
+from evidencelake.operators.ledger import assign_versions, latest_assets, upsert_latest
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+VERSION_SCHEMA = "resource_key string, asset_id string, sha256 string, fetched_at long, version_no int, previous_asset_id string, changed_from_previous boolean"
 
 
 def run_once(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
@@ -46,26 +47,22 @@ def ingest_stream(outbox: DataFrame, assets: DataFrame, converter: Callable[[Dat
     return outbox.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-class _Versions(StatefulProcessor):
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("latest", "version int, asset_id string, sha256 string")
+def version_stream(captures: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Next version per resource as captures (resource_key, asset_id, sha256, fetched_at) arrive. A late one takes the next number.
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803, ARG002
-        frame = pd.concat(list(rows)).sort_values(["fetched_at", "asset_id"])
-        version, asset, sha = self.state.get() if self.state.exists() else (0, None, None)
-        out = []
-        for r in frame.itertuples(index=False):
-            version += 1
-            out.append((key[0], r.asset_id, r.sha256, r.fetched_at, version, asset, None if sha is None else r.sha256 != sha))
-            asset, sha = r.asset_id, r.sha256
-        self.state.update((version, asset, sha))
-        yield pd.DataFrame(out, columns=["resource_key", "asset_id", "sha256", "fetched_at", "version_no", "previous_asset_id", "changed_from_previous"])
+    Each batch follows on the latest row of its resources in the batches before it and is written to a folder of its own,
+    which a replay overwrites. No resource's rows meet in Python, however many there are.
+    """
 
+    def batch(rows: DataFrame, number: int) -> None:
+        latest = None
+        if number > 0:
+            known = rows.sparkSession.read.schema(VERSION_SCHEMA + ", batch long").option("basePath", path).parquet(path).where(F.col("batch") < number)
+            latest = latest_assets(known.drop("batch").join(rows.select("resource_key").distinct(), "resource_key", "left_semi"))
+        assign_versions(rows, latest).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-def version_stream(captures: DataFrame) -> DataFrame:
-    """Next version per resource as captures (resource_key, asset_id, sha256, fetched_at) arrive. A late one takes the next number."""
-    schema = "resource_key string, asset_id string, sha256 string, fetched_at long, version_no int, previous_asset_id string, changed_from_previous boolean"
-    return captures.groupBy("resource_key").transformWithStateInPandas(_Versions(), schema, "append", "none")
+    captures.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return captures.sparkSession.read.schema(VERSION_SCHEMA).option("recursiveFileLookup", "true").parquet(path)
 
 
 def dedupe_stream(events: DataFrame, key: str, time: str, delay: str) -> DataFrame:
@@ -110,6 +107,46 @@ def retries(attempts: DataFrame, most: int = 3) -> DataFrame:
     return attempts.where(F.col("retryable") & (F.col("attempt_no") < most)).select("task_id", (F.col("attempt_no") + 1).alias("attempt_no"), due.alias("due_at"))
 
 
+class _Due(StatefulProcessor):
+    """One timer per task, for its newest attempt."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.state = handle, handle.getValueState("attempt", "attempt_no long, due_us long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803, ARG002
+        newest = self.state.get()[0] if self.state.exists() else -1
+        last = None
+        for frame in rows:
+            top = frame.loc[frame["attempt_no"].idxmax()]
+            if top["attempt_no"] > newest:
+                newest, last = top["attempt_no"], top
+        if last is not None:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            due = None if pd.isna(last["due_us"]) else int(last["due_us"])
+            self.state.update((int(newest), due))
+            if due is not None:
+                self.handle.registerTimer(due // 1000)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803, ARG002
+        attempt_no, due_us = self.state.get()
+        yield pd.DataFrame({"task_id": [key[0]], "attempt_no": [attempt_no + 1], "due_us": [due_us]})
+
+
+def retries_stream(attempts: DataFrame, most: int = 3, delay: str = "0 seconds") -> DataFrame:
+    """(task_id, attempt_no, due_at) as the event clock passes the time at which a failure is due again.
+
+    A newer attempt of the task replaces the timer of an older one; one that is final (not retryable, or the last) removes it.
+    attempts: task_id, attempt_no, attempt_at, retryable.
+    """
+    again = F.col("retryable") & (F.col("attempt_no") < most)
+    due = F.when(again, F.col("attempt_at") + F.make_dt_interval(secs=backoff_seconds(F.col("attempt_no"))))
+    a = attempts.withWatermark("attempt_at", delay).select(F.col("task_id").cast("long").alias("task_id"), F.col("attempt_no").cast("long").alias("attempt_no"), "attempt_at", F.unix_micros(due).alias("due_us"))
+    out = a.groupBy("task_id").transformWithStateInPandas(_Due(), "task_id long, attempt_no long, due_us long", "append", "eventTime")
+    return out.select("task_id", "attempt_no", F.timestamp_micros("due_us").alias("due_at"))
+
+
 def job_states(updates: DataFrame) -> DataFrame:
     """Folded state per run: last state by seq, the highest poll_count."""
     return updates.groupBy("run_id").agg(F.max_by("state", "seq").alias("state"), F.max("poll_count").alias("poll_count"))
