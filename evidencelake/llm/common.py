@@ -2,47 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidencelake.tables import drop_materialized, materialize, shared_dir  # noqa: F401  the operators take them from here
+
 #: Separators of words in every contract of this subpackage.
 SEPARATORS = "[\\x20\\x09-\\x0D]+"
 SEPARATOR_CHARS = " \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one below the warehouse where that is unset.
-
-    On a cluster a warehouse on the driver's own disk won't do: each executor would write to a disk of its own.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if configured:
-        return configured.rstrip("/")
-    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-    if warehouse.split(":")[0] in (warehouse, "file") and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return warehouse + "/_intermediate"
-
-
-def materialize(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends there and no executor's loss undoes it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/evidencelake/{name}-{uuid.uuid4().hex}"
-    (df.coalesce(partitions) if partitions else df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_materialized(df: DataFrame) -> None:
-    """Remove the files of a table made by materialize(); call it only when nothing reads the table any more."""
-    spark = df.sparkSession
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        if "/evidencelake/" in f:
-            path = spark._jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def words(text: Column) -> Column:
     """Words of the whole text; an empty array for null and for blank texts."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SEPARATORS), lambda w: w != "")

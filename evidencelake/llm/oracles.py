@@ -65,4 +65,35 @@ u AS (SELECT host AS site, CASE WHEN flip THEN tail ELSE 1 - tail END AS chance
 SELECT page_id, host, path, rule, coalesce(v, CASE WHEN chance >= {SURE} THEN 'block' ELSE 'allow' END) AS verdict FROM js LEFT JOIN u USING (site)
 """
 
-ORACLES = {"op1_minhash_near_dedup": OP1, "op4_html_extraction": OP4, "op6_url_filter": OP6}
+
+def _crc32(text: str) -> str:
+    """Unsigned CRC-32 of ASCII characters, bit by bit."""
+    characters = f"list_transform(range(1, length({text}) + 1), lambda i: ascii(substring({text}, i, 1))::BIGINT)"
+    byte = "list_reduce([0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda a, z: xor(a >> 1, 3988292384 * (a & 1)), xor(c, x))"
+    return f"xor(list_reduce({characters}, lambda c, x: {byte}, 4294967295::BIGINT), 4294967295)"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen(({c})::VARCHAR) || ':' || ({c})::VARCHAR, '-')" for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+#: Every level of every tree, and every leaf's walk to the root, by recursion.
+OP12 = f"""
+WITH RECURSIVE k AS (SELECT *, doc_id::VARCHAR AS t FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, h) - 1 AS idx FROM
+  (SELECT doc_id, lang, {_leaf("n_chars")} AS h, CASE WHEN {_crc32("t")} % 7 = 0 THEN {_leaf("n_chars + 1")} ELSE {_leaf("n_chars")} END AS r FROM k)),
+t AS (SELECT lang, 0 AS lvl, idx, h, count(*) OVER (PARTITION BY lang) AS n FROM l
+  UNION ALL SELECT lang, lvl + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx)), (n + 1) // 2 FROM t WHERE n > 1 GROUP BY lang, lvl, idx // 2, n),
+s AS (SELECT lang, lvl, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS idx FROM t WHERE n = 1),
+u AS (SELECT 0 AS lvl, idx, h, count(*) OVER () AS n FROM s
+  UNION ALL SELECT lvl + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx)), (n + 1) // 2 FROM u WHERE n > 1 GROUP BY lvl, idx // 2, n),
+w AS (SELECT doc_id, lang, h AS leaf, 0 AS lvl, idx, r AS cur, '' AS proof FROM l
+  UNION ALL SELECT w.doc_id, w.lang, leaf, w.lvl + 1, w.idx // 2, sha256(CASE WHEN t.h IS NULL THEN cur WHEN w.idx % 2 = 0 THEN cur || t.h ELSE t.h || cur END), proof || coalesce(t.h, '')
+  FROM w JOIN s ON s.lang IS NOT DISTINCT FROM w.lang AND w.lvl < s.lvl LEFT JOIN t ON t.lang IS NOT DISTINCT FROM w.lang AND t.lvl = w.lvl AND t.idx = xor(w.idx, 1)),
+v AS (SELECT w.doc_id, leaf, s.h AS subroot, 0 AS lvl, s.idx, cur, proof FROM w JOIN s ON s.lang IS NOT DISTINCT FROM w.lang AND s.lvl = w.lvl
+  UNION ALL SELECT doc_id, leaf, subroot, v.lvl + 1, v.idx // 2, sha256(CASE WHEN u.h IS NULL THEN cur WHEN v.idx % 2 = 0 THEN cur || u.h ELSE u.h || cur END), proof || coalesce(u.h, '')
+  FROM v LEFT JOIN u ON u.lvl = v.lvl AND u.idx = xor(v.idx, 1) WHERE v.lvl < (SELECT max(lvl) FROM u))
+SELECT doc_id, leaf, subroot, u.h AS root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = u.h AS verified FROM v JOIN u ON u.n = 1 AND v.lvl = u.lvl
+"""
+
+ORACLES = {"op1_minhash_near_dedup": OP1, "op4_html_extraction": OP4, "op6_url_filter": OP6, "op12_merkle_manifest": OP12}
