@@ -77,6 +77,22 @@ def _leaf(n_chars: str) -> str:
     return "sha256(" + " || ".join(f"coalesce(strlen(({c})::VARCHAR) || ':' || ({c})::VARCHAR, '-')" for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
 
 
+def _words(text: str) -> str:
+    return f"regexp_extract_all(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
+
+
+#: Every run of words of every document that is as long as some window, against all windows.
+OP11 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_words("text")} AS w FROM documents),
+b AS (SELECT item_id::VARCHAR AS item_id, {_words("text")} AS w FROM benchmark),
+v AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i + 1:i + 10], ' ') AS win FROM (SELECT *, unnest(range(0, greatest(len(w) - 10, 0) + 1)) AS i FROM b WHERE len(w) > 0)),
+x AS (SELECT r, n, i, array_to_string(w[i + 1:i + n], ' ') AS win FROM (SELECT r, w, n, unnest(range(0, len(w) - n + 1)) AS i FROM d, (SELECT DISTINCT n FROM v))),
+f AS (SELECT x.*, item_id FROM x JOIN v USING (n, win)),
+h AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM f) GROUP BY r),
+g AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids FROM f GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN h USING (r) LEFT JOIN g USING (r)
+"""
+
 #: Every level of every tree, and every leaf's walk to the root, by recursion.
 OP12 = f"""
 WITH RECURSIVE k AS (SELECT *, doc_id::VARCHAR AS t FROM documents),
@@ -96,4 +112,23 @@ v AS (SELECT w.doc_id, leaf, s.h AS subroot, 0 AS lvl, s.idx, cur, proof FROM w
 SELECT doc_id, leaf, subroot, u.h AS root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = u.h AS verified FROM v JOIN u ON u.n = 1 AND v.lvl = u.lvl
 """
 
-ORACLES = {"op1_minhash_near_dedup": OP1, "op4_html_extraction": OP4, "op6_url_filter": OP6, "op12_merkle_manifest": OP12}
+#: All prefixes as lists of turns, each met with all that begin with it.
+OP13 = f"""
+WITH c AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS place
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+k AS (SELECT conv_id, {_crc32("t")} % 4 AS h, conv_id - conv_id % 20 AS base FROM (SELECT DISTINCT conv_id, conv_id::VARCHAR AS t FROM c)),
+o AS (SELECT k.conv_id, 0 AS part, b.place, b.role, b.text FROM k JOIN c b ON b.conv_id = k.base AND b.place <= k.h
+  UNION ALL SELECT k.conv_id, 1, c.place, c.role, c.text FROM k JOIN c USING (conv_id) WHERE c.place > k.h),
+r AS (SELECT k.conv_id, coalesce(list({{'r': o.role, 't': o.text}} ORDER BY o.part, o.place) FILTER (o.conv_id IS NOT NULL), []) AS s FROM k LEFT JOIN o USING (conv_id) GROUP BY k.conv_id),
+e AS (SELECT s AS key, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends FROM r GROUP BY s),
+p AS (SELECT conv_id, d AS depth, s[1:d] AS key FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM r)),
+n AS (SELECT key, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+  CASE WHEN depth > 0 THEN len(list_filter(regexp_split_to_array(key[depth].t, '[\x20\x09-\x0D]+'), lambda x: x <> '')) ELSE 0 END AS w FROM p GROUP BY key, depth),
+h AS (SELECT key[1:depth - 1] AS key, count(*) AS children FROM n WHERE depth > 0 GROUP BY ALL),
+m AS (SELECT n.*, coalesce(children, 0) AS children FROM n LEFT JOIN h USING (key)),
+b AS (SELECT key[1:a] AS key, count(*) FILTER (children = 0) AS leaves, sum((n_convs - 1) * w)::BIGINT AS saved FROM (SELECT *, unnest(range(0, depth + 1)) AS a FROM m) GROUP BY key[1:a])
+SELECT m.conv_id, m.depth, q.conv_id AS parent_conv_id, m.n_convs, m.children AS n_children, b.leaves AS n_leaves, b.saved AS saved_tokens, coalesce(ends, sha256('')) AS ends_sha256
+FROM m JOIN b USING (key) LEFT JOIN e USING (key) LEFT JOIN m q ON m.depth > 0 AND q.key = m.key[1:m.depth - 1]
+"""
+
+ORACLES = {"op1_minhash_near_dedup": OP1, "op4_html_extraction": OP4, "op6_url_filter": OP6, "op11_decontamination": OP11, "op12_merkle_manifest": OP12, "op13_prefix_trie": OP13}

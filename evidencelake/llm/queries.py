@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidencelake.llm import html_text, merkle, minhash, mixing, neighbours, quality_model, quality_rules, sentencepiece, sharding, toxicity, url_filter
+from evidencelake.llm import decontaminate, html_text, merkle, minhash, mixing, neighbours, prefix_trie, quality_model, quality_rules, sentencepiece, sharding, toxicity, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,13 +56,22 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_read(spark, sf_dir, "documents"))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.judge(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     changed = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
     return merkle.verify(_read(spark, sf_dir, "documents"), F.when(changed, F.col("n_chars") + 1).otherwise(F.col("n_chars")))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(_read(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_source_mixing, op3_quality_classifier, op4_html_extraction, op5_nearest_neighbours, op6_url_filter, op7_toxicity, op8_sentencepiece, op9_quality_rules, op10_sharding, op12_merkle_manifest)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_source_mixing, op3_quality_classifier, op4_html_extraction, op5_nearest_neighbours, op6_url_filter, op7_toxicity, op8_sentencepiece, op9_quality_rules, op10_sharding, op11_decontamination, op12_merkle_manifest, op13_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
