@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidencelake.operators import gram_index as G
 from evidencelake.operators import search as S
 from evidencelake.plans.registry import Tables, query
+from evidencelake.tables import new_path
 
 EVIDENCE = "SELECT concat('ev', CAST(doc_id AS STRING)) AS evidence_id, doc_id AS created_at, CASE WHEN doc_id % 3 = 0 THEN concat('# Title ', CAST(doc_id AS STRING), chr(10), text) ELSE text END AS markdown, CAST(NULL AS STRING) AS meta_title, CASE WHEN doc_id % 7 = 0 THEN 'partial' ELSE 'success' END AS status FROM {documents}"
 TAGS = "SELECT concat('ev', CAST(l.doc_id AS STRING)) AS evidence_id, 'quality' AS tag FROM {labels} l WHERE quality = 1 UNION ALL SELECT concat('ev', CAST(l.doc_id AS STRING)), 'toxic' FROM {labels} l WHERE toxic = 1 UNION ALL SELECT concat('ev', CAST(l.doc_id AS STRING)), d.lang FROM {labels} l JOIN {documents} d ON l.doc_id = d.doc_id"
@@ -27,6 +29,27 @@ def t1_search(t: Tables) -> DataFrame:
     return S.search(t.sql(EVIDENCE), "The ING")
 
 
+@query(f"SELECT evidence_id, {_TITLE} AS title, {_snip(chr(39) + 'the' + chr(39))} AS snippet, created_at FROM ({_FOLDED}) WHERE contains(f, 'the') AND contains(f, 'ing') ORDER BY created_at DESC LIMIT 30")
+def t1_search_indexed(t: Tables) -> DataFrame:
+    """T1 by the n-gram index, made of two batches."""
+    root, e = new_path(t.spark, "gram-index"), t.sql(EVIDENCE)
+    for batch in (0, 1):
+        G.append(e.where(F.col("created_at") % 2 == batch), root, batch)
+    return G.search(t.spark, root, "The ING")
+
+
+_EVERY = "SELECT DISTINCT lower(substring(text, 1 + doc_id % 40, 5 + doc_id % 3)) AS a, lower(substring(text, 61, 3)) AS b, doc_id FROM {documents}"
+
+
+@query(f"""WITH q AS (SELECT doc_id AS query_id, list_distinct(list_filter(regexp_split_to_array(replace(a || ' ' || b, 'ß', 'ss'), '\\s+'), lambda x: x <> '')) AS asked FROM ({_EVERY})),
+ h AS (SELECT query_id, evidence_id, created_at FROM q, ({_FOLDED}) e WHERE len(asked) > 0 AND len(list_filter(asked, lambda x: NOT contains(e.f, x))) = 0)
+ SELECT query_id, evidence_id, created_at, (row_number() OVER (PARTITION BY query_id ORDER BY created_at DESC))::INTEGER AS rank FROM h QUALIFY rank <= 5""")
+def t2_saved_searches(t: Tables) -> DataFrame:
+    """A saved search for every document, of pieces of its text, over all documents."""
+    asked = t.sql(_EVERY).select(F.col("doc_id").alias("query_id"), F.concat_ws(" ", "a", "b").alias("query"))
+    return S.saved_searches(t.sql(EVIDENCE), asked, 5).select("query_id", "evidence_id", "created_at", "rank")
+
+
 _Q = {1: ["the", "ing"], 2: ["der", "sch"], 3: ["licensed", "apache"], 4: ["strasse"]}
 
 
