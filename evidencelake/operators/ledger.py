@@ -40,26 +40,47 @@ def latest_assets(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("resource_key").agg(F.max_by(F.struct(*rest), F.struct("version_no", "asset_id")).alias("_r")).select("resource_key", "_r.*").select(ledger.columns)
 
 
-def assign_versions(new: DataFrame, latest: DataFrame | None = None) -> DataFrame:
+def _pieces(rows: DataFrame, time: str, rows_a_piece: int) -> Column:
+    """The piece of time that a row lies in: pieces of about as many rows each, by approximate quantiles of all rows."""
+    n = rows.agg(F.count("*")).first()[0]
+    pieces = min(4096, -(-n // rows_a_piece))
+    if pieces < 2:
+        return F.lit(0)
+    bounds = rows.agg(F.percentile_approx(time, [i / pieces for i in range(1, pieces)], 10 * pieces)).first()[0] or []  # 4,095 at most
+    return F.array_size(F.filter(F.array(*(F.lit(b) for b in sorted(set(bounds)))), lambda b: b < F.col(time))) if bounds else F.lit(0)
+
+
+def assign_versions(new: DataFrame, latest: DataFrame | None = None, rows_a_piece: int = 1_000_000) -> DataFrame:
     """new with version_no, previous_asset_id and changed_from_previous, following on the latest known version of each resource.
 
     new: resource_key, asset_id, sha256, fetched_at. latest: resource_key, asset_id, sha256, version_no. An unchanged
     recapture is a version too; changed_from_previous is null on version 1.
+
+    A segmented scan: rows are ranked within (resource, piece of time), and a row per resource and piece, its count and its last
+    capture, is carried to the next piece. So a resource with a third of all rows is as many tasks as it has pieces.
     """
-    w = Window.partitionBy("resource_key").orderBy("fetched_at", "asset_id")
-    n = new
+    n = new.withColumn("_piece", _pieces(new, "fetched_at", rows_a_piece))
+    w = Window.partitionBy("resource_key", "_piece").orderBy("fetched_at", "asset_id")
+    over = Window.partitionBy("resource_key").orderBy("_piece")
+    ends = n.groupBy("resource_key", "_piece").agg(F.count("*").alias("_n"), F.max_by(F.struct("asset_id", "sha256"), F.struct("fetched_at", "asset_id")).alias("_last"))
+    carried = ends.select(F.col("resource_key").alias("_key"), F.col("_piece").alias("_in"), (F.sum("_n").over(over) - F.col("_n")).alias("_before"), F.lag("_last").over(over).alias("_carried"))
+    carried = carried.where("_before > 0")
+    ranked = n.withColumns({"version_no": F.row_number().over(w), "_pa": F.lag("asset_id").over(w), "_ps": F.lag("sha256").over(w), "_at": F.lag(F.lit(1)).over(w)})
+    out = ranked.join(carried, ranked["resource_key"].eqNullSafe(carried["_key"]) & (ranked["_piece"] == carried["_in"]), "left")
     if latest is not None:
-        known = latest.select("resource_key", F.col("asset_id").alias("_a"), F.col("sha256").alias("_s"), F.col("version_no").alias("_v"))
-        n = new.join(known, "resource_key", "left")
+        known = latest.select(F.col("resource_key").alias("_known"), F.col("asset_id").alias("_a"), F.col("sha256").alias("_s"), F.col("version_no").alias("_v"))
+        out = out.join(known, F.col("resource_key").eqNullSafe(F.col("_known")), "left")
     else:
-        n = new.withColumns({"_a": F.lit(None).cast("string"), "_s": F.lit(None).cast("string"), "_v": F.lit(None).cast("int")})
-    previous_sha = F.coalesce(F.lag("sha256").over(w), F.col("_s"))
-    out = n.withColumns({
-        "version_no": (F.row_number().over(w) + F.coalesce("_v", F.lit(0))).cast("int"),
-        "previous_asset_id": F.coalesce(F.lag("asset_id").over(w), F.col("_a").cast(new.schema["asset_id"].dataType)),
-        "changed_from_previous": F.col("sha256") != previous_sha,
-    })
-    return out.drop("_a", "_s", "_v")
+        out = out.withColumns({"_known": F.lit(None), "_a": F.lit(None).cast("string"), "_s": F.lit(None).cast("string"), "_v": F.lit(None).cast("int")})
+    # The row before: in the piece, else the last of the pieces before, else the latest known.
+    within, carried_on = F.col("_at").isNotNull(), F.col("_before").isNotNull()
+    before = lambda here, there, known: F.when(within, F.col(here)).when(carried_on, F.col(there)).otherwise(F.col(known))
+    return out.select(
+        *(ranked[c] for c in new.columns),
+        (F.col("version_no") + F.coalesce("_before", F.lit(0)) + F.coalesce("_v", F.lit(0))).cast("int").alias("version_no"),
+        before("_pa", "_carried.asset_id", "_a").cast(new.schema["asset_id"].dataType).alias("previous_asset_id"),
+        (F.col("sha256") != before("_ps", "_carried.sha256", "_s")).alias("changed_from_previous"),
+    )
 
 
 def version_history(ledger: DataFrame, keys: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidencelake.operators.convert import convert
-from evidencelake.plans.ledger import LOG, VERSIONS
+from evidencelake.plans.ledger import VERSIONS
 from evidencelake.plans.pages import H13, typed_gates
 from evidencelake.plans.registry import Tables, query
 from evidencelake.plans.reports import TASKS
@@ -35,6 +35,16 @@ def _stream(t: Tables, name: str) -> DataFrame:
     return s.withColumns({f.name: F.col(f.name).cast("timestamp") for f in batch.schema if f.dataType.typeName() == "timestamp_ntz"})
 
 
+def _in_batches(t: Tables, rows: DataFrame, name: str, time: str, batches: int = 3) -> DataFrame:
+    """A table as a stream of several batches, in order of time."""
+    folder = _work(t, name)
+    bounds = rows.agg(F.percentile_approx(time, [i / batches for i in range(1, batches)])).first()[0] or []
+    piece = F.array_size(F.filter(F.array(*(F.lit(b) for b in bounds)), lambda b: b < F.col(time)))
+    for i in range(batches):
+        rows.where(piece == i).coalesce(1).write.parquet(f"{folder}/b{i}")
+    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(folder)
+
+
 @contextmanager
 def _rocksdb(t: Tables) -> Iterator[None]:
     """State in RocksDB for the streams that run inside; the session's own setting comes back after them."""
@@ -61,9 +71,10 @@ def r1_ingest_stream(t: Tables) -> DataFrame:
 
 @query(VERSIONS)
 def r2_version_stream(t: Tables) -> DataFrame:
-    captures = _stream(t, "documents").select(F.col("source").alias("resource_key"), F.col("doc_id").cast("string").alias("asset_id"), F.sha2("text", 256).alias("sha256"), (F.col("doc_id") * 60).alias("fetched_at"))
+    """Three batches in order of time, each following on the latest rows of its resources."""
+    captures = t.documents.select(F.col("source").alias("resource_key"), F.col("doc_id").cast("string").alias("asset_id"), F.sha2("text", 256).alias("sha256"), (F.col("doc_id") * 60).alias("fetched_at"))
     work = _work(t, "versions")
-    return J.version_stream(captures, f"{work}/out", f"{work}/checkpoint")
+    return J.version_stream(_in_batches(t, captures, "captures", "fetched_at"), f"{work}/out", f"{work}/checkpoint")
 
 
 @query("SELECT DISTINCT user_id || ':' || event_type AS event_id FROM events")
@@ -99,16 +110,26 @@ def r5_retries_stream(t: Tables) -> DataFrame:
         return J.run_once(J.retries_stream(a), f"{work}/out", f"{work}/checkpoint").withColumn("due_at", F.col("due_at").cast("timestamp_ntz"))
 
 
-@query(f"SELECT run_id, arg_max(state, seq) AS state, max(poll_count) AS poll_count FROM ({LOG}) GROUP BY run_id")
+_STATE = "CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' WHEN 'view' THEN 'running' ELSE 'pending' END"
+
+
+@query(f"""WITH e AS (SELECT user_id AS run_id, event_id AS seq, {_STATE} AS state, event_id % 17 AS poll_count FROM events),
+ o AS (SELECT *, coalesce(max(seq) FILTER (state IN ('done', 'failed')) OVER (PARTITION BY run_id), -1) AS ended FROM e)
+ SELECT run_id, arg_max(state, seq) AS state, max(poll_count) AS poll_count FROM o WHERE seq > ended GROUP BY run_id""")
 def r6_job_state_stream(t: Tables) -> DataFrame:
-    e = _stream(t, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("state"), (F.col("event_id") % 17).alias("poll_count"))
+    """Jobs to resume: folds since a job last ended; those that are over are left out."""
+    e = t.events.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), F.expr(_STATE).alias("state"), (F.col("event_id") % 17).alias("poll_count"), F.col("ts").cast("timestamp").alias("updated_at"))
     work = _work(t, "states")
-    return J.run_updates(J.job_states(e), "run_id", f"{work}/out", f"{work}/checkpoint")
+    with _rocksdb(t):
+        return J.run_updates(J.job_states(_in_batches(t, e, "updates", "updated_at")), "run_id", f"{work}/out", f"{work}/checkpoint").where("not ended").select("run_id", "state", "poll_count")
 
 
-@query(f"SELECT status, count(*) AS n FROM ({TASKS}) GROUP BY status")
+@query(f"SELECT status, count(*) AS n FROM (SELECT user_id, arg_max(status, task_id) AS status FROM (SELECT t.*, user_id FROM ({TASKS}) t JOIN events ON event_id = task_id) GROUP BY user_id) GROUP BY status")
 def r7_status_counts_stream(t: Tables) -> DataFrame:
+    """Tasks by their present status, over batches in which tasks change it."""
     kind = F.col("event_type")
-    e = _stream(t, "events").select(F.when(kind == "view", "success").when(kind == "click", "failed").when(kind == "signup", "blocked").when(kind == "purchase", "partial").otherwise("pending").alias("status"))
+    status = F.when(kind == "view", "success").when(kind == "click", "failed").when(kind == "signup", "blocked").when(kind == "purchase", "partial").otherwise("pending")
+    e = t.events.select(F.col("user_id").alias("task_id"), F.col("event_id").alias("seq"), status.alias("status"), F.col("ts").cast("timestamp").alias("ts"))
     work = _work(t, "counts")
-    return J.run_updates(J.status_counts(e), "status", f"{work}/out", f"{work}/checkpoint")
+    with _rocksdb(t):
+        return J.run_status_counts(J.status_deltas(_in_batches(t, e, "changes", "ts")), f"{work}/out", f"{work}/checkpoint")

@@ -9,12 +9,13 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from evidencelake.functions.identity import backoff_seconds
 from evidencelake.operators.ledger import assign_versions, latest_assets, upsert_latest
+from evidencelake.tables import delete_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 VERSION_SCHEMA = "resource_key string, asset_id string, sha256 string, fetched_at long, version_no int, previous_asset_id string, changed_from_previous boolean"
@@ -47,22 +48,48 @@ def ingest_stream(outbox: DataFrame, assets: DataFrame, converter: Callable[[Dat
     return outbox.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def version_stream(captures: DataFrame, path: str, checkpoint: str) -> DataFrame:
+def _batches_of(spark: SparkSession, root: str) -> dict[int, list[int]]:
+    """The batches that each bucket of a bucketed table was written in, from the names of its folders."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/bucket=*/batch=*")
+    found: dict[int, list[int]] = {}
+    for s in path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []:
+        bucket, batch = (int(x.split("=")[1]) for x in str(s.getPath().toString()).split("/")[-2:])
+        found.setdefault(bucket, []).append(batch)
+    return found
+
+
+def version_stream(captures: DataFrame, path: str, checkpoint: str, buckets: int = 256) -> DataFrame:
     """Next version per resource as captures (resource_key, asset_id, sha256, fetched_at) arrive. A late one takes the next number.
 
-    Each batch follows on the latest row of its resources in the batches before it and is written to a folder of its own,
-    which a replay overwrites. No resource's rows meet in Python, however many there are.
+    The latest row of every resource is a table of hash buckets beside the output. A batch reads the buckets of its resources as they
+    were before it, versions its rows (in pieces of time, so that no resource is one task), and writes those buckets anew: what it
+    reads grows with the resources it touches, not with the history. Output and buckets are in folders of the batch's number, which a
+    replay overwrites; of each bucket the state before this batch is kept for that, older ones are removed.
     """
+    spark = captures.sparkSession
+    root, bucket = f"{path}/latest", F.pmod(F.xxhash64("resource_key"), F.lit(buckets)).cast("int")
+    columns = ["resource_key", "asset_id", "sha256", "version_no"]
 
     def batch(rows: DataFrame, number: int) -> None:
-        latest = None
-        if number > 0:
-            known = rows.sparkSession.read.schema(VERSION_SCHEMA + ", batch long").option("basePath", path).parquet(path).where(F.col("batch") < number)
-            latest = latest_assets(known.drop("batch").join(rows.select("resource_key").distinct(), "resource_key", "left_semi"))
-        assign_versions(rows, latest).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        own = rows.sparkSession
+        touched = {r[0] for r in rows.select(bucket).distinct().collect()}  # as many as there are buckets, at most
+        if not touched:
+            return
+        before = {b: max((x for x in seen if x < number), default=None) for b, seen in _batches_of(own, root).items()}
+        paths = [f"{root}/bucket={b}/batch={n}" for b, n in before.items() if b in touched and n is not None]
+        schema = ", ".join(f"{c} {'int' if c == 'version_no' else 'string'}" for c in columns)
+        latest = own.read.schema(schema).parquet(*paths) if paths else own.createDataFrame([], schema)
+        assign_versions(rows, latest).write.mode("overwrite").parquet(f"{path}/versions/batch={number}")
+        now = own.read.schema(VERSION_SCHEMA).parquet(f"{path}/versions/batch={number}").select(columns)
+        merged = latest_assets(latest.unionByName(now)).withColumns({"bucket": bucket, "batch": F.lit(number)})
+        merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(root)
+        for b, seen in _batches_of(own, root).items():
+            for n in seen:
+                if b in touched and n < number and n != before.get(b):
+                    delete_path(own, f"{root}/bucket={b}/batch={n}")
 
     captures.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return captures.sparkSession.read.schema(VERSION_SCHEMA).option("recursiveFileLookup", "true").parquet(path)
+    return spark.read.schema(VERSION_SCHEMA).option("recursiveFileLookup", "true").parquet(f"{path}/versions")
 
 
 def dedupe_stream(events: DataFrame, key: str, time: str, delay: str) -> DataFrame:
@@ -76,29 +103,53 @@ def stale_runs(runs: DataFrame, now: object, timeout_seconds: int) -> DataFrame:
     return runs.withColumn("status", F.when(stale, "pending").otherwise(F.col("status")))
 
 
+def _newest(frames: Iterator[pd.DataFrame], by: str) -> pd.Series | None:
+    """The row with the largest value of `by`, one frame at a time; the later of equal ones, null ones are nothing."""
+    best = None
+    for frame in frames:
+        known = frame[frame[by].notna()]
+        if len(known):
+            top = known.iloc[len(known) - 1 - int(known[by].to_numpy()[::-1].argmax())]
+            best = top if best is None or top[by] >= best[by] else best
+    return best
+
+
+def _only_timer(handle: StatefulProcessorHandle, at_ms: int) -> None:
+    for t in list(handle.listTimers()):
+        handle.deleteTimer(t)
+    handle.registerTimer(at_ms)
+
+
 class _Stale(StatefulProcessor):
+    """A run's newest status and its time. Older rows change nothing; a run that doesn't run ends as the clock reaches its row,
+    from when on Spark itself drops older ones."""
+
     def __init__(self, timeout_ms: int) -> None:
         self.timeout_ms = timeout_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.state = handle, handle.getValueState("run", "status string")
+        self.handle, self.state = handle, handle.getValueState("run", "status string, at_us long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803, ARG002
-        last = pd.concat(list(rows)).sort_values("updated_at").iloc[-1]
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        self.state.update((last["status"],))
-        if last["status"] == "running":
-            self.handle.registerTimer(int(last["updated_at"].timestamp() * 1000) + self.timeout_ms)
+        last = _newest(rows, "at_us")
+        if last is not None and (not self.state.exists() or last["at_us"] >= self.state.get()[1]):
+            self.state.update((last["status"], int(last["at_us"])))
+            _only_timer(self.handle, int(last["at_us"]) // 1000 + (self.timeout_ms if last["status"] == "running" else 1))
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803, ARG002
-        yield pd.DataFrame({"run_id": [key[0]], "status": ["pending"]})
+        running = self.state.exists() and self.state.get()[0] == "running"
+        self.state.clear()
+        if running:
+            yield pd.DataFrame({"run_id": [key[0]], "status": ["pending"]})
 
 
 def stale_runs_stream(updates: DataFrame, timeout_seconds: int, delay: str = "0 seconds") -> DataFrame:
-    """(run_id, status) of running runs that the event clock has passed by; updates: run_id, status, updated_at."""
-    return updates.withWatermark("updated_at", delay).groupBy("run_id").transformWithStateInPandas(_Stale(timeout_seconds * 1000), "run_id long, status string", "append", "eventTime")
+    """(run_id, status) of running runs that the event clock has passed by; updates: run_id, status, updated_at, in any order within the delay.
+
+    State ends: a run that is given back, or that has another status than running, is forgotten once the clock has passed its row.
+    """
+    return updates.withWatermark("updated_at", delay).withColumn("at_us", F.unix_micros("updated_at")).groupBy("run_id").transformWithStateInPandas(_Stale(timeout_seconds * 1000), "run_id long, status string", "append", "eventTime")
 
 
 def retries(attempts: DataFrame, most: int = 3) -> DataFrame:
@@ -108,30 +159,24 @@ def retries(attempts: DataFrame, most: int = 3) -> DataFrame:
 
 
 class _Due(StatefulProcessor):
-    """One timer per task, for its newest attempt."""
+    """One timer per task, for its newest attempt: when it is due again, or, if it isn't, when its time has passed. Then it is forgotten."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.state = handle, handle.getValueState("attempt", "attempt_no long, due_us long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803, ARG002
-        newest = self.state.get()[0] if self.state.exists() else -1
-        last = None
-        for frame in rows:
-            top = frame.loc[frame["attempt_no"].idxmax()]
-            if top["attempt_no"] > newest:
-                newest, last = top["attempt_no"], top
-        if last is not None:
-            for t in list(self.handle.listTimers()):
-                self.handle.deleteTimer(t)
+        last = _newest(rows, "attempt_no")
+        if last is not None and (not self.state.exists() or last["attempt_no"] > self.state.get()[0]):
             due = None if pd.isna(last["due_us"]) else int(last["due_us"])
-            self.state.update((int(newest), due))
-            if due is not None:
-                self.handle.registerTimer(due // 1000)
+            self.state.update((int(last["attempt_no"]), due))
+            _only_timer(self.handle, int(last["at_us"]) // 1000 + 1 if due is None else due // 1000)
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803, ARG002
-        attempt_no, due_us = self.state.get()
-        yield pd.DataFrame({"task_id": [key[0]], "attempt_no": [attempt_no + 1], "due_us": [due_us]})
+        attempt_no, due_us = self.state.get() if self.state.exists() else (0, None)
+        self.state.clear()
+        if due_us is not None:
+            yield pd.DataFrame({"task_id": [key[0]], "attempt_no": [attempt_no + 1], "due_us": [due_us]})
 
 
 def retries_stream(attempts: DataFrame, most: int = 3, delay: str = "0 seconds") -> DataFrame:
@@ -142,26 +187,106 @@ def retries_stream(attempts: DataFrame, most: int = 3, delay: str = "0 seconds")
     """
     again = F.col("retryable") & (F.col("attempt_no") < most)
     due = F.when(again, F.col("attempt_at") + F.make_dt_interval(secs=backoff_seconds(F.col("attempt_no"))))
-    a = attempts.withWatermark("attempt_at", delay).select(F.col("task_id").cast("long").alias("task_id"), F.col("attempt_no").cast("long").alias("attempt_no"), "attempt_at", F.unix_micros(due).alias("due_us"))
+    a = attempts.withWatermark("attempt_at", delay).select(F.col("task_id").cast("long").alias("task_id"), F.col("attempt_no").cast("long").alias("attempt_no"), "attempt_at", F.unix_micros(due).alias("due_us"), F.unix_micros("attempt_at").alias("at_us"))
     out = a.groupBy("task_id").transformWithStateInPandas(_Due(), "task_id long, attempt_no long, due_us long", "append", "eventTime")
     return out.select("task_id", "attempt_no", F.timestamp_micros("due_us").alias("due_at"))
 
 
-def job_states(updates: DataFrame) -> DataFrame:
-    """Folded state per run: last state by seq, the highest poll_count."""
-    return updates.groupBy("run_id").agg(F.max_by("state", "seq").alias("state"), F.max("poll_count").alias("poll_count"))
+#: States from which a job doesn't go on.
+ENDED = ("done", "failed")
+
+
+class _Job(StatefulProcessor):
+    """A job's fold: its newest update decides the state, poll_count never falls. With an end the fold starts anew: the end is kept
+    until the clock has passed it, so that older updates don't bring the job back, and then forgotten."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.state = handle, handle.getValueState("job", "seq long, state string, poll_count long, ended_seq long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803, ARG002
+        seq, state, polls, ended = self.state.get() if self.state.exists() else (-1, None, None, -1)
+        frame = pd.concat(list(rows))  # a job's updates of one batch, four numbers each
+        frame = frame[frame["seq"].notna() & (frame["seq"] > ended)].sort_values("seq")
+        if len(frame) == 0:
+            return
+        last = frame.iloc[-1]
+        over = frame["state"].isin(ENDED)
+        if over.any():
+            ended = int(frame["seq"][over].max())
+            polls, seq, state = (None, -1, None) if seq < ended else (polls, seq, state)
+        counted = frame["poll_count"][(frame["seq"] > ended)].dropna()
+        polls = max([*([] if polls is None else [polls]), *([int(counted.max())] if len(counted) else [])], default=None)
+        if last["seq"] > seq:
+            seq, state = int(last["seq"]), last["state"]
+        self.state.update((seq, state, polls, ended))
+        done = seq == ended
+        if done:
+            _only_timer(self.handle, int(frame["at_us"].max()) // 1000 + 1)
+        else:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+        yield pd.DataFrame({"run_id": [key[0]], "seq": [seq], "state": [state], "poll_count": pd.array([polls], "Int64"), "ended": [done]})
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803, ARG002
+        self.state.clear()
+        return iter(())
+
+
+def job_states(updates: DataFrame, delay: str = "0 seconds") -> DataFrame:
+    """(run_id, seq, state, poll_count, ended) of each job whose fold changes; updates: run_id, seq, state, poll_count, updated_at.
+
+    The last row of a job is its present fold; jobs whose last row has ended are over and not among those to resume.
+    """
+    u = updates.withWatermark("updated_at", delay).select(F.col("run_id").cast("long").alias("run_id"), F.col("seq").cast("long").alias("seq"), "state", F.col("poll_count").cast("long").alias("poll_count"), "updated_at", F.unix_micros("updated_at").alias("at_us"))
+    return u.groupBy("run_id").transformWithStateInPandas(_Job(), "run_id long, seq long, state string, poll_count long, ended boolean", "append", "eventTime")
+
+
+class _Present(StatefulProcessor):
+    """A task's present status; a change is one task less in the old and one more in the new."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("task", "seq long, status string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803, ARG002
+        last = _newest(rows, "seq")
+        old = self.state.get() if self.state.exists() else None
+        if last is not None and (old is None or last["seq"] >= old[0]):
+            self.state.update((int(last["seq"]), last["status"]))
+            if old is None or old[1] != last["status"]:
+                yield pd.DataFrame({"status": [last["status"]] + ([old[1]] if old else []), "delta": [1] + ([-1] if old else [])})
+
+
+def status_deltas(updates: DataFrame) -> DataFrame:
+    """(status, delta) as tasks come and change; updates: task_id, seq, status, in any order. A small row of state per task stays."""
+    u = updates.select("task_id", F.col("seq").cast("long").alias("seq"), "status")
+    return u.groupBy("task_id").transformWithStateInPandas(_Present(), "status string, delta long", "append", "none")
+
+
+def run_status_counts(deltas: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """(status, n): tasks by present status. Each batch adds its deltas to the counts of the batch before, a row per status."""
+
+    def batch(rows: DataFrame, number: int) -> None:
+        own = rows.sparkSession
+        totals = rows.groupBy("status").agg(F.sum("delta").alias("n"))
+        if number > 0:
+            totals = totals.unionByName(own.read.parquet(f"{path}/batch={number - 1}").select("status", "n")).groupBy("status").agg(F.sum("n").alias("n"))
+        totals.coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    deltas.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return deltas.sparkSession.read.schema("status string, n long").parquet(f"{path}/batch={_last_batch(deltas.sparkSession, path)}").where("n <> 0")
 
 
-def status_counts(tasks: DataFrame) -> DataFrame:
-    return tasks.groupBy("status").agg(F.count("*").alias("n"))
+def _last_batch(spark: SparkSession, path: str) -> int:
+    glob = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch=*")
+    return max(int(str(s.getPath().getName()).split("=")[1]) for s in glob.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(glob))
 
 
 def run_updates(df: DataFrame, key: str, path: str, checkpoint: str) -> DataFrame:
-    """An aggregate's changed rows of every batch go to Parquet; the last batch's row of each key is its present state."""
+    """A stream's changed rows of every batch go to Parquet, below its number; the last batch's row of each key is its present state."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        rows.withColumn("_batch", F.lit(number)).write.mode("append").parquet(path)
+        rows.write.mode("overwrite").parquet(f"{path}/_batch={number}")
 
-    df.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    log = df.sparkSession.read.parquet(path)
+    df.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    log = df.sparkSession.read.option("basePath", path).parquet(path)
     return upsert_latest(log, key, "_batch").drop("_batch")
