@@ -14,13 +14,16 @@ Plan, for the whole table:
    shingles, whose counts travel with the candidate in two longs.
 4. Each bucket compares its members with one pivot (that with the smallest share of own shingles: of a group of edited
    copies, the original), where the bound allows a link. Links are confirmed on the full sets and joined to components.
-5. What is not in its pivot's component by then is compared with the bucket's other components, again under the bound.
-   Pairs within one component are never made: they cannot change the result. No pair of different components is left out.
+5. What is not in its pivot's component by then meets the bucket's other components, again under the bound, and then under a
+   bound from parities of 2,048 classes of shingles, which tells nearly all texts that share much and aren't near-duplicates
+   apart without their sets. Pairs within one component are never made: they cannot change the result. No pair of different
+   components is left out.
 6. Components by label propagation with pointer jumping; every round is a table in the shared folder.
 
 A group's members are never gathered in one task: joins on a bucket or a pivot with many members are split into parts. The rows
 made grow with members and buckets, not with pairs; only members of a bucket that the bounds leave open after step 4 meet the
-others, which is quadratic for texts that share much and yet aren't near-duplicates.
+others. Of texts that share much and yet aren't near-duplicates that is quadratic in rows of two numbers and parities, but full sets
+are compared for hardly any of them.
 """
 
 from __future__ import annotations
@@ -37,6 +40,8 @@ from evidencelake.llm.hashing import Powers, mix, odd, slices
 
 PERMUTATIONS, BANDS, ROWS = 96, 32, 6
 SHINGLE_WORDS = 5
+#: Classes of shingles whose parities bound the difference of two sets.
+PARITY_BITS = 2048
 
 _PLACE = odd(SHINGLE_WORDS, 2)
 _MULTIPLY, _ADD = odd(PERMUTATIONS, 3), odd(PERMUTATIONS, 4)
@@ -104,7 +109,19 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             asked = zip(*(part.column(c).to_pylist() for c in ("id", "set_a", "set_b")), strict=True)
             found = [(i, s.view(np.int64)) for (i, *digests), s in zip(asked, shingle_sets(part.column("text"), powers), strict=True) if tuple(digests) == _digests(s)]
             packed = [_packed(s) for _, s in found]
-            yield pa.record_batch([pa.array([i for i, _ in found], pa.int64()), pa.array([s for _, s in found], pa.list_(pa.int64())), *(pa.array([p[i] for p in packed], pa.int64()) for i in (0, 1))], ["id", "shingles", "low", "high"])
+            yield pa.record_batch(
+                [pa.array([i for i, _ in found], pa.int64()), pa.array([s for _, s in found], pa.list_(pa.int64())), *(pa.array([p[i] for p in packed], pa.int64()) for i in (0, 1)), pa.array([_parity(s) for _, s in found], pa.list_(pa.int64()))],
+                ["id", "shingles", "low", "high", "parity"],
+            )
+
+
+def _parity(shingles: np.ndarray) -> np.ndarray:
+    """For each of PARITY_BITS classes of shingles whether the set has an odd number of them, packed in longs.
+
+    Sets differ in at least as many shingles as their parities differ in bits.
+    """
+    odd_counts = np.bincount((shingles.view(np.uint64) >> np.uint64(64 - PARITY_BITS.bit_length() + 1)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd_counts.astype(bool), bitorder="little").view(np.int64)
 
 
 def _packed(shingles: np.ndarray) -> tuple[int | None, int | None]:
@@ -169,6 +186,19 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * union).select("a", "b")
 
 
+def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those (a, b) whose sets' parities leave room for a link: a few hundred bytes a set decide, not the sets. Linked sets always stay."""
+    slim = sets.select("id", F.size("shingles").alias("n"), "parity")
+    both = pairs
+    for side in ("a", "b"):
+        both = both.join(slim.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("parity").alias(f"p{side}")), side)
+    apart = F.lit(0)
+    for i in range(PARITY_BITS // 64):
+        apart = apart + F.bit_count(F.col("pa")[i].bitwiseXOR(F.col("pb")[i]))
+    total = F.col("na") + F.col("nb")
+    return both.where(100 * (total - apart) >= percent * (total + apart)).select("a", "b")
+
+
 KEY = ["n_shingles", "set_a", "set_b"]
 
 
@@ -185,7 +215,7 @@ def classes_of(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
 
     candidates = members.select("id").distinct().join(reps.select("id", "first_doc", "set_a", "set_b"), "id")
     texts = source.join(candidates, source.doc_id == candidates.first_doc).withColumn("text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "id", "text_hash"])
-    sets = texts.select("id", "set_a", "set_b", "text").mapInArrow(_sets, "id long, shingles array<long>, low long, high long")
+    sets = texts.select("id", "set_a", "set_b", "text").mapInArrow(_sets, "id long, shingles array<long>, low long, high long, parity array<long>")
     sets = materialize(sets, "sets")
     if sets.count() > candidates.count():  # two texts of one doc_id with one set
         sets = materialize(sets.dropDuplicates(["id"]), "sets")
@@ -216,10 +246,11 @@ def classes_of(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     other = placed.select("band", "bucket", _part(parts, "id").alias("part"), F.col("component").alias("component2"), *(F.col(k).alias(f"{k}2") for k in ("id", "n", "own", "low", "high")))
     cross = rest.join(other, ["band", "bucket", "part"]).where((F.col("component") != F.col("component2")) & _can_link(side(), side(suffix="2"), percent))
     pairs2 = cross.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+    pairs2 = materialize(_near(pairs2, sets, percent), "pairs")
     more = materialize(_confirmed(pairs2, sets, percent), "links")
     if not more.isEmpty():
         labels = connected_components(edges.unionByName(more))
-    for table in (members, own, starred, placed, sets, edges, more):
+    for table in (members, own, starred, placed, sets, edges, pairs2, more):
         drop_materialized(table)
 
     least = labels.join(reps.select("id", "first_doc"), "id").groupBy("component").agg(F.min("first_doc").alias("component_id"))
