@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from evidencelake.functions.charsets import guess
+
 #: Fixed values.
 TEMPLATE_MARKERS = ("{{title}}", "{{brTitle}}", "NaN-NaN-NaN", "{{name}}")
 TITLE_STOP = ("微信公众号文章", "未命名", "网页", "文档")
@@ -170,13 +170,8 @@ def declared_charset(body: Column, content_type: Column) -> Column:
 
 
 @F.pandas_udf(StringType())
-def _guess_charset(bodies: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    try:
-        from charset_normalizer import from_bytes
-    except ImportError:  # optional guesser
-        from_bytes = None
-    for s in bodies:
-        yield s.map(lambda b: None if b is None or from_bytes is None or (best := from_bytes(b).best()) is None else best.encoding)
+def _guess_charset(bodies: pd.Series) -> pd.Series:
+    return bodies.map(guess)
 
 
 @F.pandas_udf(StringType())

@@ -85,6 +85,15 @@ def r3_dedupe_stream(t: Tables) -> DataFrame:
         return J.run_once(J.dedupe_stream(e, "event_id", "ts", "3650 days"), f"{work}/out", f"{work}/checkpoint").select("event_id")
 
 
+@query("SELECT DISTINCT user_id || ':' || event_type AS event_id FROM events")
+def r3_dedupe_with_ledger(t: Tables) -> DataFrame:
+    """As above over several batches, with state for a minute: repeats that come later are found in the ledger."""
+    e = t.events.select(F.concat_ws(":", "user_id", "event_type").alias("event_id"), F.col("ts").cast("timestamp").alias("ts"))
+    work = _work(t, "ledger")
+    with _rocksdb(t):
+        return J.dedupe_with_ledger(_in_batches(t, e, "repeats", "ts"), "event_id", "ts", "1 minute", f"{work}/out", f"{work}/checkpoint").select("event_id")
+
+
 @query("SELECT o_orderkey AS run_id, CASE WHEN o_orderstatus = 'P' AND o_orderdate <= TIMESTAMP '1998-01-01' - INTERVAL 30 DAY THEN 'pending' WHEN o_orderstatus = 'P' THEN 'running' WHEN o_orderstatus = 'F' THEN 'success' ELSE 'pending' END AS status FROM orders")
 def r4_stale_runs(t: Tables) -> DataFrame:
     import datetime

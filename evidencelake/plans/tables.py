@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,10 +42,11 @@ def s9_write_evidence(t: Tables) -> DataFrame:
     """A rebuild of some evidence leaves the rest of its days alone."""
     e = t.documents.select(F.concat(F.lit("ev"), F.col("doc_id").cast("string")).alias("evidence_id"), F.timestamp_seconds(F.lit(1704067200) + 600 * F.col("doc_id")).alias("fetched_at"), F.col("lang").alias("markdown"))
     root = _work(t, "evidence")
-    sinks.write_evidence(e, root)
+    for batch in ("first", "first"):  # the same batch again changes nothing
+        sinks.write_evidence(e, root, batch)
     third = e.where(F.substring("evidence_id", 3, 20).cast("long") % 3 == 0).withColumn("markdown", F.lit("rebuilt"))
-    sinks.write_evidence(third, root, rebuild=True)
-    return t.spark.read.parquet(root).select("evidence_id", "markdown")
+    sinks.write_evidence(third, root, "rebuilt", rebuild=True)
+    return sinks.read_evidence(t.spark, root).select("evidence_id", "markdown")
 
 
 @query("SELECT 'ev' || doc_id AS evidence_id, 'meta.yaml' AS file, 'title: ' || lang AS value FROM documents UNION ALL SELECT 'ev' || doc_id, 'content.md', 'source ' || source FROM documents")
@@ -121,6 +123,29 @@ def e11_guessed_charset(t: Tables) -> DataFrame:
     return t.pages.select("page_id", X.detect_charset(body, F.lit(None).cast("string")).alias("charset"))
 
 
+#: Letters that stand for a-z in texts of other scripts.
+_RUSSIAN = "абцдофгвижклмнепщрстучшхыз"
+_CHINESE = "的一是不了在人有我他这中大来上国个到说们为子和你地"
+_JAPANESE = "あいうえおかきくけこさしすせそたちつてとなに日本人の"
+_CHARSETS = {0: "gb18030", 1: "shift_jis", 2: "cp1251", 3: "cp1252"}
+
+
+@F.pandas_udf("binary")
+def _encoded(texts: pd.Series, kinds: pd.Series) -> pd.Series:
+    return pd.Series([t.encode(_CHARSETS[k], "replace") for t, k in zip(texts, kinds, strict=True)])
+
+
+@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'gb18030' WHEN 1 THEN 'shift_jis' WHEN 2 THEN 'cp1251' ELSE 'cp1252' END AS charset FROM pages")
+def e11_other_charsets(t: Tables) -> DataFrame:
+    """Pages in other scripts and charsets, none of them declared: markup stays, the article's words are small letters of the script."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    kind = (F.col("page_id") % 4).cast("int")
+    body = F.lower(F.regexp_replace(F.regexp_extract("html", "(?s)<article>(.*)</article>", 1), "<[^>]*>", " "))
+    written = F.when(kind == 0, F.translate(body, letters, _CHINESE)).when(kind == 1, F.translate(body, letters, _JAPANESE)).when(kind == 2, F.translate(body, letters, _RUSSIAN)).otherwise(F.translate(body, "ou", "ôü"))
+    page = F.concat(F.lit("<html><body class='page'><p>"), written, F.lit("</p></body></html>"))
+    return t.pages.select("page_id", X.detect_charset(_encoded(page, kind), F.lit(None).cast("string")).alias("charset"))
+
+
 @query("SELECT event_id AS run_id, 'pending' AS status FROM events WHERE event_type = 'view' AND epoch_ms(ts) + 86400000 <= (SELECT max(epoch_ms(ts)) FROM events)")
 def r4_stale_runs_stream(t: Tables) -> DataFrame:
     """Runs that the event clock left behind by a day."""

@@ -38,13 +38,17 @@ def read_pasted(spark: SparkSession, path: str) -> DataFrame:
 def read_uploads(spark: SparkSession, glob: str, max_bytes: int = 1 << 30) -> DataFrame:
     """Files with type, role and hash; reject is set for empty and oversize ones, whose content isn't read.
 
-    The reader leaves empty files out; they are added by name from the listing.
+    Both bounds on the length reach the scan, so a file that is larger than max_bytes, or than the reader itself can hold
+    (spark.sql.sources.binaryFile.maxLength), is a row of its own and fails nothing. The reader leaves empty files out; they are
+    added by name from the listing, which Spark's reader makes in tasks where a folder has many subfolders.
     """
     path = spark._jvm.org.apache.hadoop.fs.Path(glob)
     listed = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
     empty = spark.createDataFrame([(str(s.getPath().toString()), 0) for s in listed if s.isFile() and s.getLen() == 0], "path string, length long")
-    meta = spark.read.format("binaryFile").load(glob).select("path", "length", "content").unionByName(empty.withColumn("content", F.lit(None).cast("binary")))
-    reject = F.when(F.col("length") == 0, "empty").when(F.col("length") > max_bytes, "too_large")
+    most = min(max_bytes, int(spark.conf.get("spark.sql.sources.binaryFile.maxLength", str((1 << 31) - 1))))
+    files, nothing = spark.read.format("binaryFile").load(glob), F.lit(None).cast("binary").alias("content")
+    meta = files.where(F.col("length") <= most).select("path", "length", "content").unionByName(files.where(F.col("length") > most).select("path", "length", nothing)).unionByName(empty.select("path", "length", nothing))
+    reject = F.when(F.col("length") == 0, "empty").when(F.col("length") > most, "too_large")
     d = meta.select("path", F.col("length").alias("size_bytes"), F.when(reject.isNull(), F.col("content")).alias("body"), reject.alias("reject"))
     name = F.element_at(F.split("path", "/"), -1)
     kind = U.classify_upload(name, F.lit(None).cast("string"))

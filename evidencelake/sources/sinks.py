@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+from functools import reduce
+from typing import Any
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidencelake.functions import identity as I
@@ -30,16 +35,67 @@ def write_blobs(blobs: DataFrame, root: str) -> None:
     new.repartition("prefix").write.mode("append").partitionBy("prefix").parquet(root)
 
 
-def write_evidence(evidence: DataFrame, root: str, rebuild: bool = False) -> None:
-    """By year, month and day. Normal runs append; a rebuild rewrites the touched days without losing their other evidence."""
-    dated = evidence.withColumns({"year": F.year("fetched_at"), "month": F.month("fetched_at"), "day": F.dayofmonth("fetched_at")})
-    days = ["year", "month", "day"]
-    old = _existing(evidence, root) if rebuild else None
-    if old is None:
-        dated.write.mode("append").partitionBy(*days).parquet(root)
+def _fs(spark: SparkSession, path: str) -> tuple[Any, Any]:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _live(spark: SparkSession, root: str) -> tuple[int, list[dict]]:
+    """Number and parts of the newest manifest; 0 and none where nothing is published."""
+    fs, glob = _fs(spark, f"{root}/manifests/*.json")
+    names = sorted(str(s.getPath().getName()) for s in fs.globStatus(glob) or [])
+    if not names:
+        return 0, []
+    return int(names[-1][:-5]), json.loads("".join(r[0] for r in spark.read.text(f"{root}/manifests/{names[-1]}", wholetext=True).collect()))
+
+
+def write_evidence(evidence: DataFrame, root: str, batch: str, rebuild: bool = False) -> None:
+    """Publish a batch of evidence by year, month and day: staged, moved, and then named by a new manifest.
+
+    What a reader sees is what the newest manifest names, so it sees the batch whole or not at all: a failure before the manifest
+    leaves the old view, and what was staged is never read. A batch that is live already changes nothing. A rebuild writes its days
+    anew, their other evidence with them, and the manifest hides those days of older parts. One writer at a time per root.
+    """
+    spark = evidence.sparkSession
+    number, parts = _live(spark, root)
+    if any(p["batch"] == batch for p in parts):
         return
-    touched = old.join(dated.select(*days).distinct(), days, "left_semi").join(dated.select("evidence_id"), "evidence_id", "left_anti")
-    dated.unionByName(touched.select(dated.columns)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*days).parquet(root)
+    dated = evidence.withColumns({"year": F.year("fetched_at"), "month": F.month("fetched_at"), "day": F.dayofmonth("fetched_at")})
+    days, touched = ["year", "month", "day"], []
+    if rebuild and parts:
+        touched = ["-".join(map(str, r)) for r in dated.select(*days).distinct().collect()]  # days of the batch
+        old = read_evidence(spark, root).join(F.broadcast(dated.select(*days).distinct()), days, "left_semi").join(dated.select("evidence_id"), "evidence_id", "left_anti")  # a row per day
+        dated = dated.unionByName(old.select(dated.columns))
+    folder = f"{batch}-{uuid.uuid4().hex}"
+    dated.write.partitionBy(*days).parquet(f"{root}/staging/{folder}")
+    _publish(spark, root, number + 1, [{**p, "hidden": sorted({*p["hidden"], *touched})} for p in parts], {"batch": batch, "folder": folder, "hidden": []})
+
+
+def _publish(spark: SparkSession, root: str, number: int, parts: list[dict], new: dict) -> None:
+    """Move what is staged to its place and name it: the rename of the manifest is the moment at which readers see it."""
+    fs, staged = _fs(spark, f"{root}/staging/{new['folder']}")
+    fs.mkdirs(_fs(spark, f"{root}/data")[1])
+    if not fs.rename(staged, _fs(spark, f"{root}/data/{new['folder']}")[1]):
+        raise OSError(f"{new['folder']} can't be moved to its place")
+    name = f"{root}/manifests/{number:012}.json"
+    draft = _fs(spark, f"{root}/staging/{new['folder']}.json")[1]
+    out = fs.create(draft, True)
+    out.write(bytearray(json.dumps([*parts, new]).encode()))
+    out.close()
+    fs.mkdirs(_fs(spark, f"{root}/manifests")[1])
+    target = _fs(spark, name)[1]
+    if fs.exists(target) or not fs.rename(draft, target):
+        raise OSError(f"{name} is there already: another writer has published")
+
+
+def read_evidence(spark: SparkSession, root: str) -> DataFrame:
+    """What is live, as the newest manifest names it."""
+    parts = _live(spark, root)[1]
+    if not parts:
+        raise FileNotFoundError(f"no evidence is published below {root}")
+    key = F.concat_ws("-", "year", "month", "day")
+    shown = [spark.read.parquet(f"{root}/data/{p['folder']}").where(~key.isin(p["hidden"]) if p["hidden"] else F.lit(True)) for p in parts]
+    return reduce(DataFrame.unionByName, shown)
 
 
 def outbox_events(rows: DataFrame, event_type: str, aggregate: str) -> DataFrame:

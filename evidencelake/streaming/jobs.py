@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -97,6 +97,56 @@ def dedupe_stream(events: DataFrame, key: str, time: str, delay: str) -> DataFra
     return events.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 
+#: Bits of the filter of a ledger bucket, and its largest size therefore: 128 KB as words.
+FILTER_BITS = 20
+
+
+def _filter_slots(key: Column) -> Column:
+    """Two places in its bucket's filter for each id."""
+    return F.array(*(F.pmod(F.xxhash64(F.lit(salt), key), F.lit(1 << FILTER_BITS)) for salt in (1, 2)))
+
+
+def dedupe_with_ledger(events: DataFrame, key: str, time: str, delay: str, path: str, checkpoint: str, buckets: int = 64) -> DataFrame:
+    """Each event once for good, with state for the delay only: near repeats end in the stream's state, old ones at the ledger of ids.
+
+    The ledger is a table of hash buckets, each with a filter of 2^FILTER_BITS bits that never grows. A batch reads the filters of its
+    buckets; only ids that a filter doesn't rule out are looked up in the ledger itself. Everything a batch writes is below its number
+    and is read by later batches only, so a replay gives the same rows. Rows with null keys are dropped.
+    """
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    filters, ledger = f"{path}/filters", f"{path}/ledger"
+
+    def batch(rows: DataFrame, number: int) -> None:
+        own = rows.sparkSession
+        rows = rows.where(F.col(key).isNotNull()).withColumn("bucket", bucket)
+        asked = rows.select("bucket", F.col(key).alias("_key")).distinct()
+        before = {b: max((x for x in seen if x < number), default=None) for b, seen in _batches_of(own, filters).items()}
+        paths = [f"{filters}/bucket={b}/batch={n}" for b, n in before.items() if n is not None]
+        words = own.read.option("basePath", filters).schema("word_at long, bits long, bucket int, batch long").parquet(*paths).drop("batch") if paths else own.createDataFrame([], "word_at long, bits long, bucket int")
+        slots = asked.withColumn("slot", F.explode(_filter_slots(F.col("_key")))).withColumn("word_at", F.expr("slot div 32"))
+        set_ = slots.join(words, ["bucket", "word_at"]).where(F.expr("bits & shiftleft(1L, cast(slot % 32 AS int))") != 0)
+        maybe = set_.groupBy("bucket", "_key").agg(F.count("*").alias("n")).where(F.col("n") == 2).select("bucket", "_key")
+        if paths:
+            known = own.read.option("basePath", ledger).schema(f"{key} string, batch long, bucket int").parquet(ledger).where(F.col("batch") < number)
+            seen = maybe.join(known.select("bucket", F.col(key).alias("_key")), ["bucket", "_key"], "left_semi")
+            rows = rows.join(seen.withColumnRenamed("_key", key), ["bucket", key], "left_anti")
+        rows.drop("bucket").write.mode("overwrite").parquet(f"{path}/events/batch={number}")
+        new = own.read.parquet(f"{path}/events/batch={number}").select(F.col(key).cast("string").alias(key)).withColumn("bucket", bucket)
+        new.withColumn("batch", F.lit(number)).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "bucket").parquet(ledger)
+        added = new.select("bucket", F.explode(_filter_slots(F.col(key))).alias("slot")).select("bucket", F.expr("slot div 32").alias("word_at"), F.expr("shiftleft(1L, cast(slot % 32 AS int))").alias("bits"))
+        touched = new.select("bucket").distinct()
+        merged = added.unionByName(words.join(F.broadcast(touched), "bucket").select("bucket", "word_at", "bits")).groupBy("bucket", "word_at").agg(F.bit_or("bits").alias("bits"))  # a row per bucket
+        merged.withColumn("batch", F.lit(number)).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(filters)
+        for b, old in _batches_of(own, filters).items():
+            for n in old:
+                if n < number and n != before.get(b) and (newest := max(x for x in old if x <= number)) != n and newest == number:
+                    delete_path(own, f"{filters}/bucket={b}/batch={n}")
+
+    near = events.withColumn(key, F.col(key).cast("string"))
+    dedupe_stream(near, key, time, delay).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return events.sparkSession.read.schema(near.schema).option("recursiveFileLookup", "true").parquet(f"{path}/events")
+
+
 def stale_runs(runs: DataFrame, now: object, timeout_seconds: int) -> DataFrame:
     """Batch form: running rows without an update for the timeout go back to pending."""
     stale = (F.col("status") == "running") & (F.col("updated_at") <= F.lit(now) - F.make_dt_interval(secs=F.lit(timeout_seconds)))

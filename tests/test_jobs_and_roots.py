@@ -2,7 +2,6 @@
 
 import datetime as dt
 
-import pytest
 from pyspark.sql import functions as F
 
 from evidencelake.functions import text as X
@@ -59,7 +58,6 @@ def test_main_content_counts_by_ancestor(spark):
 
 
 def test_charset_is_guessed_from_all_bytes(spark):
-    pytest.importorskip("charset_normalizer")
     chinese = "这是一个用来猜测编码的中文网页，内容足够长。"
     rows = [(1, b"plain ascii"), (2, chinese.encode()), (3, b"a" * 70_000 + (chinese * 400).encode("gb18030")), (4, b""), (5, None)]
     d = spark.createDataFrame(rows, "id int, body binary").withColumn("cs", X.detect_charset(F.col("body"), F.lit(None).cast("string")))

@@ -146,9 +146,9 @@ def test_ledger_invariants(spark):
 def test_sinks(spark, tmp_path):
     t = dt.datetime(2024, 1, 2)
     e = spark.createDataFrame([("e1", t, "one", "y: 1"), ("e2", t, "two", "y: 2")], "evidence_id string, fetched_at timestamp, markdown string, meta_yaml string")
-    sinks.write_evidence(e, f"{tmp_path}/ev")
-    sinks.write_evidence(e.where("evidence_id = 'e1'").withColumn("markdown", F.lit("new")), f"{tmp_path}/ev", rebuild=True)
-    assert {r["evidence_id"]: r["markdown"] for r in spark.read.parquet(f"{tmp_path}/ev").collect()} == {"e1": "new", "e2": "two"}
+    sinks.write_evidence(e, f"{tmp_path}/ev", "b1")
+    sinks.write_evidence(e.where("evidence_id = 'e1'").withColumn("markdown", F.lit("new")), f"{tmp_path}/ev", "b2", rebuild=True)
+    assert {r["evidence_id"]: r["markdown"] for r in sinks.read_evidence(spark, f"{tmp_path}/ev").collect()} == {"e1": "new", "e2": "two"}
     b = spark.createDataFrame([("aa1", b"x"), ("aa1", b"x"), ("bb2", b"y")], "sha256 string, body binary")
     sinks.write_blobs(b, f"{tmp_path}/blobs")
     sinks.write_blobs(b, f"{tmp_path}/blobs")
