@@ -233,14 +233,15 @@ def main_content(nodes: DataFrame) -> DataFrame:
 def to_markdown(nodes: DataFrame, roots: DataFrame, titles: DataFrame | None = None, nested: str = "nearest") -> DataFrame:
     """(page_id, markdown) of the blocks below each page's root; each text run belongs to its nearest block.
 
-    nested="repeat" gives a run to every block around it, as a parser would that prints nested blocks twice. Pages without any
+    A line has the mark of its block, a paragraph that of the nearest heading, list item or quote around it. nested="repeat" gives a run to every block around it, as a parser would that prints nested blocks twice. Pages without any
     block keep their plain text. titles (page_id, title): put in front where no line begins with a heading.
     """
     t = nodes.where("tag = '#text'").join(roots.select("page_id", F.col("node_id").alias("_root"), F.col("end_id").alias("_end")), "page_id").where("node_id between _root and _end")
     blocks = F.filter("path", lambda p: p["tag"].isin(*LINE_TAGS) & (p["node_id"] >= F.col("_root")))
     owner = blocks if nested == "repeat" else F.slice(blocks, F.greatest(F.size(blocks), F.lit(1)), 1)
-    run = t.select("page_id", "node_id", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("run"), F.explode_outer(owner).alias("b"))
-    lines = run.groupBy("page_id", F.col("b.node_id").alias("block"), F.col("b.tag").alias("tag")).agg(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "run"))), lambda x: x["run"]).alias("runs"), F.min("node_id").alias("first"))
+    marked = F.coalesce(F.try_element_at(F.filter(blocks, lambda p: p["tag"] != "p"), F.lit(-1))["tag"], F.lit("p"))
+    run = t.select("page_id", "node_id", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("run"), F.explode_outer(owner).alias("b"), marked.alias("marked"))
+    lines = run.groupBy("page_id", F.col("b.node_id").alias("block"), F.col("b.tag" if nested == "repeat" else "marked").alias("tag")).agg(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "run"))), lambda x: x["run"]).alias("runs"), F.min("node_id").alias("first"))
     lines = lines.withColumn("line", F.when(F.col("block").isNull(), F.array_join("runs", "\n")).otherwise(F.array_join("runs", " "))).drop("runs")
     mark = F.when(F.col("tag").rlike("^h[1-6]$"), F.concat(F.repeat(F.lit("#"), F.substring("tag", 2, 1).cast("int")), F.lit(" "))).when(F.col("tag") == "li", "- ").when(F.col("tag") == "blockquote", "> ").otherwise("")
     has = F.max(F.col("block").isNotNull()).over(Window.partitionBy("page_id"))

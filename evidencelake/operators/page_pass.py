@@ -93,16 +93,18 @@ def markdown(rows: list[dict], selectors: tuple[str, ...] = H.ROOT_SELECTORS, le
         root = next((r for r in held if r["tag"] == "body"), None)
     low, high = (root["node_id"], root["end_id"]) if root else (-1, len(rows))
     lines: dict[int, list[str]] = {}
+    marks: dict[int, str] = {}  # a paragraph has that of the nearest heading, list item or quote around it
     plain = []
     for t in runs:
         if low < t["node_id"] <= high:
             plain.append(t["text"].strip())
-            block = next((i for i in reversed(t["path"]) if i > low and rows[i]["tag"] in H.LINE_TAGS), None)
-            if block is not None:
-                lines.setdefault(block, []).append(t["text"])
+            blocks = [i for i in reversed(t["path"]) if i > low and rows[i]["tag"] in H.LINE_TAGS]
+            if blocks:
+                lines.setdefault(blocks[0], []).append(t["text"])
+                marks[blocks[0]] = next((rows[i]["tag"] for i in blocks if rows[i]["tag"] != "p"), "p")
     out = []
     for i, parts in sorted(lines.items()):
-        tag, line = rows[i]["tag"], " ".join(" ".join(parts).split())
+        tag, line = marks[i], " ".join(" ".join(parts).split())
         out.append(("#" * int(tag[1]) + " " if tag[0] == "h" else "- " if tag == "li" else "> " if tag == "blockquote" else "") + line)
     return ("\n\n".join(out) or "\n".join(plain)).strip()
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from evidencelake.functions import text as X
 from evidencelake.operators import html as H
@@ -130,7 +131,7 @@ _JAPANESE = "あいうえおかきくけこさしすせそたちつてとなに
 _CHARSETS = {0: "gb18030", 1: "shift_jis", 2: "cp1251", 3: "cp1252"}
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def _encoded(texts: pd.Series, kinds: pd.Series) -> pd.Series:
     return pd.Series([t.encode(_CHARSETS[k], "replace") for t, k in zip(texts, kinds, strict=True)])
 

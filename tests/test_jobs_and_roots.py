@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from evidencelake.functions import text as X
-from evidencelake.operators import convert, html
+from evidencelake.operators import convert, html, page_pass
 from evidencelake.operators.ledger import assign_versions
 from evidencelake.sources import readers
 from evidencelake.streaming import jobs
@@ -79,3 +79,13 @@ def test_profiles_as_lines(spark, tmp_path):
     p = readers.load_profiles(spark, str(tmp_path / "p.json"), {"platform_domains": {"d.com": "D", "e.com": "E"}}, lines=True)
     assert sorted(map(tuple, p["platforms"].collect())) == [("d.com", "Own"), ("e.com", "E")]
     assert sorted(map(tuple, p["markers"].collect())) == [("x.com", 0, "m1"), ("x.com", 1, "m2")] and p["extractors"].count() == 0
+
+
+def test_marks_of_nested_blocks(spark):
+    page = "<body><ul><li><p>in</p></li><li>own <b>text</b></li></ul><blockquote><p>said</p> more</blockquote><h2><p>head</p></h2><p>plain</p></body>"
+    pages = spark.createDataFrame([(1, page)], "page_id long, html string")
+    lines = ["- in", "- own text", "> more", "> said", "## head", "plain"]
+    nodes = html.html_nodes(pages)
+    body = nodes.where("tag = 'body'").select("page_id", "node_id", "end_id")
+    assert sorted(html.to_markdown(nodes, body).collect()[0]["markdown"].split("\n\n")) == sorted(lines)
+    assert sorted(page_pass.markdown(html.parse_nodes(page)).split("\n\n")) == sorted(lines)
