@@ -40,14 +40,14 @@ def latest_assets(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("resource_key").agg(F.max_by(F.struct(*rest), F.struct("version_no", "asset_id")).alias("_r")).select("resource_key", "_r.*").select(ledger.columns)
 
 
-def _pieces(rows: DataFrame, time: str, rows_a_piece: int) -> Column:
-    """The piece of time that a row lies in: pieces of about as many rows each, by approximate quantiles of all rows."""
+def _pieces(rows: DataFrame, time: str, rows_a_piece: int) -> Column | None:
+    """The piece of time that a row lies in: pieces of about as many rows each, by approximate quantiles of all rows; none if all are in one."""
     n = rows.agg(F.count("*")).first()[0]
     pieces = min(4096, -(-n // rows_a_piece))
     if pieces < 2:
-        return F.lit(0)
+        return None
     bounds = rows.agg(F.percentile_approx(time, [i / pieces for i in range(1, pieces)], 10 * pieces)).first()[0] or []  # 4,095 at most
-    return F.array_size(F.filter(F.array(*(F.lit(b) for b in sorted(set(bounds)))), lambda b: b < F.col(time))) if bounds else F.lit(0)
+    return F.array_size(F.filter(F.array(*(F.lit(b) for b in sorted(set(bounds)))), lambda b: b < F.col(time))) if bounds else None
 
 
 def assign_versions(new: DataFrame, latest: DataFrame | None = None, rows_a_piece: int = 1_000_000) -> DataFrame:
@@ -59,14 +59,18 @@ def assign_versions(new: DataFrame, latest: DataFrame | None = None, rows_a_piec
     A segmented scan: rows are ranked within (resource, piece of time), and a row per resource and piece, its count and its last
     capture, is carried to the next piece. So a resource with a third of all rows is as many tasks as it has pieces.
     """
-    n = new.withColumn("_piece", _pieces(new, "fetched_at", rows_a_piece))
+    piece = _pieces(new, "fetched_at", rows_a_piece)
+    n = new.withColumn("_piece", F.lit(0) if piece is None else piece)
     w = Window.partitionBy("resource_key", "_piece").orderBy("fetched_at", "asset_id")
     over = Window.partitionBy("resource_key").orderBy("_piece")
     ends = n.groupBy("resource_key", "_piece").agg(F.count("*").alias("_n"), F.max_by(F.struct("asset_id", "sha256"), F.struct("fetched_at", "asset_id")).alias("_last"))
     carried = ends.select(F.col("resource_key").alias("_key"), F.col("_piece").alias("_in"), (F.sum("_n").over(over) - F.col("_n")).alias("_before"), F.lag("_last").over(over).alias("_carried"))
     carried = carried.where("_before > 0")
     ranked = n.withColumns({"version_no": F.row_number().over(w), "_pa": F.lag("asset_id").over(w), "_ps": F.lag("sha256").over(w), "_at": F.lag(F.lit(1)).over(w)})
-    out = ranked.join(carried, ranked["resource_key"].eqNullSafe(carried["_key"]) & (ranked["_piece"] == carried["_in"]), "left")
+    if piece is None:
+        out = ranked.withColumns({"_before": F.lit(None).cast("long"), "_carried": F.lit(None).cast(carried.schema["_carried"].dataType)})
+    else:
+        out = ranked.join(carried, ranked["resource_key"].eqNullSafe(carried["_key"]) & (ranked["_piece"] == carried["_in"]), "left")
     if latest is not None:
         known = latest.select(F.col("resource_key").alias("_known"), F.col("asset_id").alias("_a"), F.col("sha256").alias("_s"), F.col("version_no").alias("_v"))
         out = out.join(known, F.col("resource_key").eqNullSafe(F.col("_known")), "left")

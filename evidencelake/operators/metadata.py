@@ -113,12 +113,24 @@ def article_metadata(pages: DataFrame, platforms: DataFrame | None = None, parse
 
 
 def extract_identifiers(df: DataFrame, key: str, text: str, enabled: DataFrame | None = None) -> DataFrame:
-    """(key, position, type, value): each identifier of a row once, in the order of types and first places."""
-    hits = df.select(key, F.posexplode(X.identifiers(F.col(text))).alias("at", "i")).select(key, "at", "i.*")
+    """(key, position, type, value): each identifier of a row once, in the order of types and first places.
+
+    All is local to the row: hits are sorted by what they name, the first of each kept and put back in their order. No shuffle.
+    """
+    kinds = tuple(X.IDENTIFIERS)
     if enabled is not None:
-        hits = hits.join(F.broadcast(enabled.where("enabled").select("type")), "type", "left_semi")  # one row per type
-    first = hits.groupBy(key, "type", "key").agg(F.min("at").alias("at"), F.min_by("value", "at").alias("value"))
-    return first.select(key, F.row_number().over(Window.partitionBy(key).orderBy("at")).alias("position"), "type", "value")
+        on = {r[0] for r in enabled.where("enabled").where(F.col("type").isin(*kinds)).select("type").distinct().collect()}  # as many as there are types
+        kinds = tuple(k for k in kinds if k in on)
+    if not kinds:
+        return df.select(key, F.lit(None).cast("int").alias("position"), F.lit("").alias("type"), F.lit("").alias("value")).where("false")
+    named = F.array_sort(F.transform(X.identifiers(F.col(text), kinds), lambda x, i: F.struct(x["type"].alias("type"), x["key"].alias("key"), i.alias("at"), x["value"].alias("value"))))
+
+    def first(sorted_: Column) -> Column:
+        kept = F.filter(sorted_, lambda x, i: (i == 0) | (F.get(sorted_, i - 1)["type"] != x["type"]) | (F.get(sorted_, i - 1)["key"] != x["key"]))
+        return F.array_sort(F.transform(kept, lambda x: F.struct(x["at"].alias("at"), x["type"].alias("type"), x["value"].alias("value"))))
+
+    once = F.get(F.transform(F.array(named), first), F.lit(0))  # bound to a variable, so that it is made once
+    return df.select(key, F.posexplode(once).alias("pos", "i")).select(key, (F.col("pos") + 1).alias("position"), "i.type", "i.value")
 
 
 def build_evidence_meta(df: DataFrame) -> DataFrame:
