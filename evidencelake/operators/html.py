@@ -1,5 +1,5 @@
-"""HTML jobs: one Python pass makes a node table, the rest is Spark SQL over it. (The gate and the converter, which need no
-node table, are in page_pass.)
+"""HTML jobs: one Python pass makes a node table, the rest is Spark SQL over it. (The gate, the converter and the focused
+text, which need no node table, are in page_pass.)
 
 Nodes have preorder ids and end_id (the last id inside), so that ancestry is an interval. Text runs are rows of tag '#text';
 they and paragraphs carry the path of their ancestors: dropping noise is a narrow filter, counting by container no join.
@@ -158,13 +158,18 @@ def visible_text_exact(nodes: DataFrame) -> DataFrame:
     return t.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", _stripped(F.col("text")).alias("t")))), lambda x: x["t"]), " ").alias("text"))
 
 
+def _link_above() -> Column:
+    """The nearest link around a node; -1 where there is none."""
+    return F.coalesce(F.array_max(F.transform(F.filter("path", lambda x: x["tag"] == "a"), lambda x: x["node_id"])), F.lit(-1))
+
+
 def link_density(nodes: DataFrame) -> DataFrame:
-    """(page_id, node_id, total, link): stripped characters in each container, and those of them inside links.
+    """(page_id, node_id, total, link): stripped characters in each container, and those of them in links inside it.
 
     Texts meet their containers by their own path, so there is one exchange at most, on page_id.
     """
-    t = nodes.where("tag = '#text'").select("page_id", F.length(_stripped(F.col("text"))).alias("n"), F.exists("path", lambda p: p["tag"] == "a").alias("in_link"), F.explode("path").alias("p"))
-    t = t.where(F.col("p.tag").isin(*DENSITY_TAGS))
+    t = nodes.where("tag = '#text'").select("page_id", F.length(_stripped(F.col("text"))).alias("n"), _link_above().alias("a"), F.explode("path").alias("p"))
+    t = t.where(F.col("p.tag").isin(*DENSITY_TAGS)).withColumn("in_link", F.col("a") > F.col("p.node_id"))
     return t.groupBy("page_id", F.col("p.node_id").alias("node_id"), F.col("p.tag").alias("tag"), F.col("p.dom_id").alias("dom_id"), F.col("p.classes").alias("classes")).agg(
         F.sum("n").cast("long").alias("total"), F.sum(F.when(F.col("in_link"), F.col("n")).otherwise(0)).cast("long").alias("link")
     )
@@ -180,7 +185,8 @@ def prune_link_density(nodes: DataFrame, threshold: float = 0.5) -> DataFrame:
     return j.where(~F.col("tag").isin("#text", "p") | F.col("_doomed").isNull() | ~F.arrays_overlap(F.transform("path", lambda p: p["node_id"]), F.col("_doomed"))).drop("_doomed")
 
 
-def _selector_rank(selectors: tuple[str, ...]) -> Column:
+def _selector_ranks(selectors: tuple[str, ...]) -> Column:
+    """The numbers of all selectors that a node fits."""
     hits = []
     for i, s in enumerate(selectors):
         if s.startswith("#"):
@@ -192,7 +198,7 @@ def _selector_rank(selectors: tuple[str, ...]) -> Column:
         else:
             c = F.col("tag") == s
         hits.append(F.when(c, i))
-    return F.array_min(F.array_compact(F.array(*hits)))
+    return F.array_compact(F.array(*hits))
 
 
 def _text_lengths(nodes: DataFrame) -> DataFrame:
@@ -202,7 +208,7 @@ def _text_lengths(nodes: DataFrame) -> DataFrame:
 
 def content_root(nodes: DataFrame, selectors: tuple[str, ...] = ROOT_SELECTORS, least: int = 60) -> DataFrame:
     """(page_id, node_id, end_id): the first selector's first node whose text is long enough; pages without one fall back to body."""
-    ranked = nodes.where("tag <> '#text'").select("page_id", "node_id", "end_id", "tag", _selector_rank(selectors).alias("rank")).where("rank is not null or tag = 'body'")
+    ranked = nodes.where("tag <> '#text'").select("page_id", "node_id", "end_id", "tag", F.explode_outer(_selector_ranks(selectors)).alias("rank")).where("rank is not null or tag = 'body'")
     first = Window.partitionBy("page_id", "rank").orderBy("node_id")
     ranked = ranked.withColumn("_n", F.row_number().over(first)).where("_n = 1 or tag = 'body'")
     sized = ranked.join(_text_lengths(nodes), ["page_id", "node_id"], "left").where((F.coalesce("chars", F.lit(0)) >= least) & F.col("rank").isNotNull() | (F.col("tag") == "body"))
@@ -215,15 +221,14 @@ def main_content(nodes: DataFrame) -> DataFrame:
 
     Containers meet the texts, links and paragraphs inside them by those rows' own paths, in one aggregation.
     """
-    known, box = _selector_rank(MAIN_SELECTORS), F.col("tag").isin("div", "section")
+    known, box = _selector_ranks(MAIN_SELECTORS), F.col("tag").isin("div", "section")
     none = lambda kind: F.lit(None).cast(kind)
-    containers = nodes.where(F.col("tag") != "#text").select("page_id", "node_id", "end_id", known.alias("rank"), box.alias("box"), F.lit(0).alias("n"), F.lit(0).alias("link"), F.lit(0).alias("p")).where("rank is not null or box")
+    containers = nodes.where(F.col("tag") != "#text").select("page_id", "node_id", "end_id", known.alias("ranks"), box.alias("box"), F.lit(0).alias("n"), F.lit(0).alias("link"), F.lit(0).alias("p")).where("size(ranks) > 0 or box")
     text = F.col("tag") == "#text"
-    anchor = F.array_max(F.transform(F.filter("path", lambda x: x["tag"] == "a"), lambda x: x["node_id"]))
-    inside = nodes.where(F.col("tag").isin("#text", "p")).select("page_id", F.when(text, F.length(_stripped(F.col("text")))).otherwise(0).alias("n"), F.coalesce(anchor, F.lit(-1)).alias("a"), (~text).cast("int").alias("p"), F.explode(F.transform("path", lambda x: x["node_id"])).alias("node_id"))
-    inside = inside.select("page_id", "node_id", none("int").alias("end_id"), none("int").alias("rank"), none("boolean").alias("box"), "n", F.when(F.col("a") > F.col("node_id"), F.col("n")).otherwise(0).alias("link"), "p")
-    sized = containers.unionByName(inside).groupBy("page_id", "node_id").agg(F.max("end_id").alias("end_id"), F.max("rank").alias("rank"), F.max("box").alias("box"), F.sum("n").alias("chars"), (F.sum("n") + 40 * F.sum("p") - 2 * F.sum("link")).alias("score")).where("end_id is not null")
-    firsts = sized.where("rank is not null").groupBy("page_id", "rank").agg(F.min_by(F.struct("node_id", "end_id", "chars"), "node_id").alias("r")).where("r.chars >= 120")
+    inside = nodes.where(F.col("tag").isin("#text", "p")).select("page_id", F.when(text, F.length(_stripped(F.col("text")))).otherwise(0).alias("n"), _link_above().alias("a"), (~text).cast("int").alias("p"), F.explode(F.transform("path", lambda x: x["node_id"])).alias("node_id"))
+    inside = inside.select("page_id", "node_id", none("int").alias("end_id"), none("array<int>").alias("ranks"), none("boolean").alias("box"), "n", F.when(F.col("a") > F.col("node_id"), F.col("n")).otherwise(0).alias("link"), "p")
+    sized = containers.unionByName(inside).groupBy("page_id", "node_id").agg(F.max("end_id").alias("end_id"), F.max("ranks").alias("ranks"), F.max("box").alias("box"), F.sum("n").alias("chars"), (F.sum("n") + 40 * F.sum("p") - 2 * F.sum("link")).alias("score")).where("end_id is not null")
+    firsts = sized.select("page_id", "node_id", "end_id", "chars", F.explode("ranks").alias("rank")).groupBy("page_id", "rank").agg(F.min_by(F.struct("node_id", "end_id", "chars"), "node_id").alias("r")).where("r.chars >= 120")
     firsts = firsts.select("page_id", "r.node_id", "r.end_id", F.col("rank").alias("_k"), F.lit(0).cast("long").alias("score"))
     scored = sized.where("box and chars >= 100 and score > 0").select("page_id", "node_id", "end_id", F.lit(999).alias("_k"), "score")
     best = firsts.unionByName(scored).groupBy("page_id").agg(F.min_by(F.struct("node_id", "end_id", "score"), F.struct("_k", -F.col("score"), "node_id")).alias("r"))
@@ -253,33 +258,6 @@ def to_markdown(nodes: DataFrame, roots: DataFrame, titles: DataFrame | None = N
     return j.select("page_id", F.when(F.col("title").isNotNull() & ~F.col("markdown").startswith("# "), F.concat(F.lit("# "), "title", F.lit("\n\n"), "markdown")).otherwise(F.col("markdown")).alias("markdown"))
 
 
-def page_titles(nodes: DataFrame) -> DataFrame:
-    """(page_id, title): the first h1, else the first title, of two characters or more; elements inside STRIPPED_TAGS don't count."""
-    place = lambda *tags: F.array_sort(F.collect_list(F.when(F.col("tag").isin(*tags), F.struct("node_id", "end_id"))))
-    found = nodes.where(F.col("tag").isin("h1", "title", *STRIPPED_TAGS)).groupBy("page_id").agg(place("h1").alias("h1"), place("title").alias("title"), place(*STRIPPED_TAGS).alias("cut"))
-    first = lambda c: F.get(F.filter(c, lambda x: ~F.exists("cut", lambda s: x["node_id"].between(s["node_id"], s["end_id"]))), F.lit(0))["node_id"]
-    heads = found.select("page_id", F.explode(F.array(F.struct(F.lit(0).alias("rank"), first("h1").alias("head")), F.struct(F.lit(1).alias("rank"), first("title").alias("head")))).alias("h")).select("page_id", "h.*")
-    runs = nodes.where((F.col("tag") == "#text") & ~F.exists("path", lambda p: p["tag"].isin(*STRIPPED_TAGS)))
-    runs = runs.select("page_id", "node_id", "text", F.explode(F.filter("path", lambda p: p["tag"].isin("h1", "title"))).alias("p")).select("page_id", "node_id", F.regexp_replace("text", r"^\s+|\s+$", "").alias("t"), F.col("p.node_id").alias("head"))
-    texts = runs.join(heads, ["page_id", "head"]).groupBy("page_id", "rank").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "t"))), lambda x: x["t"]), "").alias("title")).where(F.length("title") >= 2)
-    return texts.groupBy("page_id").agg(F.min_by("title", "rank").alias("title"))
-
-
-def focused_text(pages: DataFrame) -> DataFrame:
-    """(page_id, text) for a model's prompt, for every page_id: pruned, main content (else body, else the whole page), runs
-    joined by newlines. A title that the text lacks stands before it; pages without any text have an empty one."""
-    every = html_nodes(pages)
-    nodes = prune_link_density(drop_noise(every))
-    roots = main_content(nodes).select("page_id", "node_id", "end_id")
-    body = nodes.where("tag = 'body'").groupBy("page_id").agg(F.min_by(F.struct("node_id", "end_id"), "node_id").alias("b"))
-    ids = pages.select(F.col("page_id").cast("long").alias("page_id")).where("page_id is not null").distinct()
-    root = ids.join(body, "page_id", "left").join(roots, "page_id", "left").select("page_id", F.coalesce("node_id", "b.node_id", F.lit(0)).alias("_root"), F.coalesce("end_id", "b.end_id", F.lit(2**31 - 1)).alias("_end"))
-    t = nodes.where("tag = '#text'").join(root, "page_id").where("node_id between _root and _end")
-    texts = t.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", _stripped(F.col("text")).alias("t")))), lambda x: x["t"]), "\n").alias("text"))
-    j = ids.join(texts, "page_id", "left").join(page_titles(every), "page_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
-    return j.select("page_id", F.when(F.col("title").isNotNull() & ~F.contains("text", "title"), F.concat(F.lit("【页面标题】："), "title", F.lit("\n\n"), "text")).otherwise(F.col("text")).alias("text"))
-
-
 def image_urls(nodes: DataFrame) -> DataFrame:
     """(page_id, position, url): images below #js_article, data-src before src, absolute only, each once in first-seen order."""
     roots = nodes.where("dom_id = 'js_article'").groupBy("page_id").agg(F.min_by(F.struct("node_id", "end_id"), "node_id").alias("r"))

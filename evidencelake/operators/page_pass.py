@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import islice
+from itertools import accumulate, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,6 +22,7 @@ NAME_LABELS = ("作者：", "作者:", "记者：", "记者:", "来源：", "来
 LABEL = re.compile(r"(?:来源|作者|文/|记者|本文来源|来源机构)[：:\s]+([^\s·|/]{2,30})")
 SHORT_LABEL = re.compile(r"(?:作者|记者|来源)[：:\s]+([^\s·|/]{2,30})")
 SPECIAL_HOST = "mp.weixin.qq.com"
+PAGE_TITLE = "【页面标题】："
 
 _PRUNED_IDS = ("footer", "header", "sidebar", "nav", "fixMenuBar")
 
@@ -50,22 +51,35 @@ def visible(rows: list[dict]) -> str:
     return " ".join(r["text"].strip() for r in rows if r["text"] is not None and low <= r["node_id"] <= high and not gone[r["node_id"]])
 
 
-def _link_lists(rows: list[dict], gone: list[bool]) -> set[int]:
-    """Containers that are half links or more, unless a core word protects them; measured before any of them is cut."""
-    total: dict[int, int] = {}
-    link: dict[int, int] = {}
+def _inside(rows: list[dict], gone: list[bool], tags: tuple[str, ...]) -> dict[int, list[int]]:
+    """Per element of these tags that holds anything: characters of what is left in it, those of them in links inside it, paragraphs."""
+    found: dict[int, list[int]] = {}
     for r in rows:
-        if r["text"] is None or gone[r["node_id"]]:
+        if r["path"] is None or gone[r["node_id"]]:
             continue
-        n, in_link = len(r["text"].strip()), False
+        n, paragraph, in_link = len((r["text"] or "").strip()), r["text"] is None, False
         for i in reversed(r["path"]):
             tag = rows[i]["tag"]
-            if tag in H.DENSITY_TAGS:
-                total[i] = total.get(i, 0) + n
-                link[i] = link.get(i, 0) + n * in_link
+            if tag in tags:
+                sums = found.setdefault(i, [0, 0, 0])
+                sums[0] += n
+                sums[1] += n * in_link
+                sums[2] += paragraph
             in_link = in_link or tag == "a"
+    return found
+
+
+def _link_lists(rows: list[dict], gone: list[bool]) -> set[int]:
+    """Containers that are half links or more, unless a core word protects them; measured before any of them is cut."""
     names = lambda r: f"{r['dom_id'] or ''} {' '.join(r['classes'])}".lower()
-    return {i for i, n in total.items() if n >= 6 and link[i] > 0 and 2 * link[i] >= n and not any(w in names(rows[i]) for w in H.CORE_WORDS)}
+    return {i for i, (n, link, _) in _inside(rows, gone, H.DENSITY_TAGS).items() if n >= 6 and link > 0 and 2 * link >= n and not any(w in names(rows[i]) for w in H.CORE_WORDS)}
+
+
+def _cut(rows: list[dict]) -> list[bool]:
+    """Per node whether the converter's noise rule or the density of links takes it."""
+    gone = _inherited(rows, _pruned)
+    doomed = _link_lists(rows, gone)
+    return _inherited(rows, lambda r: gone[r["node_id"]] or r["node_id"] in doomed)
 
 
 def _fits(r: dict, selector: str) -> bool:
@@ -78,14 +92,13 @@ def _fits(r: dict, selector: str) -> bool:
 
 def markdown(rows: list[dict], selectors: tuple[str, ...] = H.ROOT_SELECTORS, least: int = 60, to_body: bool = True) -> str:
     """Pruned, below the root: the first selector whose first node has at least `least` characters, else the body (to_body), else the page."""
-    gone = _inherited(rows, _pruned)
-    doomed = _link_lists(rows, gone)
-    gone = _inherited(rows, lambda r: gone[r["node_id"]] or r["node_id"] in doomed)
+    gone = _cut(rows)
     runs = [r for r in rows if r["text"] is not None and not gone[r["node_id"]]]
     held = [r for r in rows if r["text"] is None and not gone[r["node_id"]]]
+    starts = [r["node_id"] for r in runs]
 
     def chars(r: dict) -> int:
-        return sum(len(t["text"].strip()) for t in runs if r["node_id"] < t["node_id"] <= r["end_id"])
+        return sum(len(t["text"].strip()) for t in runs[bisect_right(starts, r["node_id"]) : bisect_right(starts, r["end_id"])])
 
     firsts = (next((r for r in held if _fits(r, s)), None) for s in selectors)
     root = next((r for r in firsts if r is not None and chars(r) >= least), None)
@@ -109,6 +122,56 @@ def markdown(rows: list[dict], selectors: tuple[str, ...] = H.ROOT_SELECTORS, le
     return ("\n\n".join(out) or "\n".join(plain)).strip()
 
 
+def _title(rows: list[dict]) -> str | None:
+    """The first h1, else the first title, of two characters or more; what lies in stripped tags doesn't count."""
+    cut = _inherited(rows, lambda r: r["tag"] in H.STRIPPED_TAGS)
+    for tag in ("h1", "title"):
+        head = next((r for r in rows if r["tag"] == tag and not cut[r["node_id"]]), None)
+        if head is not None:
+            text = _joined([t["text"] for t in rows[head["node_id"] : head["end_id"] + 1] if t["text"] is not None and not cut[t["node_id"]]])
+            if len(text) >= 2:
+                return text
+    return None
+
+
+def focused(rows: list[dict]) -> str:
+    """A page for a model's prompt: pruned, the runs of its main content a line each, below a title that they lack.
+
+    Main content is a known container of 120 characters or more (of each selector the first left), else the div or section of 100
+    or more with the highest score (characters, 40 for a paragraph, minus 2 for a character in a link; above 0, ties to the outer
+    or earlier one), else the body, else the page.
+    """
+    gone = _cut(rows)
+    held = [r for r in rows if r["text"] is None and not gone[r["node_id"]]]
+    runs = [r for r in rows if r["text"] is not None and not gone[r["node_id"]]]
+    starts, ends = [r["node_id"] for r in runs], list(accumulate((len(r["text"].strip()) for r in runs), initial=0))
+
+    def chars(r: dict) -> int:
+        return ends[bisect_right(starts, r["end_id"])] - ends[bisect_right(starts, r["node_id"])]
+
+    firsts = (next((r for r in held if _fits(r, s)), None) for s in H.MAIN_SELECTORS)
+    root = next((r for r in firsts if r is not None and chars(r) >= 120), None)
+    if root is None:
+        boxes = [(n + 40 * p - 2 * link, -i) for i, (n, link, p) in _inside(rows, gone, ("div", "section")).items() if n >= 100]
+        score, at = max(boxes, default=(0, 0))
+        root = rows[-at] if score > 0 else next((r for r in held if r["tag"] == "body"), None)
+    low, high = (root["node_id"], root["end_id"]) if root else (-1, len(rows))
+    text = "\n".join(r["text"].strip() for r in runs if low < r["node_id"] <= high)
+    title = _title(rows)
+    return f"{PAGE_TITLE}{title}\n\n{text}" if title and title not in text else text
+
+
+def focused_text(pages: DataFrame) -> DataFrame:
+    """(page_id, text) of every row of pages (page_id, html), as `focused` has it; null and empty pages have an empty text."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [focused(H.parse_nodes(h)) for h in batch.column("html").to_pylist()]
+            yield pa.record_batch([batch.column("page_id"), pa.array(texts, pa.string())], ["page_id", "text"])
+
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html")).mapInArrow(rows, "page_id long, text string")
+
+
 def with_visible(pages: DataFrame) -> DataFrame:
     """pages with `visible`, the gate's text of html (string, null: empty)."""
 
@@ -151,14 +214,30 @@ def _joined(parts: list[str]) -> str:
     return "".join(p.strip() for p in parts)
 
 
+def _short_texts(rows: list[dict], tags: tuple[str, ...], most: int) -> Iterator[str]:
+    """The joined texts of the elements of these tags that have at most `most` characters; longer ones are left as soon as they are."""
+    runs = [r for r in rows if r["text"] is not None]
+    starts = [r["node_id"] for r in runs]
+    for r in rows:
+        if r["tag"] not in tags:
+            continue
+        parts, left = [], most
+        for k in range(bisect_right(starts, r["node_id"]), len(runs)):
+            if starts[k] > r["end_id"] or left < 0:
+                break
+            parts.append(runs[k]["text"].strip())
+            left -= len(parts[-1])
+        if left >= 0:
+            yield "".join(parts)
+
+
 def dates_of(rows: list[dict]) -> list[str]:
     """Texts that may hold the publication date, in the rules' order: the usual containers (five of each at most), then labelled short texts."""
     out = []
     for s in PUBLISHED:
         out += [r["attrs"].get("datetime") or "".join(t) for r, t in islice(_elements(rows, lambda r, s=s: _fits(r, s)), 5)]
-    for _, t in _elements(rows, lambda r: r["tag"] in ("div", "span", "p", "time")):
-        text = _joined(t)
-        if 6 <= len(text) <= 60 and "星期" not in text and any(k in text for k in DATE_LABELS):
+    for text in _short_texts(rows, ("div", "span", "p", "time"), 60):
+        if len(text) >= 6 and "星期" not in text and any(k in text for k in DATE_LABELS):
             out.append(text)
     return out
 
@@ -169,9 +248,8 @@ def author_of(rows: list[dict]) -> str | None:
         for _, t in islice(_elements(rows, lambda r, s=s: _fits(r, s)), 5):
             if m := LABEL.search(_joined(t)):
                 return m.group(1).strip()
-    for _, t in _elements(rows, lambda r: r["tag"] in ("p", "span", "div")):
-        text = _joined(t)
-        if 3 <= len(text) <= 50 and any(k in text for k in NAME_LABELS) and (m := SHORT_LABEL.search(text)):
+    for text in _short_texts(rows, ("p", "span", "div"), 50):
+        if len(text) >= 3 and any(k in text for k in NAME_LABELS) and (m := SHORT_LABEL.search(text)):
             return m.group(1).strip()
     return None
 

@@ -115,10 +115,14 @@ def h8_prune_link_density(t: Tables) -> DataFrame:
     return left.groupBy("page_id").agg(F.sum(F.length(F.regexp_replace("text", r"^\s+|\s+$", ""))).alias("chars"))
 
 
-_LEFT = "html"
-for _t in H.NOISE_TAGS:
-    _LEFT = f"regexp_replace({_LEFT}, '(?is)<{_t}\\b[^>]*>.*?</{_t}\\s*>', '<>', 'g')"
-_LEFT = f"list_filter(list_transform(regexp_split_to_array(regexp_replace({_LEFT}, '(?s)<!--.*?-->', '<>', 'g'), '(?s)<[^>]*>'), lambda s: regexp_replace(replace(replace(s, '&quot;', '\"'), '&amp;', '&'), '^\\s+|\\s+$', '', 'g')), lambda s: s <> '')"
+def _runs(x: str, tags: tuple[str, ...] = H.NOISE_TAGS) -> str:
+    """SQL for the list of stripped text runs of some markup, without these elements."""
+    for t in tags:
+        x = f"regexp_replace({x}, '(?is)<{t}\\b[^>]*>.*?</{t}\\s*>', '<>', 'g')"
+    return f"list_filter(list_transform(regexp_split_to_array(regexp_replace({x}, '(?s)<!--.*?-->', '<>', 'g'), '(?s)<[^>]*>'), lambda s: regexp_replace(replace(replace(s, '&quot;', '\"'), '&amp;', '&'), '^\\s+|\\s+$', '', 'g')), lambda s: s <> '')"
+
+
+_LEFT = _runs("html")
 
 
 @query(f"SELECT page_id, len({_LEFT})::BIGINT AS runs, 0::BIGINT AS nav_runs, array_to_string({_LEFT}, '|') AS text FROM pages")

