@@ -30,20 +30,21 @@ def run_once(df: DataFrame, path: str, checkpoint: str, mode: str = "append") ->
 def ingest_stream(outbox: DataFrame, assets: DataFrame, converter: Callable[[DataFrame], DataFrame], fingerprint: str, evidence_path: str, checkpoint: str) -> StreamingQuery:
     """Evidence for each raw_asset.created event whose asset has none yet for this fingerprint; failures stay rows with an error_code.
 
-    outbox (event_id, event_type, aggregate_id); assets (asset_id, ...); converter: assets -> (asset_id, markdown, error_code).
+    outbox (event_id, event_type, aggregate_id); assets (asset_id, ...); converter: assets -> (asset_id, markdown, error_code). The
+    evidence has a folder per fingerprint; a batch looks for its assets in this fingerprint's ids alone.
     """
+    own = f"{evidence_path}/pipeline_fingerprint={fingerprint}"
 
     def batch(events: DataFrame, _: int) -> None:
         spark = events.sparkSession
         wanted = events.where("event_type = 'raw_asset.created'").select(F.col("aggregate_id").alias("asset_id")).distinct()
         new = assets.join(wanted, "asset_id", "left_semi")
         try:
-            have = spark.read.parquet(evidence_path).where(F.col("pipeline_fingerprint") == fingerprint)
-            new = new.join(have.select("asset_id"), "asset_id", "left_anti")
+            new = new.join(spark.read.parquet(own).select("asset_id").join(wanted, "asset_id", "left_semi"), "asset_id", "left_anti")
         except AnalysisException as e:  # the first batch has no table yet
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-        converter(new).withColumn("pipeline_fingerprint", F.lit(fingerprint)).write.mode("append").parquet(evidence_path)
+        converter(new).write.mode("append").parquet(own)
 
     return outbox.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
