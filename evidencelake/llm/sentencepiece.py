@@ -212,6 +212,8 @@ def _split(model: str, size: int):
         for batch in batches:
             for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 got = list(chunks(v, v.sp.normalize(text), size))
+                if not got:
+                    continue
                 yield pa.record_batch([pa.array([key] * len(got), pa.binary()), *(pa.array(x) for x in zip(*got, strict=True))], ["key", "chunk", "body", "lft", "rgt", "at_start", "at_end"]).cast(_arrow_chunk())
 
     return rows
@@ -267,31 +269,46 @@ def _hand_down(table: pa.Table) -> pa.Table:
 
 
 def _whole_path(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The root's one path: from the document's beginning to its end."""
+    """The root's one path: from the document's beginning to its end. A document without a legal one has no row."""
     for batch in batches:
-        ends = [[0, 0, *min(_matrix(c)[0, 0])] for c in batch.column("cells").to_pylist()]
-        yield pa.record_batch([batch.column("key"), batch.column("node"), pa.array(ends, pa.list_(pa.int32()))], ["key", "node", "between"])
+        leave = [min(_matrix(c).get((0, 0), ()), default=None) for c in batch.column("cells").to_pylist()]
+        some = batch.filter(pa.array([x is not None for x in leave], pa.bool_()))
+        ends = [[0, 0, *x] for x in leave if x is not None]
+        yield pa.record_batch([some.column("key"), some.column("node"), pa.array(ends, pa.list_(pa.int32()))], ["key", "node", "between"])
 
 
 _NODE, _BETWEEN = "key binary, node int, cells array<int>", "key binary, node int, between array<int>"
 
 
-def boundary_states(cells: DataFrame) -> DataFrame:
-    """(key, node, between): the states around each chunk, from the chunks' matrices (key, node, cells), node counting from 0."""
+def _tree(cells: DataFrame) -> list[DataFrame]:
+    """The chunks' matrices, then those of pairs, of pairs of pairs, up to one a document: a table per level."""
     levels = [cells]
     last = cells.agg(F.max("node")).first()[0] or 0
     while last:
         paired = levels[-1].groupBy("key", F.shiftright("node", 1)).applyInArrow(_pair, _NODE)
         levels.append(materialize(paired, f"level-{len(levels)}"))
         last >>= 1
-    between = levels.pop().mapInArrow(_whole_path, _BETWEEN)
-    for level in reversed(levels):
+    return levels
+
+
+def _down(levels: list[DataFrame]) -> DataFrame:
+    """(key, node, between): the states around each chunk of the documents that have a legal path."""
+    between = levels[-1].mapInArrow(_whole_path, _BETWEEN)
+    for level in reversed(levels[:-1]):
         above = between.select("key", F.col("node").alias("pair"), F.col("between").alias("around"))
         both = level.withColumn("pair", F.shiftright("node", 1)).join(above, ["key", "pair"])
         between = both.groupBy("key", "pair").applyInArrow(_hand_down, _BETWEEN)
     return between
 
 
+def boundary_states(cells: DataFrame) -> DataFrame:
+    """(key, node, between): the states around each chunk, from the chunks' matrices (key, node, cells), node counting from 0.
+
+    A document for which the vocabulary has no legal path has no rows.
+    """
+    return _down(_tree(cells))
+
+
 def _trace(model: str):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = load(model)
@@ -321,12 +338,19 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
 
 
 def encode_giants(texts: DataFrame, model: str = MODEL, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """(key, ids) for each row of texts (key binary, text), whose keys are unique."""
+    """(key, ids) for each row of texts (key binary, text), whose keys are unique. Where a model has no legal path (a text that it
+    normalises to nothing, pieces that its merges don't reach) the ids are the library's own."""
     parts = texts.select("key", "text").mapInArrow(_split(model, chunk_chars), _CHUNK)
     parts = materialize(parts.repartition(F.col("key"), F.col("chunk")), "chunks")
     cells = materialize(parts.mapInArrow(_matrices(model), _NODE), "level-0")
-    traced = parts.join(boundary_states(cells).withColumnRenamed("node", "chunk"), ["key", "chunk"]).mapInArrow(_trace(model), "key binary, chunk int, part array<int>")
-    return traced.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "part"))), lambda x: x["part"])).alias("ids"))
+    levels = _tree(cells)
+    traced = parts.join(_down(levels).withColumnRenamed("node", "chunk"), ["key", "chunk"]).mapInArrow(_trace(model), "key binary, chunk int, part array<int>")
+    ids = traced.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "part"))), lambda x: x["part"])).alias("ids"))
+    lost = texts.select("key").join(levels[-1].mapInArrow(_whole_path, _BETWEEN).select("key"), "key", "left_anti")
+    if lost.isEmpty():
+        return ids
+    own = texts.select("key", "text").join(lost, "key", "left_semi").withColumnRenamed("key", "doc_id")
+    return ids.unionByName(own.mapInArrow(_encode_whole(model), "doc_id binary, ids array<int>, round_trip boolean").select(F.col("doc_id").alias("key"), "ids"))
 
 
 def encode(docs: DataFrame, model: str = MODEL, giant_chars: int = GIANT_CHARS, chunk_chars: int = CHUNK_CHARS) -> DataFrame:

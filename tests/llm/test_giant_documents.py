@@ -50,3 +50,17 @@ def test_products_do_not_depend_on_their_order():
     assert left == right
     packed = pa.table({"key": [b"k"] * 2, "node": pa.array([1, 0], pa.int32()), "cells": pa.array([sentencepiece._pack([(a, b) for a, bs in x.items() for b in bs]) for x in (m[1], m[0])], pa.list_(pa.int32()))})
     assert sentencepiece._matrix(sentencepiece._pair(packed).column("cells")[0].as_py()) == sentencepiece.combine(m[0], m[1])
+
+
+def test_documents_without_a_legal_path(spark):
+    """They have no states, whatever the others have; the encoder's own ids are theirs."""
+    pack = lambda m: sentencepiece._pack([(a, b) for a, bs in m.items() for b in bs]).tolist()
+    start, other, end = (0, 0), (-1, 2), (-1, 0)
+    rows = [(b"a", 0, pack({start: [other]})), (b"a", 1, pack({other: [end]})), (b"b", 0, pack({start: [end]})), (b"b", 1, pack({other: [end]})), (b"c", 0, pack({start: [end]})), (b"d", 0, []), (b"e", 0, pack({other: [end]}))]
+    got = sentencepiece.boundary_states(spark.createDataFrame(rows, "key binary, node int, cells array<int>")).collect()
+    assert sorted((bytes(r["key"]), r["node"], tuple(r["between"])) for r in got) == [(b"a", 0, (*start, *other)), (b"a", 1, (*other, *end)), (b"c", 0, (*start, *end))]
+    v = sentencepiece.load(sentencepiece.MODEL)
+    texts = spark.createDataFrame([(b"x", ""), (b"y", "some words of a text " * 9)], "key binary, text string")  # an empty text has no chunk, so no path
+    assert {bytes(r["key"]): r["ids"] for r in sentencepiece.encode_giants(texts, chunk_chars=20).collect()} == {b"x": [], b"y": v.sp.encode("some words of a text " * 9)}
+    nothing = sentencepiece.encode_giants(texts.where("key = X'78'"))
+    assert [(bytes(r["key"]), r["ids"]) for r in nothing.collect()] == [(b"x", [])]
