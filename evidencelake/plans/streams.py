@@ -31,7 +31,7 @@ def _work(t: Tables, name: str) -> str:
 def _stream(t: Tables, name: str) -> DataFrame:
     """A table as a file stream; times without zone become instants in UTC."""
     batch = getattr(t, name)
-    s = t.spark.readStream.schema(batch.schema).option("pathGlobFilter", f"{name}*.parquet").option("recursiveFileLookup", "true").parquet(t.sf_dir)
+    s = t.spark.readStream.schema(batch.schema).parquet(f"{t.sf_dir}/{name}.parque[t]")  # a pattern, as a stream takes a single file only by one; a folder fits too
     return s.withColumns({f.name: F.col(f.name).cast("timestamp") for f in batch.schema if f.dataType.typeName() == "timestamp_ntz"})
 
 
