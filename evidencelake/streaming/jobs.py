@@ -5,9 +5,12 @@ Replays are safe: ids are hashes of what they name, sinks drop what they already
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -154,45 +157,88 @@ def stale_runs(runs: DataFrame, now: object, timeout_seconds: int) -> DataFrame:
     return runs.withColumn("status", F.when(stale, "pending").otherwise(F.col("status")))
 
 
-def _newest(frames: Iterator[pd.DataFrame], by: str) -> pd.Series | None:
-    """The row with the largest value of `by`, one frame at a time; the later of equal ones, null ones are nothing."""
+#: Hash buckets of the keys of a stream with state. A bucket is one state, so that a batch costs calls per bucket and not per key.
+BUCKETS = 1024
+
+
+def _bucket(key: str, buckets: int = BUCKETS) -> Column:
+    """The hash bucket of a key; -1, a bucket of its own, for null."""
+    return F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(buckets))).cast("int").alias("bucket")
+
+
+def _newest(frames: Iterable[pd.DataFrame], key: str, by: str) -> pd.DataFrame | None:
+    """The row of each key with the largest value of `by`, one frame at a time; the later of equal ones."""
     best = None
     for frame in frames:
-        known = frame[frame[by].notna()]
-        if len(known):
-            top = known.iloc[len(known) - 1 - int(known[by].to_numpy()[::-1].argmax())]
-            best = top if best is None or top[by] >= best[by] else best
+        both = frame if best is None else pd.concat([best, frame[best.columns]])
+        best = both.sort_values(by, kind="stable").drop_duplicates(key, keep="last")
     return best
 
 
-def _only_timer(handle: StatefulProcessorHandle, at_ms: int) -> None:
-    for t in list(handle.listTimers()):
-        handle.deleteTimer(t)
-    handle.registerTimer(at_ms)
+class _Bucket(StatefulProcessor):
+    """The rows of a bucket's keys as one value of state, which is read and written once per batch, and one timer: the next that is due."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.state = handle, handle.getValueState("rows", "rows binary")
+
+    def kept(self) -> pd.DataFrame | None:
+        return pa.ipc.open_stream(bytes(self.state.get()[0])).read_pandas() if self.state.exists() else None
+
+    def keep(self, frame: pd.DataFrame) -> None:
+        if len(frame) == 0:
+            self.state.clear()
+            return
+        table, sink = pa.Table.from_pandas(frame, preserve_index=False), pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_table(table)
+        self.state.update((sink.getvalue().to_pybytes(),))
+
+    def only_timer(self, at_ms: int | None) -> None:
+        for t in list(self.handle.listTimers()):
+            if t != at_ms:
+                self.handle.deleteTimer(t)
+        if at_ms is not None:
+            self.handle.registerTimer(at_ms)
+
+    def expired(self, due_ms: Callable[[pd.DataFrame], pd.Series], clock_ms: int) -> pd.DataFrame | None:
+        """The rows whose time the clock has reached; the others stay, with a timer for the next of them."""
+        frame = self.kept()
+        if frame is None:
+            return None
+        due = due_ms(frame)
+        rest = due > clock_ms
+        self.keep(frame[rest])
+        if rest.any():
+            self.handle.registerTimer(int(due[rest].min()))
+        return frame[~rest]
+
+
+def _ids(ids: pd.Series, bucket: int) -> object:
+    return pd.array([None] * len(ids) if bucket == -1 else ids.to_numpy(), "Int64")
 
 
-class _Stale(StatefulProcessor):
-    """A run's newest status and its time. Older rows change nothing; a run that doesn't run ends as the clock reaches its row,
+class _Stale(_Bucket):
+    """Each run's newest status and its time. Older rows change nothing; a run that doesn't run ends as the clock reaches its row,
     from when on Spark itself drops older ones."""
 
     def __init__(self, timeout_ms: int) -> None:
         self.timeout_ms = timeout_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.state = handle, handle.getValueState("run", "status string, at_us long")
+    def due(self, frame: pd.DataFrame) -> pd.Series:
+        return frame["at_us"] // 1000 + np.where(frame["running"], self.timeout_ms, 1)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803, ARG002
-        last = _newest(rows, "at_us")
-        if last is not None and (not self.state.exists() or last["at_us"] >= self.state.get()[1]):
-            self.state.update((last["status"], int(last["at_us"])))
-            _only_timer(self.handle, int(last["at_us"]) // 1000 + (self.timeout_ms if last["status"] == "running" else 1))
+        old = self.kept()
+        new = _newest(chain([] if old is None else [old], (r[["run_id", "running", "at_us"]] for r in rows)), "run_id", "at_us")
+        self.keep(new)
+        self.only_timer(int(self.due(new).min()))
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803, ARG002
-        running = self.state.exists() and self.state.get()[0] == "running"
-        self.state.clear()
-        if running:
-            yield pd.DataFrame({"run_id": [key[0]], "status": ["pending"]})
+        over = self.expired(self.due, timerValues.getCurrentWatermarkInMs())
+        if over is not None and over["running"].any():
+            ids = over["run_id"][over["running"]]
+            yield pd.DataFrame({"run_id": _ids(ids, key[0]), "status": "pending"})
 
 
 def stale_runs_stream(updates: DataFrame, timeout_seconds: int, delay: str = "0 seconds") -> DataFrame:
@@ -200,7 +246,9 @@ def stale_runs_stream(updates: DataFrame, timeout_seconds: int, delay: str = "0
 
     State ends: a run that is given back, or that has another status than running, is forgotten once the clock has passed its row.
     """
-    return updates.withWatermark("updated_at", delay).withColumn("at_us", F.unix_micros("updated_at")).groupBy("run_id").transformWithStateInPandas(_Stale(timeout_seconds * 1000), "run_id long, status string", "append", "eventTime")
+    running = F.coalesce(F.col("status") == "running", F.lit(False)).alias("running")
+    u = updates.withWatermark("updated_at", delay).where("updated_at is not null").select(_bucket("run_id"), F.coalesce(F.col("run_id").cast("long"), F.lit(0)).alias("run_id"), running, "updated_at", F.unix_micros("updated_at").alias("at_us"))
+    return u.groupBy("bucket").transformWithStateInPandas(_Stale(timeout_seconds * 1000), "run_id long, status string", "append", "eventTime")
 
 
 def retries(attempts: DataFrame, most: int = 3) -> DataFrame:
@@ -209,25 +257,28 @@ def retries(attempts: DataFrame, most: int = 3) -> DataFrame:
     return attempts.where(F.col("retryable") & (F.col("attempt_no") < most)).select("task_id", (F.col("attempt_no") + 1).alias("attempt_no"), due.alias("due_at"))
 
 
-class _Due(StatefulProcessor):
-    """One timer per task, for its newest attempt: when it is due again, or, if it isn't, when its time has passed. Then it is forgotten."""
+#: Stands for the time of an attempt after which nothing is due.
+NEVER = -1 << 62
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.state = handle, handle.getValueState("attempt", "attempt_no long, due_us long")
+
+class _Due(_Bucket):
+    """Each task's newest attempt: when it is due again, or, if it isn't, when its time has passed. Then it is forgotten."""
+
+    @staticmethod
+    def due(frame: pd.DataFrame) -> pd.Series:
+        return (frame["at_us"] // 1000 + 1).where(frame["due_us"] == NEVER, frame["due_us"] // 1000)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803, ARG002
-        last = _newest(rows, "attempt_no")
-        if last is not None and (not self.state.exists() or last["attempt_no"] > self.state.get()[0]):
-            due = None if pd.isna(last["due_us"]) else int(last["due_us"])
-            self.state.update((int(last["attempt_no"]), due))
-            _only_timer(self.handle, int(last["at_us"]) // 1000 + 1 if due is None else due // 1000)
+        old, new = self.kept(), _newest((r[["task_id", "attempt_no", "due_us", "at_us"]] for r in rows), "task_id", "attempt_no")
+        new = new if old is None else _newest([new, old], "task_id", "attempt_no")  # the attempt that is known already stands before an equal one
+        self.keep(new)
+        self.only_timer(int(self.due(new).min()))
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803, ARG002
-        attempt_no, due_us = self.state.get() if self.state.exists() else (0, None)
-        self.state.clear()
-        if due_us is not None:
-            yield pd.DataFrame({"task_id": [key[0]], "attempt_no": [attempt_no + 1], "due_us": [due_us]})
+        over = self.expired(self.due, timerValues.getCurrentWatermarkInMs())
+        if over is not None and len(over := over[over["due_us"] != NEVER]):
+            yield pd.DataFrame({"task_id": _ids(over["task_id"], key[0]), "attempt_no": over["attempt_no"].to_numpy() + 1, "due_us": over["due_us"].to_numpy()})
 
 
 def retries_stream(attempts: DataFrame, most: int = 3, delay: str = "0 seconds") -> DataFrame:
@@ -238,8 +289,9 @@ def retries_stream(attempts: DataFrame, most: int = 3, delay: str = "0 seconds")
     """
     again = F.col("retryable") & (F.col("attempt_no") < most)
     due = F.when(again, F.col("attempt_at") + F.make_dt_interval(secs=backoff_seconds(F.col("attempt_no"))))
-    a = attempts.withWatermark("attempt_at", delay).select(F.col("task_id").cast("long").alias("task_id"), F.col("attempt_no").cast("long").alias("attempt_no"), "attempt_at", F.unix_micros(due).alias("due_us"), F.unix_micros("attempt_at").alias("at_us"))
-    out = a.groupBy("task_id").transformWithStateInPandas(_Due(), "task_id long, attempt_no long, due_us long", "append", "eventTime")
+    a = attempts.withWatermark("attempt_at", delay).where("attempt_no is not null and attempt_at is not null")
+    a = a.select(_bucket("task_id"), F.coalesce(F.col("task_id").cast("long"), F.lit(0)).alias("task_id"), F.col("attempt_no").cast("long").alias("attempt_no"), "attempt_at", F.coalesce(F.unix_micros(due), F.lit(NEVER)).alias("due_us"), F.unix_micros("attempt_at").alias("at_us"))
+    out = a.groupBy("bucket").transformWithStateInPandas(_Due(), "task_id long, attempt_no long, due_us long", "append", "eventTime")
     return out.select("task_id", "attempt_no", F.timestamp_micros("due_us").alias("due_at"))
 
 
@@ -247,39 +299,60 @@ def retries_stream(attempts: DataFrame, most: int = 3, delay: str = "0 seconds")
 ENDED = ("done", "failed")
 
 
-class _Job(StatefulProcessor):
-    """A job's fold: its newest update decides the state, poll_count never falls. With an end the fold starts anew: the end is kept
-    until the clock has passed it, so that older updates don't bring the job back, and then forgotten."""
+#: Stands for a number that isn't known.
+UNKNOWN = -(1 << 63)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.state = handle, handle.getValueState("job", "seq long, state string, poll_count long, ended_seq long")
+
+class _Job(_Bucket):
+    """The folds of a bucket's jobs: the newest update decides the state, poll_count never falls. With an end a fold starts anew: the end
+    is kept until the clock has passed it, so that older updates don't bring the job back, and then forgotten."""
+
+    columns = ("run_id", "seq", "state", "polls", "ended", "clear_ms")
+
+    @staticmethod
+    def due(frame: pd.DataFrame) -> pd.Series:
+        return frame["clear_ms"]
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803, ARG002
-        seq, state, polls, ended = self.state.get() if self.state.exists() else (-1, None, None, -1)
-        frame = pd.concat(list(rows))  # a job's updates of one batch, four numbers each
-        frame = frame[frame["seq"].notna() & (frame["seq"] > ended)].sort_values("seq")
-        if len(frame) == 0:
-            return
-        last = frame.iloc[-1]
-        over = frame["state"].isin(ENDED)
-        if over.any():
-            ended = int(frame["seq"][over].max())
-            polls, seq, state = (None, -1, None) if seq < ended else (polls, seq, state)
-        counted = frame["poll_count"][(frame["seq"] > ended)].dropna()
-        polls = max([*([] if polls is None else [polls]), *([int(counted.max())] if len(counted) else [])], default=None)
-        if last["seq"] > seq:
-            seq, state = int(last["seq"]), last["state"]
-        self.state.update((seq, state, polls, ended))
-        done = seq == ended
-        if done:
-            _only_timer(self.handle, int(frame["at_us"].max()) // 1000 + 1)
-        else:
-            for t in list(self.handle.listTimers()):
-                self.handle.deleteTimer(t)
-        yield pd.DataFrame({"run_id": [key[0]], "seq": [seq], "state": [state], "poll_count": pd.array([polls], "Int64"), "ended": [done]})
+        old = self.kept()
+        old = pd.DataFrame({c: pd.Series([], dtype=object if c == "state" else "int64") for c in self.columns}) if old is None else old
+        new = pd.concat([r[["run_id", "seq", "state", "polls", "at_us"]] for r in rows], ignore_index=True)  # a bucket's updates of one batch
+        ids = np.unique(np.concatenate([old["run_id"], new["run_id"]]))
+        at, job = np.searchsorted(ids, old["run_id"]), np.searchsorted(ids, new["run_id"])
+
+        def known(column: str, default: object) -> np.ndarray:
+            out = np.full(len(ids), default, object if column == "state" else np.int64)
+            out[at] = old[column].to_numpy()
+            return out
+
+        seq, state, polls, ended, clear = known("seq", -1), known("state", None), known("polls", UNKNOWN), known("ended", -1), known("clear_ms", -NEVER)
+        later = new["seq"].to_numpy() > ended[job]
+        new, job = new[later].reset_index(drop=True), job[later]
+        n, over = new["seq"].to_numpy(), new["state"].isin(ENDED).to_numpy()
+        before = ended.copy()
+        np.maximum.at(ended, job[over], n[over])
+        anew = (ended > before) & (seq < ended)
+        seq[anew], state[anew], polls[anew] = -1, None, UNKNOWN
+        counted = n > ended[job]
+        np.maximum.at(polls, job[counted], new["polls"].to_numpy()[counted])
+        order = np.lexsort((n, job))  # stable: the later of equal ones is last
+        last = order[np.flatnonzero(np.diff(job[order], append=-1))]
+        last = last[n[last] > seq[job[last]]]
+        seq[job[last]], state[job[last]] = n[last], new["state"].to_numpy()[last]
+        changed = np.zeros(len(ids), bool)
+        changed[job] = True
+        done, newest = seq == ended, np.full(len(ids), UNKNOWN)
+        np.maximum.at(newest, job, new["at_us"].to_numpy())
+        clear[changed] = np.where(done, newest // 1000 + 1, -NEVER)[changed]
+        self.keep(pd.DataFrame(dict(zip(self.columns, (ids, seq, state, polls, ended, clear), strict=True))))
+        self.only_timer(int(clear.min()) if len(clear) and clear.min() < -NEVER else None)
+        if changed.any():
+            made = pd.DataFrame({"run_id": _ids(pd.Series(ids), key[0]), "seq": seq, "state": state, "poll_count": pd.array(polls, "Int64"), "ended": done})
+            made.loc[polls == UNKNOWN, "poll_count"] = pd.NA
+            yield made[changed]
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803, ARG002
-        self.state.clear()
+        self.expired(self.due, timerValues.getCurrentWatermarkInMs())
         return iter(())
 
 
@@ -288,29 +361,30 @@ def job_states(updates: DataFrame, delay: str = "0 seconds") -> DataFrame:
 
     The last row of a job is its present fold; jobs whose last row has ended are over and not among those to resume.
     """
-    u = updates.withWatermark("updated_at", delay).select(F.col("run_id").cast("long").alias("run_id"), F.col("seq").cast("long").alias("seq"), "state", F.col("poll_count").cast("long").alias("poll_count"), "updated_at", F.unix_micros("updated_at").alias("at_us"))
-    return u.groupBy("run_id").transformWithStateInPandas(_Job(), "run_id long, seq long, state string, poll_count long, ended boolean", "append", "eventTime")
-
+    number = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(UNKNOWN))
+    u = updates.withWatermark("updated_at", delay).where("seq is not null")
+    u = u.select(_bucket("run_id"), F.coalesce(F.col("run_id").cast("long"), F.lit(0)).alias("run_id"), F.col("seq").cast("long").alias("seq"), "state", number("poll_count").alias("polls"), "updated_at", F.coalesce(F.unix_micros("updated_at"), F.lit(UNKNOWN)).alias("at_us"))
+    return u.groupBy("bucket").transformWithStateInPandas(_Job(), "run_id long, seq long, state string, poll_count long, ended boolean", "append", "eventTime")
 
-class _Present(StatefulProcessor):
-    """A task's present status; a change is one task less in the old and one more in the new."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("task", "seq long, status string")
+class _Present(_Bucket):
+    """The present statuses of a bucket's tasks; a change is one task less in the old and one more in the new."""
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803, ARG002
-        last = _newest(rows, "seq")
-        old = self.state.get() if self.state.exists() else None
-        if last is not None and (old is None or last["seq"] >= old[0]):
-            self.state.update((int(last["seq"]), last["status"]))
-            if old is None or old[1] != last["status"]:
-                yield pd.DataFrame({"status": [last["status"]] + ([old[1]] if old else []), "delta": [1] + ([-1] if old else [])})
+        old, new = self.kept(), _newest((r[["task_id", "seq", "status"]] for r in rows), "task_id", "seq")
+        now = new if old is None else _newest([old, new], "task_id", "seq")
+        self.keep(now)
+        # Of every task that came or changed its status: one row before (if any), one after.
+        counts = now["status"].value_counts(dropna=False) if old is None else now["status"].value_counts(dropna=False).sub(old["status"].value_counts(dropna=False), fill_value=0)
+        counts = counts[counts != 0].astype("int64")
+        if len(counts):
+            yield pd.DataFrame({"status": counts.index.to_series().where(counts.index.notna(), None).to_numpy(object), "delta": counts.to_numpy()})
 
 
 def status_deltas(updates: DataFrame) -> DataFrame:
     """(status, delta) as tasks come and change; updates: task_id, seq, status, in any order. A small row of state per task stays."""
-    u = updates.select("task_id", F.col("seq").cast("long").alias("seq"), "status")
-    return u.groupBy("task_id").transformWithStateInPandas(_Present(), "status string, delta long", "append", "none")
+    u = updates.where("seq is not null").select(_bucket("task_id"), F.coalesce("task_id", F.lit(0).cast(updates.schema["task_id"].dataType)).alias("task_id"), F.col("seq").cast("long").alias("seq"), "status")
+    return u.groupBy("bucket").transformWithStateInPandas(_Present(), "status string, delta long", "append", "none")
 
 
 def run_status_counts(deltas: DataFrame, path: str, checkpoint: str) -> DataFrame:
