@@ -108,6 +108,14 @@ def _batch(rows: list[dict], owners: list[int], bases: list[int]) -> pa.RecordBa
     return pa.record_batch([pa.array(owners, pa.int64()), *columns.values(), paths], ["page_id", *columns, "path"])
 
 
+def whole_references(html: Column) -> Column:
+    """html in which only character references that end with a semicolon are any; one that is cut off stays the text it is.
+
+    HTML itself, and the parser here, read some names without it too: `AT&amp` is `AT&` to them and `AT&amp` after this.
+    """
+    return F.regexp_replace(html, r"&(?=#?[0-9A-Za-z]++(?!;))", "&amp;")
+
+
 def html_nodes(pages: DataFrame) -> DataFrame:
     """Node rows of pages (page_id, html), clustered by page."""
 
