@@ -15,6 +15,7 @@ from evidencelake.plans.pages import H13, typed_gates
 from evidencelake.plans.registry import Tables, query
 from evidencelake.plans.reports import TASKS
 from evidencelake.streaming import jobs as J
+from evidencelake.tables import materialize
 
 
 def _work(t: Tables, name: str) -> str:
@@ -35,14 +36,23 @@ def _stream(t: Tables, name: str) -> DataFrame:
     return s.withColumns({f.name: F.col(f.name).cast("timestamp") for f in batch.schema if f.dataType.typeName() == "timestamp_ntz"})
 
 
+#: Rows of a file of a batch, about; no batch is one task therefore.
+FILE_ROWS = 100_000
+
+
 def _in_batches(t: Tables, rows: DataFrame, name: str, time: str, batches: int = 3) -> DataFrame:
-    """A table as a stream of several batches, in order of time."""
-    folder = _work(t, name)
+    """A table as a stream of several batches, in order of time; all have the same number of files, so that a trigger takes one whole."""
+    folder, rows = _work(t, name), materialize(rows, name)
     bounds = rows.agg(F.percentile_approx(time, [i / batches for i in range(1, batches)])).first()[0] or []
     piece = F.array_size(F.filter(F.array(*(F.lit(b) for b in bounds)), lambda b: b < F.col(time)))
-    for i in range(batches):
-        rows.where(piece == i).coalesce(1).write.parquet(f"{folder}/b{i}")
-    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(folder)
+    sizes = dict(tuple(r) for r in rows.groupBy(piece).count().collect()) or {0: 0}  # a row per batch that isn't empty
+    files = max(1, min(sizes.values()) // FILE_ROWS)
+    for i in sorted(sizes):
+        rows.where(piece == i).repartition(files).write.parquet(f"{folder}/b{i}")
+        made = len(t.spark.read.schema(rows.schema).parquet(f"{folder}/b{i}").inputFiles())
+        if made != files:
+            raise RuntimeError(f"batch {i} of {name} has {made} files, not {files}")
+    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", "true").parquet(folder)
 
 
 @contextmanager
