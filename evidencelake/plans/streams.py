@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from evidencelake.operators.convert import convert
 from evidencelake.plans.ledger import VERSIONS
-from evidencelake.plans.pages import H13, typed_gates
+from evidencelake.plans.pages import H13, typed_gates, written
 from evidencelake.plans.registry import Tables, query
 from evidencelake.plans.reports import TASKS
 from evidencelake.streaming import jobs as J
@@ -73,7 +73,7 @@ def r1_ingest_stream(t: Tables) -> DataFrame:
     work = _work(t, "ingest")
     outbox = _stream(t, "pages").select(F.sha2(F.col("page_id").cast("string"), 256).alias("event_id"), F.lit("raw_asset.created").alias("event_type"), F.col("page_id").alias("aggregate_id"))
     assets = typed_gates(t).withColumnRenamed("page_id", "asset_id")
-    pages = lambda a: convert(a.withColumnRenamed("asset_id", "page_id")).select(F.col("page_id").alias("asset_id"), "markdown", "error_code")
+    pages = lambda a: convert(a.withColumnRenamed("asset_id", "page_id")).select(F.col("page_id").alias("asset_id"), written(F.col("markdown")).alias("markdown"), "error_code")
     for i in (1, 2):
         J.ingest_stream(outbox, assets, pages, "fp1", f"{work}/evidence", f"{work}/checkpoint{i}").awaitTermination()
     return t.spark.read.parquet(f"{work}/evidence")
