@@ -2,8 +2,9 @@
 
 An index is a folder with two tables, to which append() adds a batch, each below batch=N, so that a batch that is appended again
 replaces itself. `bodies` has the evidence in order of a document number; `postings` has for each gram and segment of documents the
-list of documents that hold it, newest first. A segment is what a task takes at once, SEGMENT_DOCUMENTS or SEGMENT_CHARACTERS at most,
-so that no list of a common gram is ever one row, one group or one task, and lists are made without a shuffle of their members.
+list of places in the segment of those that hold it, and for each segment, below a gram of its own, its documents and their times,
+newest first. A segment is what a task takes at once, SEGMENT_DOCUMENTS or SEGMENT_CHARACTERS at most, so that a place takes two
+bytes, no list of a common gram is ever one row, one group or one task, and lists are made without a shuffle of their members.
 Both tables are sorted by what is asked for, with small pages, so that Parquet's own statistics leave the rest unread.
 
 Grams are of 1, 2 and 3 characters of the folded body, so a token of any length has some; a longer token is its 3-grams. A search
@@ -27,6 +28,8 @@ from evidencelake.operators import search as S
 GRAM = 3
 #: Stands for a character that a gram of fewer than three doesn't have; no code point is as large.
 NONE = 0x1FFFFF
+#: Stands where a gram would, in the row that lists a segment's documents.
+LISTED = -1
 SEGMENT_DOCUMENTS, SEGMENT_CHARACTERS = 4096, 1 << 23
 #: Grams whose lists are intersected; documents whose bodies are asked for by number before the others are joined.
 RAREST, FIRST = 6, 128
@@ -57,7 +60,7 @@ def token_grams(token: str) -> list[int]:
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(gram, n, at, docs) of each segment of (doc, at, folded): one row per gram, its documents newest first."""
+    """Rows of each segment of (doc, at, folded): one with its documents, newest first, and one per gram with the places there of those that hold it."""
     kept: list[tuple[int, int, np.ndarray]] = []
     size = 0
 
@@ -68,10 +71,15 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.argsort(gram, kind="stable")
         gram, which = gram[order], which[order]
         starts = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
-        offsets = pa.array(np.r_[starts, len(gram)], pa.int32())
-        docs, at = np.array([d for d, _, _ in kept], np.int64), np.array([a for _, a, _ in kept], np.int64)
-        lists_of = lambda values: pa.ListArray.from_arrays(offsets, pa.array(values[which]))
-        return pa.RecordBatch.from_arrays([pa.array(gram[starts]), pa.array(np.diff(np.r_[starts, len(gram)]), pa.int32()), lists_of(at), lists_of(docs)], names=["gram", "n", "at", "docs"])
+        n = np.diff(np.r_[starts, len(gram)])
+        first = kept[0][0]  # no other segment has this document
+        none = pa.nulls(len(n), pa.list_(pa.int64()))
+        columns = {
+            "gram": pa.array(np.r_[LISTED, gram[starts]]), "n": pa.array(np.r_[len(kept), n], pa.int32()), "segment": pa.array(np.full(len(n) + 1, first)),
+            "places": pa.concat_arrays([pa.nulls(1, pa.list_(pa.int16())), pa.ListArray.from_arrays(pa.array(np.r_[starts, len(gram)], pa.int32()), pa.array(which.astype(np.int16)))]),
+            "at": pa.concat_arrays([pa.array([[a for _, a, _ in kept]], pa.list_(pa.int64())), none]), "docs": pa.concat_arrays([pa.array([[d for d, _, _ in kept]], pa.list_(pa.int64())), none]),
+        }
+        return pa.record_batch(columns)
 
     for batch in batches:
         for doc, at, folded in zip(batch.column("doc").to_pylist(), batch.column("at").to_pylist(), batch.column("folded").to_pylist(), strict=True):
@@ -104,9 +112,9 @@ def append(evidence: DataFrame, root: str, batch: int) -> None:
     # The number is made as the rows are written, once; what is read back has it fixed.
     bodies.withColumn("doc", F.monotonically_increasing_id()).write.mode("overwrite").options(**_pages(PAGE_ROWS)).parquet(path)
     rows = spark.read.parquet(path).select("doc", "at", X.fold(F.col("body")).alias("folded"))
-    postings = rows.mapInArrow(_segments, "gram long, n int, at array<bigint>, docs array<bigint>")
-    # Ranges of (gram, first document): a gram of many segments is cut too.
-    ordered = postings.repartitionByRange(F.col("gram"), F.get("docs", F.lit(0))).sortWithinPartitions("gram")
+    postings = rows.mapInArrow(_segments, "gram long, n int, segment long, places array<smallint>, at array<bigint>, docs array<bigint>")
+    # Ranges of (gram, segment): a gram of many segments is cut too.
+    ordered = postings.repartitionByRange(F.col("gram"), F.col("segment")).sortWithinPartitions("gram")
     ordered.write.mode("overwrite").options(**_pages(128)).parquet(f"{root}/postings/batch={batch}")
 
 
@@ -126,8 +134,13 @@ def candidates(spark: SparkSession, root: str, asked: list[str]) -> DataFrame:
     if len(found) < len(wanted):
         return spark.createDataFrame([], "batch int, doc bigint, at bigint")
     rarest = sorted(found, key=lambda g: (found[g], g))[:RAREST]
-    each = postings.where(_any_of("gram", rarest)).select("batch", F.explode(F.arrays_zip("docs", "at")).alias("p")).select("batch", "p.docs", "p.at")
-    return each.groupBy("batch", F.col("docs").alias("doc")).agg(F.count("*").alias("n"), F.first("at").alias("at")).where(F.col("n") == len(rarest)).drop("n")
+    # A segment has one list per gram at most, so those that hold all grams are met list by list.
+    lists = postings.where(_any_of("gram", rarest)).groupBy("batch", "segment").agg(F.collect_list("places").alias("l")).where(F.size("l") == len(rarest))
+    places = F.aggregate(F.slice("l", 2, RAREST), F.get("l", F.lit(0)), F.array_intersect)
+    met = lists.select("batch", "segment", places.alias("places")).where(F.size("places") > 0)
+    listed = postings.where(F.col("gram") == LISTED).select("batch", "segment", "docs", "at")
+    each = met.join(listed, ["batch", "segment"]).select("batch", F.explode(F.transform("places", lambda p: F.struct(F.get("docs", p).alias("doc"), F.get("at", p).alias("at")))).alias("p"))
+    return each.select("batch", "p.doc", "p.at")
 
 
 def search(spark: SparkSession, root: str, query: str, limit: int = 30) -> DataFrame:
