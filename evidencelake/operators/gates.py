@@ -55,9 +55,9 @@ def quality_tag(marks: Column, visible: Column) -> Column:
     )
 
 
-def quality_gate(pages: DataFrame) -> DataFrame:
-    """pages (with html) plus visible_chars, is_valid, tag. Null html is empty."""
-    p = with_visible(pages.withColumn("html", F.coalesce("html", F.lit(""))))
+def quality_gate(pages: DataFrame, white: str | None = None) -> DataFrame:
+    """pages (with html) plus visible_chars, is_valid, tag. Null html is empty. white: as in with_visible."""
+    p = with_visible(pages.withColumn("html", F.coalesce("html", F.lit(""))), white)
     p = p.withColumn("tag", quality_tag(raw_marks(F.col("html")), F.col("visible"))).withColumn("visible_chars", F.length("visible").cast("long"))
     return p.withColumn("is_valid", F.col("tag").isNull()).select(*pages.columns, "visible_chars", "is_valid", "tag")
 

@@ -39,8 +39,9 @@ _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"opt
 
 
 class _Nodes(HTMLParser):
-    def __init__(self) -> None:
+    def __init__(self, white: str | None = None) -> None:
         super().__init__(convert_charrefs=True)
+        self.white = white
         self.rows: list[dict] = []
         self.open: list[dict] = []
 
@@ -79,12 +80,13 @@ class _Nodes(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
-        if data.strip():
+        if data.strip(self.white):
             self.add("#text", {}, data)
 
 
-def parse_nodes(html: str | None) -> list[dict]:
-    p = _Nodes()
+def parse_nodes(html: str | None, white: str | None = None) -> list[dict]:
+    """Node rows of a page. white: the characters of which a text run is blank (None: all white space of Unicode)."""
+    p = _Nodes(white)
     p.feed(html or "")
     p.close()
     p.close_to(0)
@@ -116,8 +118,8 @@ def whole_references(html: Column) -> Column:
     return F.regexp_replace(html, r"&(?=#?[0-9A-Za-z]++(?!;))", "&amp;")
 
 
-def html_nodes(pages: DataFrame) -> DataFrame:
-    """Node rows of pages (page_id, html), clustered by page."""
+def html_nodes(pages: DataFrame, white: str | None = None) -> DataFrame:
+    """Node rows of pages (page_id, html), clustered by page. white: as in parse_nodes."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in source:
@@ -125,7 +127,7 @@ def html_nodes(pages: DataFrame) -> DataFrame:
             owners: list[int] = []
             bases: list[int] = []
             for page_id, html in zip(b.column("page_id").to_pylist(), b.column("html").to_pylist(), strict=True):
-                got = parse_nodes(html)
+                got = parse_nodes(html, white)
                 owners += [page_id] * len(got)
                 bases += [len(rows)] * len(got)
                 rows += got
