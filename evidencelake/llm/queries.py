@@ -28,7 +28,7 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_text.extract(_read(spark, sf_dir, "pages"))
+    return html_text.extract(_read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
 def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,11 +30,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str, partitions: int | None = None, compression: str | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there and no executor's loss undoes it."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    (df.coalesce(partitions) if partitions else df).write.parquet(path)
+    (df.coalesce(partitions) if partitions else df).write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
